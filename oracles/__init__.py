@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracles import sales
+    from oracles import features, sales
 
-    return {**sales.Q}
+    return {**sales.Q, **features.Q}

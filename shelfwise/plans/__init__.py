@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from shelfwise.plans import registry_sales
+    from shelfwise.plans import registry_models, registry_sales
 
-    return {**registry_sales.queries()}
+    return {**registry_sales.queries(), **registry_models.queries()}
