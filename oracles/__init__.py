@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracles import features, sales
+    from oracles import features, sales, texts
 
-    return {**sales.Q, **features.Q}
+    return {**sales.Q, **features.Q, **texts.Q}

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from shelfwise.plans import registry_models, registry_sales
+    from shelfwise.plans import registry_models, registry_sales, registry_texts
 
-    return {**registry_sales.queries(), **registry_models.queries()}
+    return {**registry_sales.queries(), **registry_models.queries(), **registry_texts.queries()}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions import columns as c
+from shelfwise.functions import routing as r
 from shelfwise.schema import MANDATORY_COLUMNS, PRICE
 
 
@@ -78,3 +79,43 @@ def messy_sales(spark: SparkSession, folder: str, lines: DataFrame | None = None
         F.when(hits(50), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("copies"),
     )
     return dirty.withColumn("copies", F.explode("copies")).drop("copies")
+
+
+def questions(spark: SparkSession, folder: str) -> DataFrame:
+    """One question per part, worded by the part's size: all kinds the message router knows."""
+    part, kind = table(spark, folder, "part"), F.pmod(F.col("p_size"), F.lit(12))
+    code = F.concat(F.lit("PROD_"), "p_partkey")
+    wordings = [
+        F.concat(F.lit("Show me the top "), "p_size", F.lit(" products by revenue")),
+        F.concat(F.lit("What is the return policy for a "), "p_name", F.lit("?")),
+        F.concat(F.lit("Predict units sold for "), code),
+        F.concat(F.lit("Show me anomaly detection results for "), "p_name"),
+        F.concat(F.lit("Give the detail of item "), code, F.lit(" please")),
+        F.concat(F.lit("Revenue by category "), "p_type"),
+        F.concat(F.lit("Monthly trend of "), "p_brand"),
+        F.concat(F.lit("Which region sells most of "), "p_name"),
+        F.lit("What are the promotion rules?"),
+        F.concat(F.lit("Which algorithm is the model of demand for "), code),
+        F.concat(F.lit("Hello, is "), "p_name", F.lit(" any good?")),
+        F.concat(F.lit("Is sku "), code, F.lit(" in stock at all stores?")),
+    ]
+    text = F.lit(None).cast("string")
+    for i, wording in enumerate(wordings):
+        text = F.when(kind == i, wording).otherwise(text)
+    return part.select(F.concat(F.lit("P"), "p_partkey").alias("session_id"), text.alias("text"), F.col("p_name").alias("answer"))
+
+
+def conversation_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation turns in the message shape: assistants get the agent and tool their text routes to."""
+    talk, text = table(spark, folder, "conversations"), F.col("text")
+    assistant = F.col("role") == "assistant"
+    agent = r.agent(text)
+    return talk.select(
+        F.col("conv_id").alias("session_id"),
+        F.col("turn").alias("position"),
+        F.when(assistant, "agent").otherwise(F.col("role")).alias("role"),
+        F.when(assistant, agent).otherwise(F.col("role")).alias("agent_id"),
+        text.alias("content"),
+        F.when(assistant, r.tool(agent, text, in_session=True)).alias("tool_name"),
+        F.lit(None).cast("string").alias("tool_result"),
+    )
