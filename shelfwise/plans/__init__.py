@@ -4,6 +4,11 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from shelfwise.plans import registry_models, registry_sales, registry_texts
-
-    return {**registry_sales.queries(), **registry_models.queries(), **registry_texts.queries()}
+    from shelfwise.plans import registry_models, registry_sales, registry_streams, registry_texts
+
+    return {
+        **registry_sales.queries(),
+        **registry_models.queries(),
+        **registry_texts.queries(),
+        **registry_streams.queries(),
+    }
