@@ -96,6 +96,8 @@ SELECT ROUND(AVG(abs(y - p)), 6) AS mae, ROUND(sqrt(AVG((y - p) * (y - p))), 6)
        COUNT(*) AS rows
 FROM scored"""
 
+Q["retrain_needed"] = f"SELECT * FROM ({Q['evaluate_naive_forecast']}) WHERE r2 < 0.70"
+
 # one request per sale of the table: its own product, date, price, discount, store and region
 Q["request_features"] = f"""WITH {SALES}{CODED}
 SELECT s.product_id, date AS target_date, {PRICE} AS price, {dbl('discount')} AS discount, store_id, s.region,

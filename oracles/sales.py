@@ -250,3 +250,17 @@ numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY date)
 SELECT product_id, MIN(date) AS first_day, MAX(date) AS last_day, COUNT(*) AS days
 FROM numbered WHERE units = 0 GROUP BY product_id, run HAVING COUNT(*) >= 2"""
 Q["alert_zero_streak"] = over(SALES, STREAK)
+
+_money = "format('{:,.2f}', CAST(SUM(revenue) AS DOUBLE))"
+Q["overview_text"] = over(SALES, f"""
+SELECT 'Total Records: ' || format('{{:,}}', COUNT(*)) || ' | Total Revenue: $' || {_money} || ' | Total Units Sold: '
+       || format('{{:,}}', CAST(SUM(units_sold) AS BIGINT)) || ' | Unique Products: ' || COUNT(DISTINCT product_id)
+       || ' | Unique Stores: ' || COUNT(DISTINCT store_id) || ' | Date Range: ' || MIN(date) || ' to ' || MAX(date) AS line
+FROM sales""")
+Q["category_lines"] = over(SALES, f"""
+SELECT category, category || ': $' || {_money} AS line FROM sales GROUP BY category""")
+Q["product_text"] = over(SALES, f"""
+SELECT 'Product PROD_7: Revenue=$' || {_money} || ' | Units=' || format('{{:,}}', CAST(SUM(units_sold) AS BIGINT))
+       || ' | Avg Price=$' || printf('%.2f', {avg2('price')}) || ' | Avg Discount=' || printf('%.1f', ROUND(AVG(discount), 1))
+       || '% | Records=' || COUNT(*) AS line
+FROM sales WHERE product_id = 'PROD_7'""")

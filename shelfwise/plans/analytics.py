@@ -328,11 +328,13 @@ def metrics_overview(df: DataFrame, top_n: int = 5) -> DataFrame:
 
 
 def overview_document(overview: DataFrame) -> DataFrame:
-    """The overview as one JSON document with a map per section; sections are few and already cut."""
+    """The overview as one JSON document with a map per section; the sections have few, already cut entries."""
     maps = overview.groupBy("section").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("values")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("entries")
     )
-    return maps.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "values"))))).alias("document"))
+    names = ["totals", "by_category", "by_region", "monthly", "top_products"]
+    fields = [F.first(F.when(F.col("section") == n, F.col("entries")), ignorenulls=True).alias(n) for n in names]
+    return maps.agg(F.to_json(F.struct(*fields)).alias("document"))
 
 
 def revenue_by(df: DataFrame, key: str) -> DataFrame:
@@ -387,3 +389,34 @@ def stage_status(stages: dict[str, DataFrame]) -> DataFrame:
     for more in counts[1:]:
         status = status.unionByName(more)
     return status
+
+
+def overview_text(df: DataFrame) -> DataFrame:
+    """The overview as one printable line."""
+    f = sales_overview(df)
+    parts = {
+        "Total Records": F.format_number("total_records", 0),
+        "Total Revenue": c.money_text(F.col("total_revenue")),
+        "Total Units Sold": F.format_number("total_units", 0),
+        "Unique Products": F.col("unique_products").cast("string"),
+        "Unique Stores": F.col("unique_stores").cast("string"),
+        "Date Range": F.concat(F.col("first_date").cast("string"), F.lit(" to "), F.col("last_date").cast("string")),
+    }
+    return f.select(F.concat_ws(" | ", *[F.concat(F.lit(f"{n}: "), v) for n, v in parts.items()]).alias("line"))
+
+
+def breakdown_lines(df: DataFrame, key: str) -> DataFrame:
+    """Revenue per value of ``key``, largest first, as printable lines."""
+    totals = df.groupBy(key).agg(F.round(F.sum("revenue"), 2).alias("revenue")).orderBy(F.desc("revenue"), key)
+    return totals.select(key, F.concat(F.col(key), F.lit(": "), c.money_text(F.col("revenue"))).alias("line"))
+
+
+def product_text(df: DataFrame, product_id: str) -> DataFrame:
+    """The figures of one product as a printable line, or what is wrong with the request."""
+    f = product_detail(df, product_id)
+    line = F.format_string(
+        "Product %s: Revenue=%s | Units=%s | Avg Price=$%.2f | Avg Discount=%.1f%% | Records=%d",
+        F.col("product_id"), c.money_text(F.col("revenue")), F.format_number("units", 0),
+        F.col("avg_price"), F.col("avg_discount"), F.col("records"),
+    )
+    return f.select(F.when(F.col("status") == "ok", line).otherwise(F.col("status")).alias("line"))

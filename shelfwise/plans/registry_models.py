@@ -98,6 +98,7 @@ def queries() -> dict[str, Query]:
         "holdout_split": _split("positional"),
         "holdout_split_by_date": _split("chronological"),
         "evaluate_naive_forecast": _naive,
+        "retrain_needed": lambda s, f: forecasting.retrain_needed(_naive(s, f)),
         "request_features": _request_features,
         "train_demand_model": _train,
         "predict_demand": _predict,

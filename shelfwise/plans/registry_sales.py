@@ -140,6 +140,10 @@ def queries() -> dict[str, Query]:
         "revenue_by_store": on_sales(a.revenue_by, key="store_id"),
         "ranked_top_n": on_sales(a.ranked_top_n),
         "product_detail": on_sales(a.product_detail, product_id="prod_7"),
+        "overview_text": on_sales(a.overview_text),
+        "category_lines": on_sales(a.breakdown_lines, key="category"),
+        "product_text": on_sales(a.product_text, product_id="prod_7"),
+        "overview_document": on_sales(lambda df: a.overview_document(a.metrics_overview(df))),
         "product_details": on_sales(a.product_details),
         "median_units": on_sales(exact_quantile, value="units_sold", q=0.5),
         "p99_units": on_sales(exact_quantile, value="units_sold", q=0.99),

@@ -53,6 +53,9 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFra
 
 
 def replace_batch(rows: DataFrame, path: str, *partitions: str) -> None:
-    """Writes a batch so that running it again replaces its own files and nothing else."""
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Writes a batch so that running it again replaces its own files and nothing else.
+
+    Rebalancing keeps the files per partition few, and splits a partition that is much larger than others.
+    """
+    writer = rows.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*partitions).parquet(path)

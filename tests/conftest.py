@@ -12,7 +12,7 @@ def make_session():
     spark = build_session(
         "tests",
         master="local[8]",
-        **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"},
+        **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "12g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
