@@ -15,6 +15,9 @@ from shelfwise.schema import CATEGORIES, MANDATORY_COLUMNS, PERCENT, PRICE, REGI
 IMPUTED_PRICE = "decimal(14,3)"
 IMPUTED_UNITS = "decimal(12,1)"
 
+# What the staged types can hold.
+MAX_PRICE, MAX_UNITS, MAX_AMOUNT = 1e10, 2**31, 1e16
+
 
 def check_mandatory_columns(df: DataFrame) -> None:
     missing = [name for name in MANDATORY_COLUMNS if name not in df.columns]
@@ -45,9 +48,8 @@ def normalise(df: DataFrame) -> DataFrame:
 
 def first_failed_rule(categories: Sequence[str] = CATEGORIES, regions: Sequence[str] = REGIONS) -> Column:
     """Name of the first staging rule a normalised row fails, null when it passes all of them."""
-    discount = F.coalesce("discount", F.lit(0.0))
     price, units = F.col("price"), F.col("units_sold")
-    too_large = (price >= 1e10) | (units >= 2**31) | (price * units >= 1e16)  # would not fit the staged types
+    too_large = (price >= MAX_PRICE) | (units >= MAX_UNITS) | (price * units >= MAX_AMOUNT)
     return (
         F.when(F.col("date").isNull(), "bad_date")
         .when(price.isNull(), "missing_price")
@@ -55,7 +57,7 @@ def first_failed_rule(categories: Sequence[str] = CATEGORIES, regions: Sequence[
         .when(price <= 0, "price_not_positive")
         .when(units < 0, "negative_units")
         .when(too_large, "amount_out_of_range")
-        .when(~discount.between(0, 100), "discount_out_of_range")
+        .when(~discount_in_range(F.col("discount")), "discount_out_of_range")
         .when(~F.coalesce(F.col("category").isin(list(categories)), F.lit(False)), "unknown_category")
         .when(~F.coalesce(F.col("region").isin(list(regions)), F.lit(False)), "unknown_region")
     )
@@ -73,9 +75,31 @@ def as_staged(normal: DataFrame) -> DataFrame:
     return typed.withColumn("revenue", c.revenue()).select(*MANDATORY_COLUMNS)
 
 
+def valid_rows(normal: DataFrame, categories: Sequence[str] = CATEGORIES, regions: Sequence[str] = REGIONS) -> DataFrame:
+    """Normalised rows that pass every rule.
+
+    One plain condition per column: the optimizer moves them below the normalising projection, where
+    a condition that names a column several times would also compute it several times.
+    """
+    price, units, discount = F.col("price"), F.col("units_sold"), F.col("discount")
+    return normal.where(
+        F.col("category").isin(list(categories))
+        & F.col("region").isin(list(regions))
+        & discount_in_range(discount)
+        & ((price > 0) & (price < MAX_PRICE))
+        & ((units >= 0) & (units < MAX_UNITS))
+        & (price * units < MAX_AMOUNT)
+        & F.col("date").isNotNull()
+    )
+
+
+def discount_in_range(discount: Column) -> Column:
+    return discount.isNull() | discount.between(0, 100)
+
+
 def stage_rows(df: DataFrame, categories: Sequence[str] = CATEGORIES, regions: Sequence[str] = REGIONS) -> DataFrame:
     """The row-wise part of staging, without the dedup: a filter and a projection, no shuffle."""
-    return as_staged(normalise(df).where(first_failed_rule(categories, regions).isNull()))
+    return as_staged(valid_rows(normalise(df), categories, regions))
 
 
 def stage_sales(df: DataFrame, categories: Sequence[str] = CATEGORIES, regions: Sequence[str] = REGIONS) -> DataFrame:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
+from pyspark.sql import DataFrame, SparkSession
+
+from shelfwise.session import tune
+
+
+def _tuned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: query(tune(spark), folder)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All named queries: name -> callable(spark, folder) -> DataFrame."""
     from shelfwise.plans import registry_models, registry_sales, registry_streams, registry_texts
 
-    return {
-        **registry_sales.queries(),
-        **registry_models.queries(),
-        **registry_texts.queries(),
-        **registry_streams.queries(),
-    }
+    registries = (registry_sales, registry_models, registry_texts, registry_streams)
+    return {name: _tuned(query) for registry in registries for name, query in registry.queries().items()}

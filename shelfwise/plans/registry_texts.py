@@ -12,7 +12,7 @@ from shelfwise.sources import star
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return star.table(spark, folder, "documents").select("doc_id", "source", "text")
+    return star.spread(star.table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
 def index(spark: SparkSession, folder: str) -> retrieval.Index:

@@ -18,6 +18,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Texts are heavy work per byte, so an input with fewer splits than cores is dealt out to all of them.
+
+    An input with more splits than cores, as any large one has, is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def line_items_as_sales(lines: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Sales rows for a batch or a stream of line items, with the order key kept for tracing."""
     customers = (
