@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import columns as c
 from shelfwise.operators.quantiles import exact_quantiles
 from shelfwise.schema import CATEGORIES, MANDATORY_COLUMNS, PERCENT, PRICE, REGIONS
+from shelfwise.session import written
 
 # Medians may fall halfway between two values, so imputed columns carry more digits.
 IMPUTED_PRICE = "decimal(14,3)"
@@ -122,9 +123,10 @@ def clean_sales_impute(
 ) -> DataFrame:
     """The imputing policy: missing price and units take the median over all distinct, dated rows.
 
-    The medians are taken before the range and label filters, and revenue is not rounded.
+    The medians are taken before the range and label filters, and revenue is not rounded. The dated
+    rows are written once, as both the medians and the result read them.
     """
-    dated = normalise(dedup_sales(df.select(*MANDATORY_COLUMNS))).where(F.col("date").isNotNull())
+    dated = written(normalise(dedup_sales(df.select(*MANDATORY_COLUMNS))).where(F.col("date").isNotNull()))
     medians = exact_quantiles(dated, {"price": 0.5, "units_sold": 0.5})
     filled = dated.withColumns(
         {name: F.coalesce(F.col(name), medians.select(name).scalar()) for name in medians.columns}

@@ -8,26 +8,32 @@ from pyspark.sql import functions as F
 from shelfwise.operators import anomalies, features, forecasting
 from shelfwise.operators.quantiles import exact_quantile
 from shelfwise.plans.registry_sales import Query, as_doubles
+from shelfwise.session import written
 from shelfwise.sources import star
 
 KEYS = ("product_id", "store_id", "region", "date", "units_sold")
 
 
+def _sales(spark: SparkSession, folder: str) -> DataFrame:
+    """The sales rows as a table of their own: the jobs below read them several times."""
+    return written(star.sales(spark, folder))
+
+
 def _keyed(df: DataFrame, *names: str) -> DataFrame:
     return as_doubles(df.select(*KEYS, F.col("discount").cast("double").alias("discount"), *names), 6)
 
 
 def _sequenced(spark: SparkSession, folder: str) -> DataFrame:
-    sales = star.sales(spark, folder)
+    sales = _sales(spark, folder)
     return features.sequence_features(sales, exact_quantile(sales, "units_sold", 0.5).scalar())
 
 
 def _engineer(spark: SparkSession, folder: str) -> DataFrame:
-    return as_doubles(features.feature_frame(features.engineer_features(star.sales(spark, folder))), 6)
+    return as_doubles(features.feature_frame(features.engineer_features(_sales(spark, folder))), 6)
 
 
 def _split(mode: str) -> Query:
-    return lambda spark, folder: _keyed(features.holdout_split(star.sales(spark, folder), 0.2, mode), "is_holdout")
+    return lambda spark, folder: _keyed(features.holdout_split(_sales(spark, folder), 0.2, mode), "is_holdout")
 
 
 def _naive(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +46,7 @@ def requests_from_sales(sales: DataFrame) -> DataFrame:
 
 
 def _request_features(spark: SparkSession, folder: str) -> DataFrame:
-    sales = star.sales(spark, folder)
+    sales = _sales(spark, folder)
     # the star tables spell regions in capitals, requests are looked up by the spelling of staged rows
     codes = features.encode_labels(sales).withColumn(
         "label", F.when(F.col("column") == "region", F.initcap("label")).otherwise(F.col("label"))
@@ -58,7 +64,7 @@ def _request_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, folder: str):
-    sales = star.sales(spark, folder)
+    sales = _sales(spark, folder)
     codes = features.encode_labels(sales)
     rows = features.training_rows(features.engineer_features(sales, codes))
     model, metrics = forecasting.train_demand_model(rows, num_trees=20, tree_depth=8)
@@ -79,7 +85,7 @@ def _classify_all(df: DataFrame) -> DataFrame:
 
 
 def _classified(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _classify_all(star.sales(spark, folder))
+    rows = _classify_all(_sales(spark, folder))
     return rows.select(
         "product_id", "store_id", "date", "units_sold", F.col("discount").cast("double").alias("discount"),
         "anomaly_label", "reason",
@@ -93,7 +99,7 @@ def queries() -> dict[str, Query]:
             _sequenced(s, f), *[f"roll_avg_{n}" for n in features.ROLLING], "roll_std_7", "roll_high_7", "roll_low_7",
             "momentum_ratio",
         ),
-        "encode_labels": lambda s, f: features.encode_labels(star.sales(s, f)),
+        "encode_labels": lambda s, f: features.encode_labels(_sales(s, f)),
         "engineer_features": _engineer,
         "holdout_split": _split("positional"),
         "holdout_split_by_date": _split("chronological"),
@@ -103,8 +109,8 @@ def queries() -> dict[str, Query]:
         "train_demand_model": _train,
         "predict_demand": _predict,
         "classify_anomalies": _classified,
-        "anomaly_label_counts": lambda s, f: anomalies.anomaly_counts(_classify_all(star.sales(s, f))),
-        "detect_anomalies": lambda s, f: as_doubles(anomalies.detect_anomalies(star.sales(s, f))),
-        "anomaly_counts": lambda s, f: anomalies.anomaly_counts(anomalies.detect_anomalies(star.sales(s, f))),
-        "top_anomalies": lambda s, f: anomalies.top_anomalies(anomalies.detect_anomalies(star.sales(s, f))),
+        "anomaly_label_counts": lambda s, f: anomalies.anomaly_counts(_classify_all(_sales(s, f))),
+        "detect_anomalies": lambda s, f: as_doubles(anomalies.detect_anomalies(_sales(s, f))),
+        "anomaly_counts": lambda s, f: anomalies.anomaly_counts(anomalies.detect_anomalies(_sales(s, f))),
+        "top_anomalies": lambda s, f: anomalies.top_anomalies(anomalies.detect_anomalies(_sales(s, f))),
     }

@@ -11,6 +11,7 @@ from shelfwise.functions import columns as c
 from shelfwise.operators import alerts, cleaning, curation
 from shelfwise.operators.quantiles import exact_quantile, exact_quantiles, trim_to_quantile
 from shelfwise.plans import analytics as a
+from shelfwise.session import written
 from shelfwise.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +69,7 @@ def _ingest_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stage_status(spark: SparkSession, folder: str) -> DataFrame:
-    clean = staged(spark, folder)
+    clean = written(staged(spark, folder))
     return a.stage_status(
         {"raw": star.messy_sales(spark, folder), "staged": clean, "curated": curation.curate_sales(clean)}
     )
@@ -95,7 +96,7 @@ def _price_columns(df: DataFrame) -> DataFrame:
 
 
 def _curated(spark: SparkSession, folder: str) -> DataFrame:
-    return as_doubles(curation.curate_sales(staged(spark, folder)), 6)
+    return as_doubles(curation.curate_sales(written(staged(spark, folder))), 6)
 
 
 def _alert_discount(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Texts are heavy work per byte, so an input with fewer splits than cores is dealt out to all of them.
+    """An input with fewer splits than cores, such as a single small file, is dealt out to all of them.
 
     An input with more splits than cores, as any large one has, is left where it is.
     """
@@ -58,7 +58,8 @@ def line_items_as_sales(lines: DataFrame, spark: SparkSession, folder: str) -> D
 
 def sales(spark: SparkSession, folder: str) -> DataFrame:
     """Clean sales rows with the nine model columns."""
-    return line_items_as_sales(table(spark, folder, "lineitem"), spark, folder).select(*MANDATORY_COLUMNS)
+    lines = spread(table(spark, folder, "lineitem"))
+    return line_items_as_sales(lines, spark, folder).select(*MANDATORY_COLUMNS)
 
 
 def messy_sales(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
@@ -67,7 +68,7 @@ def messy_sales(spark: SparkSession, folder: str, lines: DataFrame | None = None
     Nothing is left out. The order key decides which rows get which defect (missing, zero or
     excessive numbers, odd spelling, bad dates, an unknown label), and some rows come twice.
     """
-    lines = table(spark, folder, "lineitem") if lines is None else lines
+    lines = spread(table(spark, folder, "lineitem")) if lines is None else lines
     rows = line_items_as_sales(lines, spark, folder)
 
     def hits(n: int):
