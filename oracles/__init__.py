@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracles import features, sales, streams, texts
+    from oracles import features, sales, storage, streams, texts
 
-    return {**sales.Q, **features.Q, **texts.Q, **streams.Q}
+    return {**sales.Q, **features.Q, **texts.Q, **streams.Q, **storage.Q}

@@ -15,7 +15,7 @@ def _tuned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All named queries: name -> callable(spark, folder) -> DataFrame."""
-    from shelfwise.plans import registry_models, registry_sales, registry_streams, registry_texts
+    from shelfwise.plans import registry_models, registry_sales, registry_storage, registry_streams, registry_texts
 
-    registries = (registry_sales, registry_models, registry_texts, registry_streams)
+    registries = (registry_sales, registry_models, registry_texts, registry_streams, registry_storage)
     return {name: _tuned(query) for registry in registries for name, query in registry.queries().items()}
