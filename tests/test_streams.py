@@ -79,8 +79,8 @@ def test_stream_dedup(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 2
 
 
-def test_stream_discount_alert_is_stateless(spark):
-    stream = normalise(readers.stream_sales_csv(spark, "/tmp"))
+def test_stream_discount_alert_is_stateless(spark, tmp_path):
+    stream = normalise(readers.stream_sales_csv(spark, str(tmp_path)))
     assert batch.alert_discount(stream).isStreaming
 
 
