@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
+from shelfwise.functions import fixed
 
 Q: dict[str, str] = {}
 
 
-def english_stop_words() -> list[str]:
-    """Spark's own English stop word list, read from the library's resources."""
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as jar:
-        text = jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-    return [w for w in text.split("\n") if w]
-
-
 def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-STOP = "[" + quoted(english_stop_words()) + "]"
+STOP = "[" + quoted(fixed.ENGLISH_STOP_WORDS) + "]"
 STRIP = "trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 PARTS = f"""list_filter(list_transform(string_split(replace(text, chr(10), ' '), '.'),
@@ -100,8 +88,8 @@ def hits(text: str, keywords) -> str:
     return "(" + " + ".join(f"CAST(contains({text}, '{k}') AS INT)" for k in keywords) + ")"
 
 
-GOOD = hits("lower(text)", ["good", "great", "excellent", "best", "top", "high", "increase", "growth"])
-BAD = hits("lower(text)", ["bad", "poor", "low", "decrease", "drop", "loss", "problem", "issue", "anomaly"])
+GOOD = hits("lower(text)", fixed.POSITIVE_WORDS)
+BAD = hits("lower(text)", fixed.NEGATIVE_WORDS)
 Q["sentiment"] = f"""
 WITH judged AS (SELECT doc_id, {GOOD} AS g, {BAD} AS b FROM documents)
 SELECT doc_id, CASE WHEN g > b THEN 'positive' WHEN b > g THEN 'negative' ELSE 'neutral' END AS sentiment,
@@ -110,39 +98,21 @@ SELECT doc_id, CASE WHEN g > b THEN 'positive' WHEN b > g THEN 'negative' ELSE '
        CAST(CASE WHEN g > b THEN 0.05 WHEN b > g THEN 0.8 ELSE 0.1 END AS DOUBLE) AS negative
 FROM judged"""
 
-NO_PHRASE = """the a an is are was were be been have has do does will would can could me my i you we they it this that
-what how why when where which who show give tell get find list""".split()
 Q["key_phrases"] = f"""
 WITH runs AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'),
-    lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND NOT list_contains([{quoted(NO_PHRASE)}], w)) AS w FROM documents),
+    lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND NOT list_contains([{quoted(fixed.PHRASE_STOP_WORDS)}], w)) AS w FROM documents),
 firsts AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i) AS places FROM runs)
 SELECT doc_id, array_to_string(list_transform(places[1:8], lambda i: w[i]), ',') AS key_phrases FROM firsts"""
 
 # messages
 
-FORECAST = hits("m", """forecast,predict,prediction,demand,future,units,how many will,expected sales,next week,next month,
-anomaly,spike,outlier,unusual,detection""".replace("\n", "").split(","))
-POLICY = hits("m", """policy,rule,return,refund,promo,promotion,stock,guideline,procedure,allowed,permitted,regulation,
-compliance,warranty,exchange""".replace("\n", "").split(","))
-ANALYTICS = hits("m", """revenue,sales,top,category,region,monthly,overview,summary,breakdown,trend,performance,best,highest,
-earner,product,store,total""".replace("\n", "").split(","))
-ACTIONS = [
-    ("pull_sales_overview", "overview,summary,total,sales,revenue,how many,overall"),
-    ("pull_top_earners", "top,best,highest,earner,product,leading,most revenue"),
-    ("pull_category_revenue", "category,categories,segment,type,department"),
-    ("pull_region_revenue", "region,area,location,geography,zone,territory"),
-    ("pull_monthly_revenue", "monthly,month,trend,over time,timeline,period"),
-    ("pull_product_breakdown", "product,item,sku,breakdown,detail,specific"),
-    ("search_policy_docs", "policy,rule,return,promo,promotion,stock,guideline,procedure"),
-    ("describe_ml_model", "model,machine learning,ml,random forest,algorithm,training"),
-    ("describe_anomaly_system", "anomaly,spike,outlier,detection,isolation forest,unusual"),
-    ("describe_forecast_system", "forecast,prediction,pipeline,predict,demand,future"),
-]
+FORECAST, POLICY, ANALYTICS = (hits("m", fixed.AGENT_KEYWORDS[n]) for n in (fixed.FORECAST, fixed.POLICY, fixed.ANALYTICS))
+ACTIONS = list(fixed.ACTION_KEYWORDS.items())
 
 
 def routed(source: str) -> str:
     """Adds agent and action to a relation that has ``text``."""
-    scores = ", ".join(f"{hits('m', words.split(','))} AS a{i}" for i, (_, words) in enumerate(ACTIONS))
+    scores = ", ".join(f"{hits('m', words)} AS a{i}" for i, (_, words) in enumerate(ACTIONS))
     best = "greatest(" + ", ".join(f"a{i}" for i in range(10)) + ")"
     pick = " ".join(f"WHEN a{i} = {best} THEN '{name}'" for i, (name, _) in enumerate(ACTIONS))
     return f"""
@@ -152,28 +122,17 @@ routed AS (SELECT *, CASE WHEN f > 0 AND f >= p AND f >= a THEN 'ForecastAgent'
     ELSE 'AnalyticsAgent' END AS agent, CASE {pick} END AS action FROM scored)"""
 
 
-def any_of(words: str) -> str:
-    return "(" + " OR ".join(f"contains(m, '{w}')" for w in words.split(",")) + ")"
-
-
-AGENT_TOOL = f"""CASE
-  WHEN agent = 'PolicyAgent' THEN 'vector_store_rag'
-  WHEN agent = 'ForecastAgent' THEN CASE WHEN {any_of('anomaly,spike,outlier,unusual,detection')} THEN 'get_anomaly_summary'
-    WHEN {any_of('model,algorithm,feature,training,accuracy')} THEN 'get_model_info' ELSE 'get_demand_forecast' END
-  WHEN {any_of('top,best,highest')} THEN 'get_top_products'
-  WHEN {any_of('category,categories')} THEN 'get_category_breakdown'
-  WHEN {any_of('region,area')} THEN 'get_region_breakdown'
-  WHEN {any_of('monthly,month,trend')} THEN 'get_monthly_trend'
-  WHEN {any_of('product,item')} THEN 'get_product_detail' ELSE 'get_sales_overview' END"""
-SESSION_TOOL = f"""CASE
-  WHEN agent = 'PolicyAgent' THEN 'search_policy'
-  WHEN agent = 'ForecastAgent' THEN CASE WHEN {any_of('anomaly,spike,outlier,unusual')} THEN 'get_anomaly_summary'
-    WHEN {any_of('model,algorithm,feature,training')} THEN 'get_model_info' ELSE 'get_demand_forecast' END
-  WHEN {any_of('top,best,highest,leading')} THEN 'get_top_products'
-  WHEN {any_of('category,categories,segment')} THEN 'get_category_breakdown'
-  WHEN {any_of('region,area,location,zone')} THEN 'get_region_breakdown'
-  WHEN {any_of('monthly,month,trend,timeline')} THEN 'get_monthly_trend'
-  WHEN {any_of('product,item,sku,detail')} THEN 'get_product_detail' ELSE 'get_sales_overview' END"""
+def tool_of(tools, fallback) -> str:
+    """SQL for the first tool of the row's agent one of whose words occurs in ``m``."""
+    def chosen(agent: str) -> str:
+        tests = [f"WHEN {' OR '.join(f'contains(m, {quoted([w])})' for w in words)} THEN '{name}'" for name, words in tools[agent].items()]
+        return f"CASE {' '.join(tests)} ELSE '{fallback[agent]}' END" if tests else f"'{fallback[agent]}'"
+
+    return f"CASE agent {' '.join(f'WHEN {quoted([a])} THEN {chosen(a)}' for a in tools)} END"
+
+
+AGENT_TOOL = tool_of(fixed.AGENT_TOOLS, fixed.ANSWERING_FALLBACK)
+SESSION_TOOL = tool_of(fixed.SESSION_TOOLS, fixed.FALLBACK_TOOL)
 
 QUESTIONS = """
 questions AS (SELECT 'P' || p_partkey AS session_id, p_name AS answer, CASE p_size % 12

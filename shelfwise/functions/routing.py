@@ -5,81 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfwise.functions.fixed import (
+    ACTION_KEYWORDS,
+    AGENT_KEYWORDS,
+    AGENT_TOOLS,
+    ANALYTICS,
+    ANSWERING_FALLBACK,
+    DEFAULT_FORECAST,
+    FALLBACK_TOOL,
+    FORECAST,
+    POLICY,
+    SESSION_TOOLS,
+)
 from shelfwise.functions.text import hits, hits_any
 
-ANALYTICS, POLICY, FORECAST = "AnalyticsAgent", "PolicyAgent", "ForecastAgent"
-
-# The keywords of each agent. A keyword counts wherever it occurs, inside words too.
-AGENT_KEYWORDS = {
-    FORECAST: (
-        "forecast", "predict", "prediction", "demand", "future", "units",
-        "how many will", "expected sales", "next week", "next month",
-        "anomaly", "spike", "outlier", "unusual", "detection",
-    ),
-    POLICY: (
-        "policy", "rule", "return", "refund", "promo", "promotion",
-        "stock", "guideline", "procedure", "allowed", "permitted",
-        "regulation", "compliance", "warranty", "exchange",
-    ),
-    ANALYTICS: (
-        "revenue", "sales", "top", "category", "region", "monthly",
-        "overview", "summary", "breakdown", "trend", "performance",
-        "best", "highest", "earner", "product", "store", "total",
-    ),
-}
-
-# The actions in their order of preference, with their keywords.
-ACTION_KEYWORDS = {
-    "pull_sales_overview": ("overview", "summary", "total", "sales", "revenue", "how many", "overall"),
-    "pull_top_earners": ("top", "best", "highest", "earner", "product", "leading", "most revenue"),
-    "pull_category_revenue": ("category", "categories", "segment", "type", "department"),
-    "pull_region_revenue": ("region", "area", "location", "geography", "zone", "territory"),
-    "pull_monthly_revenue": ("monthly", "month", "trend", "over time", "timeline", "period"),
-    "pull_product_breakdown": ("product", "item", "sku", "breakdown", "detail", "specific"),
-    "search_policy_docs": ("policy", "rule", "return", "promo", "promotion", "stock", "guideline", "procedure"),
-    "describe_ml_model": ("model", "machine learning", "ml", "random forest", "algorithm", "training"),
-    "describe_anomaly_system": ("anomaly", "spike", "outlier", "detection", "isolation forest", "unusual"),
-    "describe_forecast_system": ("forecast", "prediction", "pipeline", "predict", "demand", "future"),
-}
-
-# Tools of the agents, tried in this order, each with the words that select it.
-AGENT_TOOLS = {
-    ANALYTICS: {
-        "get_top_products": ("top", "best", "highest"),
-        "get_category_breakdown": ("category", "categories"),
-        "get_region_breakdown": ("region", "area"),
-        "get_monthly_trend": ("monthly", "month", "trend"),
-        "get_product_detail": ("product", "item"),
-    },
-    FORECAST: {
-        "get_anomaly_summary": ("anomaly", "spike", "outlier", "unusual", "detection"),
-        "get_model_info": ("model", "algorithm", "feature", "training", "accuracy"),
-    },
-    POLICY: {},
-}
-SESSION_TOOLS = {
-    ANALYTICS: {
-        "get_top_products": ("top", "best", "highest", "leading"),
-        "get_category_breakdown": ("category", "categories", "segment"),
-        "get_region_breakdown": ("region", "area", "location", "zone"),
-        "get_monthly_trend": ("monthly", "month", "trend", "timeline"),
-        "get_product_detail": ("product", "item", "sku", "detail"),
-    },
-    FORECAST: {
-        "get_anomaly_summary": ("anomaly", "spike", "outlier", "unusual"),
-        "get_model_info": ("model", "algorithm", "feature", "training"),
-    },
-    POLICY: {},
-}
-FALLBACK_TOOL = {ANALYTICS: "get_sales_overview", FORECAST: "get_demand_forecast", POLICY: "search_policy"}
-ANSWERING_FALLBACK = {**FALLBACK_TOOL, POLICY: "vector_store_rag"}
-
-# The request a forecast tool runs with when a message names none.
-DEFAULT_FORECAST = {
-    "product_id": "PROD_001", "target_date": "2025-07-01", "price": "100.0", "discount": "0.0",
-    "store_id": "STORE_A", "region": "North",
-}
-
 
 def agent(message: Column) -> Column:
     """Best keyword score; a tie goes to the forecast agent, then to policy; no hit means analytics."""

@@ -7,30 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfwise.functions.fixed import CONFIDENCE, NEGATIVE_WORDS, PHRASE_STOP_WORDS, POSITIVE_WORDS
+
 WORD_RUN = r"([\p{L}\p{N}_]+)"
 TERM_RUN = r"([\p{L}\p{N}_]{2,})"
 BLANKS = " \t\r\n\f\u000b"
 
-# Words that make a text sound good or bad. They are looked for anywhere in the text.
-POSITIVE_WORDS = ("good", "great", "excellent", "best", "top", "high", "increase", "growth")
-NEGATIVE_WORDS = ("bad", "poor", "low", "decrease", "drop", "loss", "problem", "issue", "anomaly")
-
-# Confidence of (positive, neutral, negative) for each verdict.
-CONFIDENCE = {
-    "positive": (0.8, 0.15, 0.05),
-    "negative": (0.05, 0.15, 0.8),
-    "neutral": (0.1, 0.8, 0.1),
-}
-
-# Words that are no key phrases.
-PHRASE_STOP_WORDS = (
-    "the", "a", "an", "is", "are", "was", "were", "be", "been",
-    "have", "has", "do", "does", "will", "would", "can", "could",
-    "me", "my", "i", "you", "we", "they", "it", "this", "that",
-    "what", "how", "why", "when", "where", "which", "who",
-    "show", "give", "tell", "get", "find", "list",
-)
-
 
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))

@@ -65,7 +65,7 @@ def fit_forest(df: DataFrame, trees: int = 100, sample_rows: int = 256, seed: in
     # drawn once and written, so that a retried task does not draw other rows
     drawn = cut_lineage(figures.sample(fraction=fraction, seed=seed) if fraction < 1 else figures)
     if fraction < 1:
-        dealt = drawn.withColumn("tree", F.pmod(F.monotonically_increasing_id(), F.lit(trees)).cast("int"))
+        dealt = drawn.withColumn("tree", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(trees)).cast("int"))
     else:  # fewer rows than the forest asks for: every tree samples from all of them
         dealt = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     deepest = math.ceil(math.log2(max(rows_per_tree, 2)))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Python workers get this package's functions with their code: it need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 
 def build_session(app_name: str = "shelfwise", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are tuned for; ``conf`` overrides any of them.
@@ -54,7 +59,7 @@ def shared_folder(spark: SparkSession) -> str:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(configured)
         return configured
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shelfwise-"))

@@ -36,7 +36,9 @@ def stream_sales_csv(spark: SparkSession, folder: str, files_per_batch: int = 10
     return reader.schema(TEXT_SCHEMA).csv(folder)
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Stream over the Parquet file or folder ``name.parquet`` of ``folder``."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stream over the Parquet file ``name.parquet`` of ``folder``, or over all files of a folder of that name."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # as a pattern the path may name a file; a plain path must be a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{name}.parque[t]")
