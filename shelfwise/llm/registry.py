@@ -10,12 +10,16 @@ from shelfwise.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from shelfwise.llm import simhash
+    from shelfwise.llm import bpe, mixing, simhash
 
     return {
+        "op5_mixing": lambda spark, folder: mixing.op5_mixing(table(spark, folder, "documents")),
+        "op8_token_counts": lambda spark, folder: bpe.op8_token_counts(table(spark, folder, "documents")),
         "op9_simhash": lambda spark, folder: simhash.op9_simhash(table(spark, folder, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from shelfwise.llm import mixing
+
+    return {"op5_mixing": mixing.OP5_SQL}
