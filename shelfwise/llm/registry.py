@@ -10,16 +10,18 @@ from shelfwise.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from shelfwise.llm import bpe, mixing, simhash
+    from shelfwise.llm import bpe, mixing, secrets, simhash, warc
 
     return {
+        "op1_secret_scan": lambda spark, folder: secrets.op1_secret_scan(table(spark, folder, "documents")),
         "op5_mixing": lambda spark, folder: mixing.op5_mixing(table(spark, folder, "documents")),
+        "op7_warc": lambda spark, folder: warc.op7_warc(table(spark, folder, "pages")),
         "op8_token_counts": lambda spark, folder: bpe.op8_token_counts(table(spark, folder, "documents")),
         "op9_simhash": lambda spark, folder: simhash.op9_simhash(table(spark, folder, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from shelfwise.llm import mixing
+    from shelfwise.llm import mixing, warc
 
-    return {"op5_mixing": mixing.OP5_SQL}
+    return {"op5_mixing": mixing.OP5_SQL, "op7_warc": warc.OP7_SQL}
