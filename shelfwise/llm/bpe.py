@@ -139,7 +139,8 @@ def _merge(tokens: list[str], pieces: Pieces) -> np.ndarray:
 class TokenCounter:
     """Counts the tokens that a BPE piece model of the sentencepiece kind makes of a text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = 500_000) -> None:
+        """``remembered`` bounds the pre-tokens whose counts are kept from one batch to the next."""
         from sentencepiece import sentencepiece_model_pb2 as formats
 
         model = formats.ModelProto()
@@ -155,14 +156,19 @@ class TokenCounter:
         if any(MARK in p.lstrip(MARK) for p, _ in scored):
             raise ValueError("a piece crosses a word mark")
         self.pieces = Pieces(scored)
+        self.known: dict[str, int] = {}
+        self.remembered = remembered
 
     def pre_tokens(self, text: str) -> list[str]:
         return PRE_TOKEN.findall(self.prefix + text.replace(" ", MARK)) if text else []
 
     def counts(self, texts: list[str]) -> list[int]:
         split = [Counter(self.pre_tokens(t)) for t in texts]
-        unique = list(dict.fromkeys(w for words in split for w in words))
-        known = dict(zip(unique, count_pieces(unique, self.pieces).tolist()))
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        known = self.known
+        new = list(dict.fromkeys(w for words in split for w in words if w not in known))
+        known.update(zip(new, count_pieces(new, self.pieces).tolist()))
         return [sum(known[w] * n for w, n in words.items()) for words in split]
 
 

@@ -104,7 +104,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.cumprod(out)
@@ -118,11 +118,11 @@ class WordHasher:
     """
 
     def __init__(self) -> None:
-        self.up, self.down = _powers(BASE, CHUNK + 2), _powers(INVERSE, CHUNK + 2)
+        self.up, self.down = powers(BASE, CHUNK + 2), powers(INVERSE, CHUNK + 2)
 
     def _room(self, n: int) -> None:
         if n + 2 > len(self.up):  # a single word longer than a chunk
-            self.up, self.down = _powers(BASE, n + 2), _powers(INVERSE, n + 2)
+            self.up, self.down = powers(BASE, n + 2), powers(INVERSE, n + 2)
 
     def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and hashes of the words in an array of bytes."""

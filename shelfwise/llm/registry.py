@@ -10,11 +10,12 @@ from shelfwise.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from shelfwise.llm import bpe, mixing, secrets, simhash, warc
+    from shelfwise.llm import bpe, mixing, phrases, secret_scan, simhash, warc
 
     return {
-        "op1_secret_scan": lambda spark, folder: secrets.op1_secret_scan(table(spark, folder, "documents")),
+        "op1_secret_scan": lambda spark, folder: secret_scan.op1_secret_scan(table(spark, folder, "documents")),
         "op5_mixing": lambda spark, folder: mixing.op5_mixing(table(spark, folder, "documents")),
+        "op6_phrase_fingerprints": lambda spark, folder: phrases.op6_phrase_fingerprints(table(spark, folder, "documents")),
         "op7_warc": lambda spark, folder: warc.op7_warc(table(spark, folder, "pages")),
         "op8_token_counts": lambda spark, folder: bpe.op8_token_counts(table(spark, folder, "documents")),
         "op9_simhash": lambda spark, folder: simhash.op9_simhash(table(spark, folder, "documents")),
