@@ -10,10 +10,12 @@ from shelfwise.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from shelfwise.llm import bpe, mixing, phrases, secret_scan, simhash, warc
+    from shelfwise.llm import bpe, mixing, phrases, quality, secret_scan, simhash, templates, warc
 
     return {
         "op1_secret_scan": lambda spark, folder: secret_scan.op1_secret_scan(table(spark, folder, "documents")),
+        "op3_main_text": lambda spark, folder: templates.op3_main_text(table(spark, folder, "pages")),
+        "op4_quality": lambda spark, folder: quality.op4_quality(table(spark, folder, "documents"), table(spark, folder, "labels")),
         "op5_mixing": lambda spark, folder: mixing.op5_mixing(table(spark, folder, "documents")),
         "op6_phrase_fingerprints": lambda spark, folder: phrases.op6_phrase_fingerprints(table(spark, folder, "documents")),
         "op7_warc": lambda spark, folder: warc.op7_warc(table(spark, folder, "pages")),
