@@ -117,7 +117,9 @@ class WordHasher:
     that all words of a block are hashed by a few array operations.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, blank: np.ndarray = IS_BLANK) -> None:
+        """``blank``: for each byte, whether it parts words."""
+        self.blank = blank
         self.up, self.down = powers(BASE, CHUNK + 2), powers(INVERSE, CHUNK + 2)
 
     def _room(self, n: int) -> None:
@@ -126,7 +128,7 @@ class WordHasher:
 
     def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and hashes of the words in an array of bytes."""
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], IS_BLANK[data], [True])).view(np.int8)))
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], self.blank[data], [True])).view(np.int8)))
         starts, ends = edge[::2], edge[1::2]
         out = np.empty(len(starts), np.uint64)
         first = 0

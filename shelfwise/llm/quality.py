@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from shelfwise.llm.common import remainder, slices, texts_of
 
@@ -164,7 +165,7 @@ def scored(docs: DataFrame, model: Ranking) -> DataFrame:
             rows = np.array([figures(t) for t in texts_of(batch)], float).reshape(batch.num_rows, len(FIGURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(rows))], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("score", DoubleType())]))
 
 
 def held_out(doc_id):

@@ -10,7 +10,7 @@ from shelfwise.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from shelfwise.llm import bpe, mixing, phrases, quality, secret_scan, simhash, templates, warc
+    from shelfwise.llm import bpe, leaks, mixing, phrases, quality, secret_scan, simhash, templates, warc
 
     return {
         "op1_secret_scan": lambda spark, folder: secret_scan.op1_secret_scan(table(spark, folder, "documents")),
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc": lambda spark, folder: warc.op7_warc(table(spark, folder, "pages")),
         "op8_token_counts": lambda spark, folder: bpe.op8_token_counts(table(spark, folder, "documents")),
         "op9_simhash": lambda spark, folder: simhash.op9_simhash(table(spark, folder, "documents")),
+        "op10_decontamination": lambda spark, folder: leaks.op10_decontamination(
+            table(spark, folder, "documents"), table(spark, folder, "benchmark")
+        ),
     }
 
 
