@@ -157,15 +157,15 @@ def learn(docs: DataFrame, labels: DataFrame, usable=None, sample: int = SAMPLE)
     return fit(rows[np.lexsort(rows.T)], found["good"].to_numpy()[np.lexsort(rows.T)])
 
 
-def scored(docs: DataFrame, model: Ranking) -> DataFrame:
-    """All columns of ``docs`` and ``score``; ``docs`` must not have a column of that name."""
+def scored(docs: DataFrame, model: Ranking, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score under a name that ``docs`` does not have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = np.array([figures(t) for t in texts_of(batch)], float).reshape(batch.num_rows, len(FIGURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(rows))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(rows))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, DoubleType())]))
 
 
 def held_out(doc_id):

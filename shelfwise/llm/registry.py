@@ -10,10 +10,14 @@ from shelfwise.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from shelfwise.llm import bpe, leaks, mixing, phrases, quality, secret_scan, simhash, templates, warc
+    from shelfwise.llm import bpe, kneser_ney, leaks, mixing, phrases, quality, secret_scan, simhash, templates, warc
+
+    import corpus_pipeline
 
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_secret_scan": lambda spark, folder: secret_scan.op1_secret_scan(table(spark, folder, "documents")),
+        "op2_kneser_ney": lambda spark, folder: kneser_ney.op2_kneser_ney(table(spark, folder, "documents")),
         "op3_main_text": lambda spark, folder: templates.op3_main_text(table(spark, folder, "pages")),
         "op4_quality": lambda spark, folder: quality.op4_quality(table(spark, folder, "documents"), table(spark, folder, "labels")),
         "op5_mixing": lambda spark, folder: mixing.op5_mixing(table(spark, folder, "documents")),
