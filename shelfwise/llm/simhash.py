@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from shelfwise.llm.common import slices, stored, texts_of
 
@@ -35,6 +36,11 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.
 #: the (radius + 1) add up to 5.
 SEGMENTS = ((22, 1), (21, 1), (21, 0))
 
+#: Near copies: links of up to 7 bits of the word fingerprint, with 12 bits of the shingle fingerprint
+#: (64 * acos(0.889) / pi is 9.7 at a similarity of 0.8, and two bits or so are noise).
+COPY_RADIUS, PROOF_RADIUS = 7, 12
+COPY_SEGMENTS = ((16, 1), (16, 1), (16, 1), (16, 1))
+
 
 def majority(hashes: np.ndarray) -> int:
     """The bits that are set in more than half of the 64-bit hashes."""
@@ -48,9 +54,13 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+def words_of(text: str) -> list[bytes]:
+    """The words as bytes, A-Z as a-z."""
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).split()  # bytes.split knows just these blanks
+
+
+def shingle_print(words: list[bytes], shingle: int = 4, seed: int = 42) -> int:
     """Majority of the XXH64 hashes of all runs of ``shingle`` words, repeats included."""
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()  # bytes.split knows just these blanks
     if not words:
         return 0
     joined = b" ".join(words)
@@ -63,15 +73,32 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return majority(np.array(hashes, np.uint64))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint as the signed long with the same bits."""
+def word_print(words: list[bytes], seed: int = 42) -> int:
+    """Majority of the hashes of the distinct words: moves far less than that of shingles when words change."""
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(w, seed) for w in set(words)], np.uint64))
+
+
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    return shingle_print(words_of(text), shingle, seed)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, by_words: bool = False) -> DataFrame:
+    """``(doc_id, fp, proof)``, fingerprints as the signed longs with the same bits.
+
+    ``fp`` is looked up and ``proof`` only compared. They are the same shingle fingerprint, but with
+    ``by_words`` the fingerprint of the distinct words is looked up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = np.array([fingerprint(t, shingle, seed) for t in texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            words = [words_of(t) for t in texts_of(batch)]
+            proof = np.array([shingle_print(w, shingle, seed) for w in words], np.uint64).view(np.int64)
+            fp = np.array([word_print(w, seed) for w in words], np.uint64).view(np.int64) if by_words else proof
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(proof)], ["doc_id", "fp", "proof"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, fp long, proof long")
 
 
 def _segments(layout: tuple[tuple[int, int], ...]) -> list[tuple[int, int, int]]:
@@ -97,29 +124,32 @@ def _moved(value: Column, masks: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m))
 
 
-def links(distinct: DataFrame, radius: int = 4, layout: tuple[tuple[int, int], ...] = SEGMENTS) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of the distinct fingerprints ``fp`` that differ in 1 to ``radius`` bits.
+def links(
+    nodes: DataFrame, radius: int = 4, layout: tuple[tuple[int, int], ...] = SEGMENTS, proof_radius: int = 64
+) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of the rows of ``nodes`` (node, fp, proof) that differ by few bits.
 
-    Every pair comes once: of the segments in which it could be found, the first reports it.
+    Up to ``radius`` bits of ``fp`` and ``proof_radius`` bits of ``proof``. Every pair comes once: of the
+    segments in which it could be found, the first reports it.
     """
     if sum(r + 1 for _, r in layout) <= radius:
         raise ValueError("the segment radii are too small for this radius")
     segments = _segments(layout)
-    filed = distinct.select(
-        F.col("fp").alias("b"),
+    filed = nodes.select(
+        F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("proof").alias("b_proof"),
         F.posexplode(F.array(*[_value(F.col("fp"), s, n) for s, n, _ in segments])).alias("segment", "value"),
     )
-    probes = distinct.select(
-        F.col("fp").alias("a"),
-        F.posexplode(
-            F.array(*[_moved(_value(F.col("fp"), s, n), _ball(n, r)) for s, n, r in segments])
-        ).alias("segment", "values"),
-    ).select("a", "segment", F.explode("values").alias("value"))
-    apart = F.col("a").bitwiseXOR(F.col("b"))
+    probes = nodes.select(
+        F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("proof").alias("a_proof"),
+        F.posexplode(F.array(*[_moved(_value(F.col("fp"), s, n), _ball(n, r)) for s, n, r in segments])).alias("segment", "values"),
+    ).select("a", "a_fp", "a_proof", "segment", F.explode("values").alias("value"))
+    apart = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
     earlier = F.lit(False)
     for i, (s, n, r) in enumerate(segments[:-1]):
         earlier = earlier | ((F.col("p.segment") > i) & (F.bit_count(_value(apart, s, n)) <= r))
     near = (F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius) & ~earlier
+    if proof_radius < 64:
+        near = near & (F.bit_count(F.col("a_proof").bitwiseXOR(F.col("b_proof"))) <= proof_radius)
     same = (F.col("p.segment") == F.col("f.segment")) & (F.col("p.value") == F.col("f.value"))
     return probes.alias("p").join(filed.alias("f"), same & near).select("a", "b")
 
@@ -148,15 +178,49 @@ def components(edges: DataFrame, limit: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp, component_id)``: one row per document; the component's smallest reachable id."""
-    marked = stored(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def _grouped(marked: DataFrame, node, **how) -> DataFrame:
+    """``(doc_id, fp, node, root, component_id)`` from fingerprints: components of the links between nodes."""
+    rows = stored(marked.withColumn("node", node), "fingerprints")
+    nodes = stored(rows.groupBy("node", "fp", "proof").agg(F.min("doc_id").alias("first_id")), "nodes")
+    roots = components(links(nodes, **how))
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = placed.join(smallest, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_node = placed.join(smallest, "root").select("node", "root", "component_id")
+    return rows.join(of_node, "node").select("doc_id", "fp", "node", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """``(doc_id, fp, node, root, component_id)``: one row per document; the component's smallest reachable id."""
+    return _grouped(fingerprints(docs, shingle, seed), F.col("fp"), radius=radius)
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """The same for texts of about 0.8 similarity or more in their shingles of five words.
+
+    Fingerprints of shingles move by some ten bits at that similarity, too many to enumerate. So the
+    fingerprint of the distinct words is looked up, within ``COPY_RADIUS`` bits, and that of the shingles
+    proves the find, within ``PROOF_RADIUS`` bits.
+    """
+    node = F.xxhash64("fp", "proof")
+    return _grouped(
+        fingerprints(docs, shingle, seed, by_words=True), node, radius=COPY_RADIUS, layout=COPY_SEGMENTS, proof_radius=PROOF_RADIUS
+    )
+
+
+def with_node(docs: DataFrame, name: str, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """All columns of ``docs`` and the node of each row in ``near_copies``, under a name that ``docs`` does not have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = [words_of(t) for t in texts_of(batch)]
+            prints = [
+                pa.array(np.array([make(w) for w in words], np.uint64).view(np.int64))
+                for make in (lambda w: word_print(w, seed), lambda w: shingle_print(w, shingle, seed))
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *prints], [*batch.schema.names, name, f"{name}_proof"])
+
+    rows = docs.mapInArrow(run, StructType([*docs.schema, StructField(name, LongType()), StructField(f"{name}_proof", LongType())]))
+    return rows.withColumn(name, F.xxhash64(name, f"{name}_proof")).drop(f"{name}_proof")
 
 
 def hex_digits(fp: Column) -> Column:
