@@ -133,6 +133,7 @@ class Model:
     lower: tuple[float, float, float]
     types: int  # distinct bigrams
     unseen: float  # share of the lowest order spread evenly
+    filled: frozenset[int] = frozenset()  # shards with bigrams; a bigram as frequent as a shard is long leaves its neighbours empty
 
     @property
     def words(self) -> int:
@@ -213,8 +214,8 @@ class Lookup:
         edges = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
         for s in np.unique(shard):
             mine = order[edges[s] : edges[s + 1]]
-            known = self.array(f"bigrams-{s}")
-            if len(known):
+            if s in self.model.filled:
+                known = self.array(f"bigrams-{s}")
                 at = np.minimum(np.searchsorted(known, keys[mine]), len(known) - 1)
                 out[mine] = np.where(known[at] == keys[mine], self.array(f"bigram-counts-{s}")[at], 0)
         return out
@@ -231,8 +232,8 @@ class Lookup:
         edges = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
         for s in np.unique(shard):
             mine = owner[order[edges[s] : edges[s + 1]]]
-            heads = self.array(f"heads-{s}")
-            if len(heads):
+            if s in self.model.filled:
+                heads = self.array(f"heads-{s}")
                 at = np.minimum(np.searchsorted(heads, ranks[mine]), len(heads) - 1)
                 hit = heads[at] == ranks[mine]
                 out[mine[hit]] += self.array(f"head-counts-{s}")[at[hit]]
@@ -342,7 +343,7 @@ def _previous(ranks: np.ndarray, sizes: np.ndarray, look: Lookup) -> np.ndarray:
 
 
 def _merge_bigrams(blocks: DataFrame, model: Model) -> DataFrame:
-    """Writes the arrays of each shard; ``(part, words, contexts)`` and, with part -1, counts of counts."""
+    """Writes the arrays of each shard; ``(part, words, contexts)`` and, with part -1, the shard and its counts of counts."""
     folder, span = model.folder, model.span
 
     def run(table: pa.Table) -> pa.Table:
@@ -362,7 +363,7 @@ def _merge_bigrams(blocks: DataFrame, model: Model) -> DataFrame:
         ofs = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
         return pa.table({
             "part": pa.array([-1, *some.tolist()], pa.int64()),
-            "words": pa.array([b"", *[packed(words[a:b]) for a, b in zip(start, ends)]], pa.binary()),
+            "words": pa.array([packed(np.array([shard])), *[packed(words[a:b]) for a, b in zip(start, ends)]], pa.binary()),
             "contexts": pa.array([packed_counts(np.append(ofs, len(keys))), *[packed_counts(contexts[a:b]) for a, b in zip(start, ends)]], pa.binary()),
         })
 
@@ -402,7 +403,9 @@ def train_model(train: DataFrame, shard_tokens: int = SHARD_TOKENS, part_words:
         return model
     _running_sums(spark, model)
     partial = stored(_merge_bigrams(_bigram_blocks(train, model), model), "contexts")
-    ofs = np.sum([unpacked_counts(r["contexts"]) for r in partial.where("part = -1").toLocalIterator()], axis=0)
+    of_shard = partial.where("part = -1").collect()  # a few numbers a shard
+    model.filled = frozenset(int(unpacked(r["words"])[0]) for r in of_shard)
+    ofs = np.sum([unpacked_counts(r["contexts"]) for r in of_shard], axis=0)
     lower = _merge_contexts(partial, model)
     model.discounts, model.lower = discounts(*ofs[:4].tolist()), discounts(*lower[:4].tolist())
     model.types = int(lower[5])

@@ -93,7 +93,8 @@ class Ranking:
         return steps.reshape(len(rows), -1)
 
     def strength(self, rows: np.ndarray) -> np.ndarray:
-        return self.features(rows) @ self.weights
+        # summed row by row, so that equal texts have equal strengths whatever stands beside them
+        return (self.features(rows) * self.weights).sum(axis=1)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         x = self.slope * (self.strength(rows) - self.cut) + np.log(THRESHOLD / (1 - THRESHOLD))
@@ -121,7 +122,7 @@ def fit(rows: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = 1
         model.weights = model.weights - step
         if np.abs(step).max() < 1e-4:
             break
-    strength = features @ model.weights
+    strength = model.strength(rows)
     order = np.sort(strength)
     levels = np.unique(np.linspace(0, 1, 201))
     cuts = np.quantile(order, levels)

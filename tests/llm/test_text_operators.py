@@ -1,0 +1,265 @@
+"""Operators on single texts against plain versions of the same rules."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from shelfwise.llm import bpe, kneser_ney, phrases, quality, secret_scan
+from tests.llm.data import SF, no_documents, odd_documents, rows_of
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return odd_documents(spark)
+
+
+def texts(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+# secret scans
+
+
+def plain_spans(text):
+    names = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+    found = [("assign", m) for m in re.finditer(rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    found += [("access", m) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [("hex", m) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    order = ["assign", "access", "hex"]
+    return sorted(((k, *m.span()) for k, m in found), key=lambda s: (s[1], order.index(s[0])))
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_base_spans(table, request):
+    df = request.getfixturevalue(table)
+    expected = []
+    for doc_id, text in texts(df):
+        base = plain_spans(text)
+        kinds = Counter(k for k, _, _ in base)
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        expected.append((doc_id, kinds["assign"], kinds["access"], kinds["hex"], digest))
+    got = secret_scan.op1_secret_scan(df).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    assert rows_of(got) == sorted(expected, key=repr)
+
+
+def test_base_spans_of_odd_texts():
+    rng = random.Random(3)
+    parts = ["password", "PassWd", "ſecret", "toKen", "api_key", "APIKEY", '"', "'", " ", ":", "=", "AKIA", "ABCD1234", "deadbeef" * 4, "Zz9/+_.-", "é", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert secret_scan.base_spans(text) == plain_spans(text)
+
+
+def test_novelty():
+    random_key = "Zk8sQ2mXv9Lp4RtYw1Bn7Ad0"
+    text = f"the api credential is {random_key} for now"
+    assert secret_scan.scan_text(text) == [("novel", 22, 46)]
+    assert secret_scan.scan_text(f"{text}, again {random_key}") == []  # no news next to its own copy
+    assert secret_scan.scan_text(f"a value is {random_key}") == []  # no sensitive context
+    assert secret_scan.scan_text("auth key: abcdefghijklmnopqrstuvwxyz0123456789") == []  # known to the dictionary
+    assert secret_scan.redacted(text, secret_scan.scan_text(text)) == "the api credential is [NOVEL] for now"
+
+
+def test_redact_keeps_columns(odd):
+    got = secret_scan.redact(odd)
+    assert got.columns == odd.columns and rows_of(got) == rows_of(odd)
+
+
+# language model
+
+
+def plain_model(train, texts):
+    tokens = lambda t: WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) + [None]
+    unigrams, bigrams = Counter(), Counter()
+    for t in train:
+        unigrams.update(tokens(t)), bigrams.update(zip([None, *tokens(t)], tokens(t)))
+    n, v, contexts = sum(unigrams.values()), len(unigrams), Counter(w for _, w in bigrams)
+    followers = {}
+    for (u, _), c in bigrams.items():
+        followers.setdefault(u, Counter())[min(c, 3)] += 1
+
+    def discounts(counts):
+        of = Counter(counts)
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] + 2 * of[2] else 0.0
+        return [0] + [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0), k) if of[k] else k / 2 for k in (1, 2, 3)]
+
+    upper, lower = discounts(bigrams.values()), discounts(contexts.values())
+    types = max(1, len(bigrams))
+    even = sum(lower[min(c, 3)] for c in contexts.values()) / types if n else 1.0
+
+    def p(u, w):
+        low = (contexts[w] - lower[min(contexts[w], 3)]) / types + even / (v + 1)
+        if u not in unigrams:
+            return low
+        c = bigrams[u, w]
+        spare = sum(upper[k] * m for k, m in followers[u].items()) / unigrams[u]
+        return (c - upper[min(c, 3)]) / unigrams[u] + spare * low
+
+    out = []
+    for t in texts:
+        ts = tokens(t)
+        base = sum(math.log10((unigrams[w] + 1) / (n + v + 1)) for w in ts)
+        out.append((len(ts), sum(w in unigrams for w in ts), base, sum(math.log10(p(u, w)) for u, w in zip([None, *ts], ts))))
+    return n, out
+
+
+@pytest.mark.parametrize("table,shard,part", [("docs", 5000, 2000), ("docs", 4_000_000, 2_000_000), ("odd", 500, 5)])
+def test_model_equals_plain_counts(table, shard, part, request):
+    df = request.getfixturevalue(table)
+    split = [(i, t, zlib.crc32(str("null" if i is None else i).encode()) % 7 == 2) for i, t in texts(df)]
+    n, expected = plain_model([t for _, t, held in split if not held], [t for _, t, _ in split])
+    model = kneser_ney.train_model(df.where("NOT " + "crc32(coalesce(cast(doc_id AS string), 'null')) % 7 = 2"), shard, part)
+    assert model.tokens == n
+    got = sorted(map(tuple, kneser_ney.scored(df, model).collect()), key=repr)
+    want = sorted(((i, *e) for (i, _, _), e in zip(split, expected)), key=repr)
+    for g, w in zip(got, want, strict=True):
+        assert g[:3] == w[:3]
+        assert g[3:] == pytest.approx(w[3:], rel=1e-9, abs=1e-9)
+
+
+def test_probabilities_sum_to_one(docs):
+    import numpy as np
+
+    from shelfwise.llm.common import WordHasher
+
+    model = kneser_ney.train_model(docs.where("doc_id < 40"), 3000, 1000)
+    words = sorted({w for _, t in texts(docs.where("doc_id < 40")) for w in WORD.findall(t.lower()) if w.isascii()})
+    rest = model.words + 1 - 1 - len(words)  # other words, not the end, and one unknown word
+    look, hasher = kneser_ney.Lookup(model), WordHasher()
+    known = 10 ** kneser_ney.score_texts(["the"], hasher, look)["score"][0]
+    total = sum(10 ** (kneser_ney.score_texts([f"the {w}"], hasher, look)["score"][0]) for w in words[:50])
+    assert 0 < total < 1 and rest > 0 and known < 1 and np.isfinite(total)
+
+
+def test_held_out_texts_score_above_base(docs):
+    rows = kneser_ney.op2_kneser_ney(docs).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert rows["sum(score)"] > rows["sum(base_score)"]
+
+
+def test_model_of_nothing(spark):
+    assert kneser_ney.op2_kneser_ney(no_documents(spark)).collect() == []
+    model = kneser_ney.train_model(no_documents(spark))
+    got = kneser_ney.scored(odd_documents(spark).where("doc_id = 8"), model).collect()
+    assert [(r.n_tokens, r.n_known, r.score) for r in got] == [(2, 0, 0.0)] * 2
+
+
+# token counts
+
+
+@pytest.fixture(scope="module")
+def library():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return bpe.TokenCounter(path), sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_token_counts(table, library, request):
+    df = request.getfixturevalue(table)
+    expected = [(i, len(t.encode()), n := len(library[1].encode(t)), n > 4096) for i, t in texts(df)]
+    assert rows_of(bpe.op8_token_counts(df)) == sorted(expected, key=repr)
+
+
+def test_token_counts_of_odd_texts(library):
+    rng = random.Random(5)
+    odd = ["", " ", "   x", "a" * 999, "ab" * 700, "\0", "<s> </s> <unk> <0x41>", "▁▁ ▁a", "😀é日" * 30, "1234567890" * 20, "\r\n\t"]
+    odd += ["".join(rng.choice("abcdeth <>-=_ \n▁é日😀0123") for _ in range(rng.randint(1, 200))) for _ in range(1500)]
+    assert library[0].counts(odd) == [len(library[1].encode(t)) for t in odd]
+
+
+def test_careful_pieces_merge_one_at_a_time():
+    pieces = bpe.Pieces([(c, -100.0) for c in "abc"] + [("ab", -5.0), ("abc", -1.0), ("bc", -3.0), ("cab", -2.0)])
+
+    def plain(token):
+        parts = list(token)
+        while True:
+            joins = [(pieces.rank.get(a + b, 99), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            rank, i = min(joins, default=(99, 0))
+            if rank == 99:
+                return len(parts)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    rng = random.Random(1)
+    tokens = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 30))) for _ in range(800)]
+    assert bpe.count_pieces(tokens, pieces).tolist() == [plain(t) for t in tokens]
+
+
+# phrase fingerprints
+
+
+@pytest.mark.parametrize("table,per_range", [("docs", 2000), ("docs", 7), ("odd", 2000), ("odd", 2)])
+def test_phrase_fingerprints(table, per_range, request):
+    df = request.getfixturevalue(table)
+    rows = sorted(texts(df), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    signer, expected = phrases.Signer(), []
+    for (i, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        q = len(text) // 4
+        edited = text[: len(text) - q] + following[:q]
+        a, b, c = signer.sign(text), signer.sign(edited), signer.sign(following)
+        digest = hashlib.sha256(edited.encode()).hexdigest()
+        expected.append((i, len(text), digest, phrases.hex_of(a), phrases.hex_of(b), phrases.alike(a, b), phrases.alike(a, c)))
+    assert rows_of(phrases.fingerprint_pairs(df, per_range)) == sorted(expected, key=repr)
+
+
+def test_phrases_and_likeness():
+    known = set()
+    lengths, rest = phrases.parse("aabaabab", known)
+    assert known == {"a", "ab", "aa", "b"} or sum(lengths) + len(rest) == 8
+    signer, rng = phrases.Signer(1024), random.Random(2)
+    left = "".join(rng.choice("abcdef ") for _ in range(20_000))
+    right = left[:15_000] + "".join(rng.choice("abcdef ") for _ in range(5_000))
+    sets = []
+    for t in (left, right):
+        sets.append(set())
+        phrases.parse(t, sets[-1])
+    true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    assert abs(phrases.alike(signer.sign(left), signer.sign(right)) - true) < 0.06
+    assert phrases.alike(signer.sign(""), signer.sign("")) == 1.0 and phrases.alike(signer.sign(""), signer.sign("a")) == 0.0
+
+
+def test_phrases_of_no_rows(spark):
+    assert phrases.op6_phrase_fingerprints(no_documents(spark)).collect() == []
+
+
+# quality
+
+
+def test_quality_on_held_out_labels(spark, docs):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.op4_quality(big, labels)
+    assert got.count() == big.count()
+    held = got.where("held_out").join(labels, "doc_id").where("quality IS NOT NULL").collect()
+    good, bad = [r.score for r in held if r.quality], [r.score for r in held if not r.quality]
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.97
+    assert sum(r.predicted == r.quality for r in held) / len(held) > 0.93
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.collect())
+
+
+def test_quality_of_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1, "x"), (5, 0, "x"), (6, None, "x"), (8, 0, "x"), (8, 1, "x"), (None, 1, "x"), (7, 1, "x")], "doc_id long, quality int, score string")
+    for given in (labels, labels.limit(0)):
+        got = quality.op4_quality(odd, given).collect()
+        assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+        same = {r.score for r in got if r.doc_id in (1, 6)}
+        assert len(same) == 1
+    assert quality.op4_quality(no_documents(spark), labels).collect() == []
+
+
+def test_operators_on_no_rows(spark):
+    assert secret_scan.op1_secret_scan(no_documents(spark)).collect() == []
+    assert bpe.op8_token_counts(no_documents(spark)).collect() == []
