@@ -1,23 +1,18 @@
-"""Oracle queries for the streams: what the same job says about the tables at rest.
-
-A stream reports a day once its newest row is a day past it, so the last day is still open.
-"""
+"""Oracle queries for the streams: what the same job says about the tables at rest."""
 
 from __future__ import annotations
 
 from oracles.sales import DROP_ALERT, Q as SALES_Q, STREAK
 from oracles.tables import MESSY, SALES, dbl
 
-CLOSED = "(SELECT MAX(date) - 1 FROM sales)"
-
 Q: dict[str, str] = {
     "stream_ingest_staged": SALES_Q["stage_sales"],
     "land_raw_copy": f"""WITH {MESSY} SELECT product_id, category, region, store_id, date, {dbl('price')} AS price,
       {dbl('discount')} AS discount, units_sold, {dbl('revenue')} AS revenue FROM messy""",
     "stream_dedup": "SELECT * FROM events",
     "daily_revenue_stream": f"WITH {SALES} SELECT date, {dbl('SUM(revenue)')} AS revenue, COUNT(*) AS records "
-    f"FROM sales WHERE date <= {CLOSED} GROUP BY date",
-    "stream_revenue_drop": f"WITH {SALES}{DROP_ALERT} AND date <= {CLOSED}",
-    "stream_zero_streak": f"WITH {SALES}{STREAK}".replace("FROM sales GROUP BY", f"FROM sales WHERE date <= {CLOSED} GROUP BY"),
+    "FROM sales GROUP BY date",
+    "stream_revenue_drop": f"WITH {SALES}{DROP_ALERT}",
+    "stream_zero_streak": f"WITH {SALES}{STREAK}",
     "stream_alert_discount": SALES_Q["alert_discount"],
 }

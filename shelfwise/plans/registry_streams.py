@@ -40,8 +40,7 @@ def _dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def _daily(spark: SparkSession, folder: str) -> DataFrame:
     work = work_folder(spark)
-    run_to_table(alerts.daily_revenue_stream(_sales_stream(spark, folder)), f"{work}/daily", f"{work}/checkpoint")
-    return as_doubles(spark.read.parquet(f"{work}/daily"))
+    return as_doubles(alerts.daily_revenue_stream(_sales_stream(spark, folder), work, f"{work}/checkpoint"))
 
 
 def _drop(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,107 +1,79 @@
-"""Alerts on streams of staged sales rows."""
+"""Daily figures and alerts on streams of staged sales rows, right for any order of arrival.
 
-from __future__ import annotations
+A batch adds its own sums per day as partial rows under its batch id; a day's figure is the sum of all
+partials, so rows may come late, in any file and in any order, and none is dropped. A batch that is run
+again replaces its own partials.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import (
-    DateType, DecimalType, DoubleType, LongType, StringType, StructField, StructType,
-)
 
-from shelfwise.operators.alerts import alert_discount, alert_revenue_drop  # noqa: F401  alert_discount needs no state
-from shelfwise.streaming.runs import read_or_empty, replace_batch, run_each_batch, run_to_table
+from shelfwise.operators.alerts import alert_discount, alert_revenue_drop, alert_zero_streak  # noqa: F401  alert_discount needs no state
+from shelfwise.streaming.runs import read_or_empty, replace_batch, run_each_batch
+
+DAILY_SCHEMA = "date date, revenue decimal(38,2), records long, batch_id long"
+PRODUCT_DAY_SCHEMA = "product_id string, date date, units long, batch_id long"
+DROP_SCHEMA = "date date, revenue double, mean_before double, batch_id long"
+STREAK_SCHEMA = "product_id string, first_day date, last_day date, days long, batch_id long"
 
-DAILY_SCHEMA = StructType([
-    StructField("date", DateType()), StructField("revenue", DecimalType(38, 2)),
-    StructField("records", LongType()), StructField("batch_id", LongType()),
-])
-DROP_SCHEMA = StructType([
-    StructField("date", DateType()), StructField("revenue", DoubleType()),
-    StructField("mean_before", DoubleType()), StructField("batch_id", LongType()),
-])
-PRODUCT_DAY_SCHEMA = StructType([
-    StructField("product_id", StringType()), StructField("date", DateType()), StructField("units", LongType()),
-])
-STREAK_SCHEMA = "product_id string, first_day date, last_day date, days long"
-STATE_SCHEMA = "first_day date, last_day date, days long"
 
+def _add_partials(batch: DataFrame, batch_id: int, path: str, keys: list[str], **sums: Column) -> None:
+    partial = batch.groupBy(*keys, "date").agg(*[column.alias(name) for name, column in sums.items()])
+    replace_batch(partial.withColumn("batch_id", F.lit(batch_id).cast("long")), path, "batch_id")
 
-def _closed_days(stream: DataFrame, delay: str, keys: list[str], **sums: Column) -> DataFrame:
-    """Totals of each day, once, when the stream has moved ``delay`` past it. Later rows are dropped."""
-    dated = stream.withColumn("day", F.col("date").cast("timestamp")).withWatermark("day", delay)
-    totals = dated.groupBy(*keys, "day").agg(*[column.alias(name) for name, column in sums.items()])
-    return totals.select(*keys, F.col("day").cast("date").alias("date"), *sums)
 
+def _add_revenue(batch: DataFrame, batch_id: int, path: str) -> None:
+    _add_partials(batch, batch_id, path, [], revenue=F.sum("revenue").cast("decimal(38,2)"), records=F.count(F.lit(1)))
 
-def daily_revenue_stream(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    return _closed_days(
-        stream, delay, [], revenue=F.sum("revenue").cast("decimal(38,2)"), records=F.count(F.lit(1))
-    )
 
+def daily_totals(spark: SparkSession, path: str) -> DataFrame:
+    """``(date, revenue, records)`` of all batches so far."""
+    partials = read_or_empty(spark, path, DAILY_SCHEMA)
+    return partials.groupBy("date").agg(F.sum("revenue").cast("decimal(38,2)").alias("revenue"), F.sum("records").alias("records"))
 
-def daily_units_stream(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    return _closed_days(stream, delay, ["product_id"], units=F.sum("units_sold").cast("long"))
+
+def daily_revenue_stream(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    path = f"{folder}/daily"
+    run_each_batch(stream, lambda batch, batch_id: _add_revenue(batch, batch_id, path), checkpoint)
+    return daily_totals(stream.sparkSession, path)
 
 
 def stream_revenue_drop(stream: DataFrame, folder: str, checkpoint: str, days: int = 7, keep: float = 0.8) -> DataFrame:
-    """Stores the closed days and raises an alert for each that falls short of the ``days`` before it."""
+    """The days whose revenue falls short of the ``days`` before, judged anew after each batch."""
     spark = stream.sparkSession
     daily_path, alert_path = f"{folder}/daily", f"{folder}/alerts"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        replace_batch(numbered, daily_path, "batch_id")
-        daily = read_or_empty(spark, daily_path, DAILY_SCHEMA).where(F.col("batch_id") <= batch_id)  # one row a day
-        mine = daily.where(F.col("batch_id") == batch_id).select("date")
-        found = alert_revenue_drop(daily, days, keep).join(mine, "date", "left_semi")
+        _add_revenue(batch, batch_id, daily_path)
+        found = alert_revenue_drop(daily_totals(spark, daily_path), days, keep)
         replace_batch(found.withColumn("batch_id", F.lit(batch_id).cast("long")), alert_path, "batch_id")
 
-    run_each_batch(daily_revenue_stream(stream), handle, checkpoint)
-    return read_or_empty(spark, alert_path, DROP_SCHEMA).drop("batch_id")
-
-
-def _extend_runs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Carries a product's run of zero days on and reports it as it stands after each zero day."""
-    first, last, days = state.get if state.exists else (None, None, 0)
-    out = []
-    for row in pd.concat(list(batches)).sort_values("date").itertuples():
-        if row.units == 0:
-            first, last, days = (first or row.date), row.date, days + 1
-            out.append((key[0], first, last, days))
-        else:
-            first, last, days = None, None, 0
-    if days:
-        state.update((first, last, days))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(out, columns=["product_id", "first_day", "last_day", "days"])
-
-
-def zero_runs_stream(product_days: DataFrame) -> DataFrame:
-    """Running zero-sale streaks from a stream of closed product days.
-
-    State per product is one open run. A product's input is one row per day, so groups stay small.
-    """
-    return product_days.groupBy("product_id").applyInPandasWithState(
-        _extend_runs, STREAK_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+    run_each_batch(stream, handle, checkpoint)
+    newest = read_or_empty(spark, daily_path, DAILY_SCHEMA).agg(F.max("batch_id").alias("batch_id"))
+    return read_or_empty(spark, alert_path, DROP_SCHEMA).join(F.broadcast(newest), "batch_id").drop("batch_id")  # one row
 
 
 def stream_zero_streak(stream: DataFrame, folder: str, checkpoint: str, days: int = 3) -> DataFrame:
-    """Streaks of at least ``days`` sales days without a unit sold, over all closed days so far.
+    """Streaks of at least ``days`` sales days without a unit sold.
 
-    Two chained streams: rows to closed product days, pre-aggregated so that a product with most of the
-    rows is no hot group, and product days to streaks.
+    A batch judges the products it has rows of, from all their days so far; what counts for a product is
+    the verdict of the last batch that had rows of it.
     """
     spark = stream.sparkSession
-    daily_path, run_path = f"{folder}/product_days", f"{folder}/runs"
-    run_to_table(daily_units_stream(stream), daily_path, f"{checkpoint}/product_days")
-    product_days = spark.readStream.schema(PRODUCT_DAY_SCHEMA).parquet(daily_path)
-    run_to_table(zero_runs_stream(product_days), run_path, f"{checkpoint}/runs")
-    runs = read_or_empty(spark, run_path, StructType.fromDDL(STREAK_SCHEMA))
-    longest = runs.groupBy("product_id", "first_day").agg(F.max("last_day").alias("last_day"), F.max("days").alias("days"))
-    return longest.where(F.col("days") >= days)
+    day_path, streak_path = f"{folder}/product_days", f"{folder}/streaks"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        _add_partials(batch, batch_id, day_path, ["product_id"], units=F.sum("units_sold").cast("long"))
+        partials = read_or_empty(spark, day_path, PRODUCT_DAY_SCHEMA)
+        touched = partials.where(F.col("batch_id") == batch_id).select(F.col("product_id").alias("touched")).distinct()
+        mine = partials.join(touched, F.col("product_id").eqNullSafe(F.col("touched")), "left_semi")
+        found = alert_zero_streak(mine.groupBy("product_id", "date").agg(F.sum("units").alias("units")), days)
+        replace_batch(found.withColumn("batch_id", F.lit(batch_id).cast("long")), streak_path, "batch_id")
+
+    run_each_batch(stream, handle, checkpoint)
+    last = read_or_empty(spark, day_path, PRODUCT_DAY_SCHEMA).groupBy(F.col("product_id").alias("of")).agg(F.max("batch_id").alias("last"))
+    verdicts = read_or_empty(spark, streak_path, STREAK_SCHEMA)
+    valid = F.col("product_id").eqNullSafe(F.col("of")) & (F.col("batch_id") == F.col("last"))
+    return verdicts.join(last, valid, "left_semi").drop("batch_id")

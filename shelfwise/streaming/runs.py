@@ -42,7 +42,7 @@ def run_each_batch(
     query.awaitTermination()
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """The table at ``path``, or no rows when nothing has been written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
