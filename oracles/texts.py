@@ -73,7 +73,7 @@ Q["distinct_sources"] = f"""{SEARCH}
 SELECT query_id, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM found GROUP BY query_id"""
 Q["build_context"] = f"""{SEARCH}
 SELECT item_id AS query_id, COALESCE(context, 'No relevant documents found.') AS context
-FROM benchmark LEFT JOIN (SELECT query_id, string_agg(block, {SEP} ORDER BY rank) AS context FROM found WHERE rank <= 2 GROUP BY 1) f
+FROM benchmark LEFT JOIN (SELECT query_id, string_agg(block, {SEP} ORDER BY rank) AS context FROM found GROUP BY 1) f
   ON item_id = query_id"""
 Q["retrieve_answers"] = f"""{SEARCH}
 SELECT item_id AS query_id, b.text AS query, COALESCE(answer, 'No relevant content found.') AS answer, full_context,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.quantiles import exact_quantile
-from shelfwise.session import cut_lineage
+from shelfwise.session import cut_lineage, written
 
 FIGURES = ("price", "discount", "units_sold", "revenue")
 TREE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double"
@@ -102,11 +102,10 @@ def path_score(arrays: list[dict], values: np.ndarray, sample_rows: int) -> np.n
     return np.power(2.0, -total / len(arrays) / unsuccessful_search(sample_rows))
 
 
-def score_combinations(df: DataFrame, forest: DataFrame, sample_rows: int = 256) -> DataFrame:
-    """``(price, discount, units_sold, revenue, n, score)`` for each distinct combination of figures.
+def with_scores(df: DataFrame, forest: DataFrame, sample_rows: int = 256) -> DataFrame:
+    """All rows with their anomaly score: a projection in Arrow batches, without a shuffle.
 
-    Rows with equal figures have equal scores, so each combination is scored once, however many rows
-    share it. The forest itself is at most ``trees * 2 * sample_rows`` nodes and goes with the tasks.
+    The forest is at most ``trees * 2 * sample_rows`` nodes and goes with the tasks.
     """
     nodes = forest.orderBy("tree", "node").toPandas()
     arrays = [
@@ -119,22 +118,22 @@ def score_combinations(df: DataFrame, forest: DataFrame, sample_rows: int = 256)
             values = np.column_stack([col.to_numpy(dtype=float) for col in columns])
             yield pd.Series(path_score(arrays, values, sample_rows))
 
-    combinations = df.groupBy(*FIGURES).agg(F.count(F.lit(1)).alias("n"))
-    return combinations.withColumn("score", score(*[F.col(n).cast("double") for n in FIGURES]))
+    return df.withColumn("score", score(*[F.col(n).cast("double") for n in FIGURES]))
 
 
 def flag_anomalies(
     df: DataFrame, outlier_fraction: float = 0.05, trees: int = 100, sample_rows: int = 256, seed: int = 42
 ) -> DataFrame:
-    """Rows whose score is above the ``1 - outlier_fraction`` quantile of all row scores."""
+    """Rows whose score is above the ``1 - outlier_fraction`` quantile of all row scores.
+
+    The scored rows are written once; the quantile then reads one column, and the result is a filter.
+    """
     if not 0.01 <= outlier_fraction <= 0.5:
         raise ValueError("outlier_fraction must be between 0.01 and 0.5")
     forest = fit_forest(df, trees, sample_rows, seed)
     used = min(sample_rows, max(2, df.count()))
-    scored = cut_lineage(score_combinations(df, forest, used))
-    cut = exact_quantile(scored, "score", 1 - outlier_fraction, weight="n").scalar()
-    flagged = scored.where(F.col("score") > cut).select(*FIGURES, "score")
-    return df.join(flagged, list(FIGURES))  # AQE broadcasts the few flagged ones or splits heavy ones
+    scored = written(with_scores(df, forest, used))
+    return scored.where(F.col("score") > exact_quantile(scored, "score", 1 - outlier_fraction).scalar())
 
 
 def classify_anomalies(df: DataFrame, mean_units, spike_multiplier: float = 2.0) -> DataFrame:

@@ -7,47 +7,42 @@ from pyspark.sql import functions as F
 
 from shelfwise.session import cut_lineage
 
-SLICES = 10_000
-
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, float], weight: str | None = None) -> DataFrame:
     """One row with, for each column in ``wanted``, its linearly interpolated quantile as a double.
 
     One pass counts the rows per column and distinct value, with map-side combine, so a value shared
-    by a third of all rows costs one group; the counts are written once. Each value range is then cut
-    into a fixed number of slices, whose counts say which one or two slices hold the wanted ranks, and
-    only those are ordered. No task sees a whole column, unlike ``percentile``, which merges all
-    distinct values in one.
+    by a third of all rows costs one group. The counts are range-partitioned on the value and written
+    once. The sums of the partitions say in which one or two of them the wanted ranks lie, and only
+    those are ordered, so no task sees a whole column, however its values are spread: partitions hold
+    equal numbers of distinct values, not equal ranges.
     """
     entries = [
         F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"), F.col(name).cast("double").alias("v"))
         for name, q in wanted.items()
     ]
     rows = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w")
-    counted = cut_lineage(
+    counted = (
         df.select(F.explode(F.array(*entries)).alias("e"), rows)
         .where(F.col("e.v").isNotNull())
         .groupBy("e.name", "e.q", "e.v")
         .agg(F.sum("w").alias("n"))
     )
-    spans = counted.groupBy("name").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
-    rank = F.col("q") * (F.col("total") - 1)
-    sliced = counted.join(F.broadcast(spans), "name").select(  # one span per wanted column
-        "name", "v", "n", rank.alias("rank"), F.coalesce(F.floor(share * SLICES), F.lit(0)).alias("slice")
-    )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(counted.repartitionByRange(parts, "name", "v").withColumn("part", F.spark_partition_id()))
+    totals = ranged.groupBy("name").agg(F.sum("n").alias("total"))
+    placed = ranged.join(F.broadcast(totals), "name").withColumn("rank", F.col("q") * (F.col("total") - 1))  # one total per wanted column
     low, high = F.floor("rank"), F.ceil("rank")
-    before = Window.partitionBy("name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (
-        sliced.groupBy("name", "slice", "rank")
-        .agg(F.sum("n").alias("slice_n"))
-        .withColumn("start", F.coalesce(F.sum("slice_n").over(before), F.lit(0)))  # SLICES + 1 rows per column
-        .where((F.col("start") + F.col("slice_n") > low) & (F.col("start") <= high))
-        .select("name", "slice", "start")
+    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    holding = (
+        placed.groupBy("name", "part", "rank")
+        .agg(F.sum("n").alias("part_n"))
+        .withColumn("start", F.coalesce(F.sum("part_n").over(before), F.lit(0)))  # a row per partition and column
+        .where((F.col("start") + F.col("part_n") > low) & (F.col("start") <= high))
+        .select("name", "part", "start")
     )
-    upto = Window.partitionBy("name", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sliced.join(F.broadcast(slices), ["name", "slice"])  # one or two slices per column
-    ends = placed.withColumn("end", F.col("start") + F.sum("n").over(upto))
+    upto = Window.partitionBy("name", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = placed.join(F.broadcast(holding), ["name", "part"]).withColumn("end", F.col("start") + F.sum("n").over(upto))  # one or two per column
     at_low = F.min(F.when(F.col("end") > low, F.col("v")))
     at_high = F.min(F.when(F.col("end") > high, F.col("v")))
     found = ends.groupBy("name", "rank").agg(at_low.alias("a"), at_high.alias("b"))

@@ -54,11 +54,15 @@ class Index:
         self.weights.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(
             f"{folder}/term_weights"
         )
+        spark = self.chunks.sparkSession  # queries must be cut into the same terms as the chunks were
+        settings = spark.createDataFrame([(list(self.stop_words), self.bigrams)], "stop_words array<string>, bigrams boolean")
+        settings.coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str, stop_words: Sequence[str] | None = None, bigrams: bool = True) -> Index:
+    def load(cls, spark: SparkSession, folder: str) -> Index:
         tables = [spark.read.parquet(f"{folder}/{n}") for n in ("chunks", "vocabulary", "term_weights")]
-        return cls(*tables, stop_word_list(stop_words), bigrams)
+        settings = spark.read.parquet(f"{folder}/settings").first()
+        return cls(*tables, tuple(settings["stop_words"]), settings["bigrams"])
 
 
 def stop_word_list(given: Sequence[str] | None = None) -> tuple[str, ...]:

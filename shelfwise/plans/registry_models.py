@@ -14,9 +14,15 @@ from shelfwise.sources import star
 KEYS = ("product_id", "store_id", "region", "date", "units_sold")
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def _sales(spark: SparkSession, folder: str) -> DataFrame:
-    """The sales rows as a table of their own: the jobs below read them several times."""
-    return written(star.sales(spark, folder))
+    """The sales rows as a table of their own, written once per application: all jobs below read it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TABLES:
+        _TABLES[key] = written(star.sales(spark, folder))
+    return _TABLES[key]
 
 
 def _keyed(df: DataFrame, *names: str) -> DataFrame:

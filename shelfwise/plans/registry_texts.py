@@ -51,7 +51,7 @@ def _sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def _context(spark: SparkSession, folder: str) -> DataFrame:
     queries = asked(spark, folder)
-    return retrieval.build_context(queries, retrieval.search(queries, index(spark, folder), 2))
+    return retrieval.build_context(queries, retrieval.search(queries, index(spark, folder)))
 
 
 def _phrases(spark: SparkSession, folder: str) -> DataFrame:

@@ -56,7 +56,7 @@ def difference(left, right) -> str | None:
         return f"columns {left[0]} != {right[0]}"
     if len(left[1]) != len(right[1]):
         return f"rows {len(left[1])} != {len(right[1])}; first {left[1][:1]} / {right[1][:1]}"
-    wrong = [(x, y) for x, y in zip(left[1], right[1]) if x != y or repr(x) != repr(y)]
+    wrong = [(x, y) for x, y in zip(left[1], right[1]) if x != y or repr(x) != repr(y) or list(map(type, x)) != list(map(type, y))]
     return f"{len(wrong)} rows differ, first {wrong[0]}" if wrong else None
 
 

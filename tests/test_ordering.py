@@ -85,3 +85,11 @@ def test_quantiles_with_weights_and_without_rows(spark):
     got = exact_quantiles(df, {"a": 0.5, "b": 0.0}).first()
     assert (got.a, got.b) == (1.5, 10.0)
     assert exact_quantile(df.where("a > 9"), "a", 0.5).first()[0] is None
+
+
+def test_one_absurd_value_does_not_gather_the_others_in_one_task(spark):
+    df = spark.range(0, 20_000, 1, 4).select(F.col("id").cast("double").alias("v")).union(spark.createDataFrame([(1e300,)], "v double"))
+    values = np.array([*range(20_000), 1e300], float)
+    assert exact_quantile(df, "v", 0.25).first()[0] == pytest.approx(np.quantile(values, 0.25))
+    parts = df.groupBy("v").count().repartitionByRange(4, "v").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 0.6 * len(values)

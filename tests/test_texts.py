@@ -101,6 +101,15 @@ def test_index_round_trip(spark, index, tmp_path):
     assert retrieval.search_topk(asked, loaded).collect() == retrieval.search_topk(asked, index).collect()
 
 
+def test_index_keeps_its_settings(spark, corpus, tmp_path):
+    own = retrieval.tfidf_index(retrieval.chunk_sentences(corpus, "source"), stop_words=["return"], bigrams=False)
+    own.save(str(tmp_path))
+    loaded = retrieval.Index.load(spark, str(tmp_path))
+    assert (loaded.stop_words, loaded.bigrams) == (("return",), False)
+    asked = ask(spark, "the policy of returns")
+    assert retrieval.search_topk(asked, loaded).collect() == retrieval.search_topk(asked, own).collect() != []
+
+
 @pytest.mark.parametrize("text,verdict", [("Great growth", "positive"), ("a bad problem", "negative"), ("stop", "positive"), ("good but bad", "neutral"), ("", "neutral")])
 def test_sentiment(spark, text, verdict):
     got = retrieval.sentiment(spark.createDataFrame([(text,)], "text string")).first()
