@@ -36,9 +36,9 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.
 #: the (radius + 1) add up to 5.
 SEGMENTS = ((22, 1), (21, 1), (21, 0))
 
-#: Near copies: links of up to 7 bits of the word fingerprint, with 12 bits of the shingle fingerprint
-#: (64 * acos(0.889) / pi is 9.7 at a similarity of 0.8, and two bits or so are noise).
-COPY_RADIUS, PROOF_RADIUS = 7, 12
+#: Near copies: links of up to 7 bits of the word fingerprint, with 14 bits of the shingle fingerprint
+#: (64 * acos(0.889) / pi is 9.7 at a similarity of 0.8, with a deviation of about three bits).
+COPY_RADIUS, PROOF_RADIUS = 7, 14
 COPY_SEGMENTS = ((16, 1), (16, 1), (16, 1), (16, 1))
 
 

@@ -299,7 +299,7 @@ def test_stages_of_the_pipeline(spark, docs):
     prints = [(simhash.word_print(w), simhash.shingle_print(w, 5)) for w in words]
     near = [
         (i, j) for i, j in itertools.combinations(range(len(rows)), 2)
-        if (prints[i][0] ^ prints[j][0]).bit_count() <= 7 and (prints[i][1] ^ prints[j][1]).bit_count() <= 12
+        if (prints[i][0] ^ prints[j][0]).bit_count() <= 7 and (prints[i][1] ^ prints[j][1]).bit_count() <= 14
     ]
     kept = set(plain_components([i for i, _ in rows], near))
     assert {r.doc_id for r in single.collect()} == kept and single.columns == docs.columns and len(kept) < len(rows)
