@@ -45,8 +45,8 @@ def revenue(dtype: str = MONEY) -> Column:
     return F.round(discounted(F.col("price") * F.col("units_sold")), 2).cast(dtype)
 
 
-def net_price() -> Column:
-    return F.round(discounted(F.col("price")), 2).cast(PRICE)
+def net_price(dtype: str = PRICE) -> Column:
+    return F.round(discounted(F.col("price")), 2).cast(dtype)
 
 
 def is_weekend(day: Column) -> Column:

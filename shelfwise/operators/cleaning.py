@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import columns as c
 from shelfwise.operators.quantiles import exact_quantiles
-from shelfwise.schema import CATEGORIES, MANDATORY_COLUMNS, PERCENT, PRICE, REGIONS
+from shelfwise.schema import CATEGORIES, CLEAN_MONEY, CLEAN_PERCENT, CLEAN_PRICE, MANDATORY_COLUMNS, REGIONS
 from shelfwise.session import written
 
-# Medians may fall halfway between two values, so imputed columns carry more digits.
-IMPUTED_PRICE = "decimal(14,3)"
-IMPUTED_UNITS = "decimal(12,1)"
+IMPUTED_UNITS = "decimal(20,6)"  # a median may lie halfway between two values
 
-# What the staged types can hold.
-MAX_PRICE, MAX_UNITS, MAX_AMOUNT = 1e10, 2**31, 1e16
+# The first values that the cleaned types cannot hold; such rows are rejected with their own reason.
+BEYOND_PRICE, BEYOND_UNITS = 1e16, 2**31
 
 
 def check_mandatory_columns(df: DataFrame) -> None:
@@ -50,13 +48,14 @@ def normalise(df: DataFrame) -> DataFrame:
 def first_failed_rule(categories: Sequence[str] = CATEGORIES, regions: Sequence[str] = REGIONS) -> Column:
     """Name of the first staging rule a normalised row fails, null when it passes all of them."""
     price, units = F.col("price"), F.col("units_sold")
-    too_large = (price >= MAX_PRICE) | (units >= MAX_UNITS) | (price * units >= MAX_AMOUNT)
+    too_large = (price >= BEYOND_PRICE) | (units >= BEYOND_UNITS)
     return (
         F.when(F.col("date").isNull(), "bad_date")
         .when(price.isNull(), "missing_price")
         .when(units.isNull(), "missing_units")
         .when(price <= 0, "price_not_positive")
         .when(units < 0, "negative_units")
+        .when(units != F.floor(units), "fractional_units")
         .when(too_large, "amount_out_of_range")
         .when(~discount_in_range(F.col("discount")), "discount_out_of_range")
         .when(~F.coalesce(F.col("category").isin(list(categories)), F.lit(False)), "unknown_category")
@@ -68,12 +67,12 @@ def as_staged(normal: DataFrame) -> DataFrame:
     """Exact types, missing discount as zero and the recomputed revenue, for rows that pass the rules."""
     typed = normal.withColumns(
         {
-            "price": F.col("price").cast(PRICE),
-            "discount": F.coalesce("discount", F.lit(0.0)).cast(PERCENT),
+            "price": F.col("price").cast(CLEAN_PRICE),
+            "discount": F.coalesce("discount", F.lit(0.0)).cast(CLEAN_PERCENT),
             "units_sold": F.col("units_sold").cast("int"),
         }
     )
-    return typed.withColumn("revenue", c.revenue()).select(*MANDATORY_COLUMNS)
+    return typed.withColumn("revenue", c.revenue(CLEAN_MONEY)).select(*MANDATORY_COLUMNS)
 
 
 def valid_rows(normal: DataFrame, categories: Sequence[str] = CATEGORIES, regions: Sequence[str] = REGIONS) -> DataFrame:
@@ -87,9 +86,8 @@ def valid_rows(normal: DataFrame, categories: Sequence[str] = CATEGORIES, region
         F.col("category").isin(list(categories))
         & F.col("region").isin(list(regions))
         & discount_in_range(discount)
-        & ((price > 0) & (price < MAX_PRICE))
-        & ((units >= 0) & (units < MAX_UNITS))
-        & (price * units < MAX_AMOUNT)
+        & ((price > 0) & (price < BEYOND_PRICE))
+        & ((units >= 0) & (units < BEYOND_UNITS) & (units == F.floor(units)))
         & F.col("date").isNotNull()
     )
 
@@ -118,36 +116,59 @@ def quarantine_rejects(
     return judged.where(F.col("reason").isNotNull()).select("raw.*", "reason")
 
 
+def _imputed(df: DataFrame) -> DataFrame:
+    """Distinct rows with gaps filled, beside the ``raw`` row; the medians are over all dated rows.
+
+    The rows are written once, as both the medians and the result read them.
+    """
+    kept = F.struct(*[F.col(name).alias(name) for name in MANDATORY_COLUMNS]).alias("raw")
+    rows = written(normalise(dedup_sales(df.select(*MANDATORY_COLUMNS)).select("*", kept)))
+    medians = exact_quantiles(rows.where(F.col("date").isNotNull()), {"price": 0.5, "units_sold": 0.5})
+    fills = {name: F.coalesce(F.col(name), medians.select(name).scalar()) for name in medians.columns}
+    return rows.withColumns(fills).withColumn("discount", F.coalesce("discount", F.lit(0.0)))
+
+
+def first_failed_imputing_rule(categories: Sequence[str] = CATEGORIES, regions: Sequence[str] = REGIONS) -> Column:
+    """Name of the first rule a filled row fails, null when it passes all of them."""
+    price, units = F.col("price"), F.col("units_sold")
+    return (
+        F.when(F.col("date").isNull(), "bad_date")
+        .when(~F.coalesce(price > 0, F.lit(False)), "price_not_positive")
+        .when(~F.coalesce(units >= 0, F.lit(False)), "negative_units")
+        .when((price >= BEYOND_PRICE) | (units >= BEYOND_UNITS), "amount_out_of_range")
+        .when(~F.col("discount").between(0, 100), "discount_out_of_range")
+        .when(~F.coalesce(F.col("category").isin(list(categories)), F.lit(False)), "unknown_category")
+        .when(~F.coalesce(F.col("region").isin(list(regions)), F.lit(False)), "unknown_region")
+    )
+
+
 def clean_sales_impute(
     df: DataFrame, categories: Sequence[str] = CATEGORIES, regions: Sequence[str] = REGIONS
 ) -> DataFrame:
     """The imputing policy: missing price and units take the median over all distinct, dated rows.
 
-    The medians are taken before the range and label filters, and revenue is not rounded. The dated
-    rows are written once, as both the medians and the result read them.
+    The medians are taken before the range and label filters, and revenue is not rounded.
+    ``quarantine_imputed`` has the rows that this leaves out.
     """
-    dated = written(normalise(dedup_sales(df.select(*MANDATORY_COLUMNS))).where(F.col("date").isNotNull()))
-    medians = exact_quantiles(dated, {"price": 0.5, "units_sold": 0.5})
-    filled = dated.withColumns(
-        {name: F.coalesce(F.col(name), medians.select(name).scalar()) for name in medians.columns}
-    ).withColumn("discount", F.coalesce("discount", F.lit(0.0)))
-    kept = filled.where(
-        (F.col("price") > 0)
-        & (F.col("units_sold") >= 0)
-        & F.col("discount").between(0, 100)
-        & F.col("category").isin(list(categories))
-        & F.col("region").isin(list(regions))
-    )
+    kept = _imputed(df).where(first_failed_imputing_rule(categories, regions).isNull())
     typed = kept.withColumns(
         {
-            "price": F.col("price").try_cast(IMPUTED_PRICE),
-            "units_sold": F.col("units_sold").try_cast(IMPUTED_UNITS),
-            "discount": F.col("discount").cast(PERCENT),
+            "price": F.col("price").cast(CLEAN_PRICE),
+            "units_sold": F.col("units_sold").cast(IMPUTED_UNITS),
+            "discount": F.col("discount").cast(CLEAN_PERCENT),
         }
-    ).dropna(subset=["price", "units_sold"])
+    )
     return typed.withColumn("revenue", c.discounted(F.col("price") * F.col("units_sold"))).select(*MANDATORY_COLUMNS)
 
 
+def quarantine_imputed(
+    df: DataFrame, categories: Sequence[str] = CATEGORIES, regions: Sequence[str] = REGIONS
+) -> DataFrame:
+    """The distinct raw rows the imputing policy leaves out, as they came, with the first rule each one fails."""
+    judged = _imputed(df).withColumn("reason", first_failed_imputing_rule(categories, regions))
+    return judged.where(F.col("reason").isNotNull()).select("raw.*", "reason")
+
+
 def audit_revenue(df: DataFrame, rtol: float = 0.01, atol: float = 1e-8) -> DataFrame:
     """Rows whose delivered revenue is off the recomputed one by more than the tolerance."""
     expected = c.discounted(F.col("price") * F.col("units_sold")).cast("double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import columns as c
+from shelfwise.schema import CLEAN_MONEY
 
 
 def with_date_parts(df: DataFrame) -> DataFrame:
@@ -26,8 +27,8 @@ def with_date_parts(df: DataFrame) -> DataFrame:
 def with_price_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
-            "net_price": c.net_price(),
-            "price_x_discount": F.round(F.col("price") * F.col("discount"), 2).cast("decimal(18,2)"),
+            "net_price": c.net_price(CLEAN_MONEY),
+            "price_x_discount": F.round(F.col("price") * F.col("discount"), 2).cast(CLEAN_MONEY),
         }
     )
 

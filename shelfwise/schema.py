@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+# The columns of a sales row, in order.
 MANDATORY_COLUMNS = (
     "product_id", "category", "region", "store_id", "date", "price", "discount", "units_sold", "revenue",
 )
@@ -22,9 +23,13 @@ TEXT_SCHEMA = StructType([StructField(name, StringType()) for name in MANDATORY_
 
 # Money types: exact decimals from staging on, doubles only at the output edge.
 PRICE = "decimal(12,2)"
-PERCENT = "decimal(5,2)"
 MONEY = "decimal(18,2)"
 
+# Cleaned types: wide enough to hold what is delivered, to eight decimals.
+CLEAN_PRICE = "decimal(24,8)"
+CLEAN_PERCENT = "decimal(11,8)"
+CLEAN_MONEY = "decimal(38,2)"
+
 # The label sets a sales row may carry. Every cleaner takes them as a parameter.
 CATEGORIES = (
     "Electronics", "Clothing", "Groceries", "Furniture", "Sports",

@@ -78,10 +78,36 @@ def test_nan_price_is_missing(raw):
     assert cleaning.stage_sales(raw(row(price=float("nan")))).count() == 0
 
 
-def test_huge_amounts_are_rejected_not_fatal(raw):
-    rows = [row(price=1e11), row(price=9e9, units_sold=2_000_000_000), row()]
-    assert cleaning.stage_sales(raw(*rows)).count() == 1
-    assert {r.reason for r in cleaning.quarantine_rejects(raw(*rows)).collect()} == {"amount_out_of_range"}
+def test_large_amounts_and_decimals_are_kept(raw, clean):
+    rows = [row(price=99999999999999.0), row(price=9e9, units_sold=2_000_000_000), row(price=0.004), row(discount=12.345), row(price=1.23456)]
+    got = {(float(r.price), int(r.units_sold), float(r.discount)) for r in clean(raw(*rows)).collect()}
+    first = row()
+    assert got == {
+        (99999999999999.0, first[7], 10.0), (9e9, 2_000_000_000, 10.0), (0.004, first[7], 10.0), (first[5], first[7], 12.345), (1.23456, first[7], 10.0),
+    }
+
+
+def test_what_no_type_holds_is_rejected_with_a_reason(raw):
+    rows = [row(price=1e17), row()]
+    for clean, rejects in ((cleaning.stage_sales, cleaning.quarantine_rejects), (cleaning.clean_sales_impute, cleaning.quarantine_imputed)):
+        assert clean(raw(*rows)).count() == 1
+        assert [(r.price, r.reason) for r in rejects(raw(*rows)).collect()] == [(1e17, "amount_out_of_range")]
+
+
+def test_fractional_units_are_rejected_by_staging_and_kept_by_the_other_policy(spark):
+    text = spark.createDataFrame([tuple(str(v) for v in row(units_sold="2.7"))], ", ".join(f"{n} string" for n in MANDATORY_COLUMNS))
+    assert cleaning.stage_sales(text).count() == 0
+    assert cleaning.quarantine_rejects(text).first().reason == "fractional_units"
+    assert cleaning.clean_sales_impute(text).first().units_sold == Decimal("2.7")
+
+
+def test_imputing_rejects_complete_the_policy(raw):
+    rows = [row(), row(date="x"), row(price=None), row(price=-1.0), row(category="?"), row(region=None), row(discount=500.0), row(units_sold=-3)]
+    rejects = cleaning.quarantine_imputed(raw(*rows))
+    assert rejects.count() + cleaning.clean_sales_impute(raw(*rows)).count() == len(rows)
+    assert {r.reason for r in rejects.collect()} == {
+        "bad_date", "price_not_positive", "unknown_category", "unknown_region", "discount_out_of_range", "negative_units",
+    }
 
 
 def test_quarantine_completes_staging(raw):
