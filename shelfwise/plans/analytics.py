@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import columns as c
+from shelfwise.session import cut_lineage
 
 
 def _sum(name: str) -> Column:
@@ -294,13 +295,17 @@ SECTIONS = {
 }
 
 
-def revenue_sections(df: DataFrame, keys: list[str], top_n: int) -> DataFrame:
+def revenue_sections(df: DataFrame, keys: list[str], top_n: int, totals: bool = False) -> DataFrame:
     """Revenue per value of each key as ``(section, key, value)``, products cut to the ``top_n``.
 
-    One scan for all sections: grouping sets, each combined map-side.
+    One scan for all sections: grouping sets, each combined map-side, ``totals`` as one set more. The
+    sums are written before the products are ranked, so that they are computed once.
     """
-    grouped = df.groupingSets([[k] for k in keys], *keys).agg(
-        F.round(F.sum("revenue"), 2).alias("revenue"), F.grouping_id().alias("gid")
+    sets = [[k] for k in keys] + [[]] * totals
+    grouped = cut_lineage(
+        df.groupingSets(sets, *keys).agg(
+            _sum("revenue").alias("revenue"), F.sum("units_sold").cast("double").alias("units"), F.grouping_id().alias("gid")
+        )
     )
     # grouping_id has one bit per key, highest first, that is 0 for the key grouped by
     full = (1 << len(keys)) - 1
@@ -309,10 +314,14 @@ def revenue_sections(df: DataFrame, keys: list[str], top_n: int) -> DataFrame:
         here = F.col("gid") == full - (1 << (len(keys) - 1 - i))
         section = F.when(here, SECTIONS[k]).otherwise(section)
         value = F.when(here, F.col(k)).otherwise(value)
-    tidy = grouped.select(section.alias("section"), value.alias("key"), F.col("revenue").alias("value"))
+    tidy = grouped.where(F.col("gid") != full).select(section.alias("section"), value.alias("key"), F.col("revenue").alias("value"))
     products = F.col("section") == SECTIONS["product_id"]
     top = tidy.where(products).orderBy(F.desc("value"), "key").limit(top_n)
-    return tidy.where(~products).unionByName(top).withColumn("value", F.col("value").cast("double"))
+    parts = tidy.where(~products).unionByName(top)
+    if not totals:
+        return parts
+    whole = grouped.where(F.col("gid") == full).select(F.col("revenue").alias("total_revenue"), F.col("units").alias("total_units_sold"))
+    return parts.unionByName(whole.unpivot([], whole.columns, "key", "value").select(F.lit("totals").alias("section"), "key", "value"))
 
 
 def dashboard_trends(df: DataFrame, top_n: int = 10) -> DataFrame:
@@ -321,10 +330,7 @@ def dashboard_trends(df: DataFrame, top_n: int = 10) -> DataFrame:
 
 def metrics_overview(df: DataFrame, top_n: int = 5) -> DataFrame:
     """Totals and four breakdowns as one tidy table."""
-    parts = revenue_sections(df, ["category", "region", "year_month", "product_id"], top_n)
-    totals = df.agg(_sum("revenue").alias("total_revenue"), F.sum("units_sold").cast("double").alias("total_units_sold"))
-    tidy = totals.unpivot([], ["total_revenue", "total_units_sold"], "key", "value")
-    return parts.unionByName(tidy.select(F.lit("totals").alias("section"), "key", "value"))
+    return revenue_sections(df, ["category", "region", "year_month", "product_id"], top_n, totals=True)
 
 
 def overview_document(overview: DataFrame) -> DataFrame:
