@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from oracles.sales import Q as SALES_Q
-from oracles.sales import REV, over
-from oracles.tables import STAGED
+from oracles.sales import REV, UNITS, over
+from oracles.tables import STAGED, avg2
 from oracles.texts import Q as TEXT_Q
 
 Q: dict[str, str] = {
@@ -13,6 +13,14 @@ Q: dict[str, str] = {
     "ingest_upload": SALES_Q["clean_sales_impute"],
     "write_staged": SALES_Q["stage_sales"],
     "write_curated_partitioned": SALES_Q["curate_sales"],
+    "medallion_category_revenue": over(STAGED, f"""
+SELECT category, {REV} AS total_revenue, {UNITS} AS total_units, COUNT(*) AS record_count, {avg2('discount')} AS avg_discount
+FROM staged GROUP BY category"""),
+    "medallion_monthly_trend": over(STAGED, f"""
+SELECT strftime(date, '%Y-%m') AS year_month, {REV} AS monthly_revenue, {UNITS} AS monthly_units FROM staged GROUP BY 1"""),
+    "medallion_top_products": over(STAGED, f"""
+SELECT product_id, {REV} AS total_revenue, {UNITS} AS total_units, {avg2('price')} AS avg_price
+FROM staged GROUP BY product_id ORDER BY SUM(revenue) DESC, product_id LIMIT 10"""),
     "medallion_region_performance": over(STAGED, f"""
 SELECT region, {REV} AS total_revenue, COUNT(DISTINCT store_id) AS store_count FROM staged GROUP BY region"""),
     "medallion_status": SALES_Q["stage_status"],

@@ -73,7 +73,7 @@ def queries() -> dict[str, Query]:
         "ingest_upload": _upload,
         "write_staged": _staged,
         "write_curated_partitioned": _curated,
-        "medallion_region_performance": _medallion("region_performance"),
+        **{f"medallion_{name}": _medallion(name) for name in medallion.STORED_RESULTS},
         "medallion_status": _medallion("status"),
         "save_load_index": _index,
     }

@@ -39,7 +39,8 @@ def stream_ingest_staged(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         arrived = dedup_sales(batch.select(*MANDATORY_COLUMNS)).withColumn("sales_month", month)
-        seen = read_or_empty(spark, seen_path, seen_schema).where(F.col("batch_id") != batch_id)
+        months = [r[0] for r in batch.select(month).distinct().collect()]  # at most one a month of history
+        seen = read_or_empty(spark, seen_path, seen_schema).where(F.col("sales_month").isin(months) & (F.col("batch_id") != batch_id))
         same = F.col("new.sales_month") == F.col("old.sales_month")
         for name in MANDATORY_COLUMNS:
             same = same & F.col(f"new.{name}").eqNullSafe(F.col(f"old.{name}"))

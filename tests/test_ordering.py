@@ -58,6 +58,14 @@ def test_split_windows_equal_plain_windows(skewed, block_rows):
     assert rows(split) == rows(plain)
 
 
+def test_a_missing_key_is_split_like_any_other(skewed):
+    bare = skewed.withColumn("product_id", F.nullif("product_id", F.lit("P0")))
+    assert None in heavy_keys(bare, "product_id", share=0.5, floor=100)
+    plain = row_windows(bare, "product_id", SEQUENCE, unit_lags, REACH)
+    split = row_windows(bare, "product_id", SEQUENCE, unit_lags, REACH, heavy=[None], block_rows=64)
+    assert sorted(map(repr, split.collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_heavy_path_has_no_whole_product_window(skewed):
     split = sequence_features(skewed, F.lit(1.0), heavy=["P0"], block_rows=64)
     plan = split._jdf.queryExecution().executedPlan().toString()
