@@ -6,7 +6,8 @@ within ``radius`` bits, the 64 bits are cut into segments, each with a small rad
 pigeonhole principle two fingerprints within ``radius`` bits agree up to the small radius in one segment
 at least. A fingerprint enumerates the Hamming ball of each of its segments, fetches the fingerprints
 filed under those segment values by an equi-join, and the full distance is checked inside the join, so
-that no unverified pair is ever written.
+that no unverified pair is ever written. In a dense group of near copies nearly all pairs are links; such a
+group is first joined by links to one row a bucket, and the search then lists pairs of different groups only.
 
 Rows: a missing text counts as empty; a text without words has fingerprint zero and is linked like any
 other; repeated rows keep a row each; a missing ``doc_id`` keeps its fingerprint and takes the smallest
@@ -40,6 +41,7 @@ SEGMENTS = ((22, 1), (21, 1), (21, 0))
 #: (64 * acos(0.889) / pi is 9.7 at a similarity of 0.8, with a deviation of about three bits).
 COPY_RADIUS, PROOF_RADIUS = 7, 14
 COPY_SEGMENTS = ((16, 1), (16, 1), (16, 1), (16, 1))
+HEAD_TURNS = 2
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -124,34 +126,57 @@ def _moved(value: Column, masks: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m))
 
 
+def _near(a: str, b: str, radius: int, proof_radius: int) -> Column:
+    """Whether two rows, given by the prefixes of their columns, differ by few bits and are not in one group yet."""
+    bits = lambda name: F.bit_count(F.col(f"{a}{name}").bitwiseXOR(F.col(f"{b}{name}")))
+    near = (bits("fp") <= radius) & (F.col(f"{a}root") != F.col(f"{b}root"))
+    return near & (bits("proof") <= proof_radius) if proof_radius < 64 else near
+
+
+def _prefixed(nodes: DataFrame, prefix: str) -> list[Column]:
+    return [F.col(c).alias(f"{prefix}{c}") for c in ("node", "fp", "proof", "root")]
+
+
 def links(
     nodes: DataFrame, radius: int = 4, layout: tuple[tuple[int, int], ...] = SEGMENTS, proof_radius: int = 64
 ) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of the rows of ``nodes`` (node, fp, proof) that differ by few bits.
+    """Pairs of the rows of ``nodes`` (node, fp, proof, root) that have different roots and differ by few bits.
 
-    Up to ``radius`` bits of ``fp`` and ``proof_radius`` bits of ``proof``. Every pair comes once: of the
-    segments in which it could be found, the first reports it.
+    Up to ``radius`` bits of ``fp`` and ``proof_radius`` bits of ``proof``; ``a_node`` < ``b_node``. Every pair
+    comes once: of the segments in which it could be found, the first reports it.
     """
     if sum(r + 1 for _, r in layout) <= radius:
         raise ValueError("the segment radii are too small for this radius")
     segments = _segments(layout)
     filed = nodes.select(
-        F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("proof").alias("b_proof"),
-        F.posexplode(F.array(*[_value(F.col("fp"), s, n) for s, n, _ in segments])).alias("segment", "value"),
+        *_prefixed(nodes, "b_"), F.posexplode(F.array(*[_value(F.col("fp"), s, n) for s, n, _ in segments])).alias("segment", "value")
     )
     probes = nodes.select(
-        F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("proof").alias("a_proof"),
+        *_prefixed(nodes, "a_"),
         F.posexplode(F.array(*[_moved(_value(F.col("fp"), s, n), _ball(n, r)) for s, n, r in segments])).alias("segment", "values"),
-    ).select("a", "a_fp", "a_proof", "segment", F.explode("values").alias("value"))
+    ).withColumn("value", F.explode("values")).drop("values")
     apart = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
     earlier = F.lit(False)
     for i, (s, n, r) in enumerate(segments[:-1]):
         earlier = earlier | ((F.col("p.segment") > i) & (F.bit_count(_value(apart, s, n)) <= r))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius) & ~earlier
-    if proof_radius < 64:
-        near = near & (F.bit_count(F.col("a_proof").bitwiseXOR(F.col("b_proof"))) <= proof_radius)
+    near = (F.col("a_node") < F.col("b_node")) & _near("a_", "b_", radius, proof_radius) & ~earlier
     same = (F.col("p.segment") == F.col("f.segment")) & (F.col("p.value") == F.col("f.value"))
-    return probes.alias("p").join(filed.alias("f"), same & near).select("a", "b")
+    return probes.alias("p").join(filed.alias("f"), same & near).select("a_node", "b_node", "a_root", "b_root")
+
+
+def head_links(nodes: DataFrame, turn: int, radius: int, layout: tuple[tuple[int, int], ...], proof_radius: int) -> DataFrame:
+    """Links of each row to one other row of each of its buckets, the first in an order that ``turn`` shuffles.
+
+    All of them are links that ``links`` would find. They join a dense group of near copies, in which all
+    pairs are links, by a few links a row, so that ``links`` need not list its pairs.
+    """
+    values = F.posexplode(F.array(*[_value(F.col("fp"), s, n) for s, n, _ in _segments(layout)])).alias("segment", "value")
+    filed = nodes.select(*_prefixed(nodes, "a_"), values)
+    first = F.struct(F.xxhash64("a_node", F.lit(turn)).alias("order"), *[F.col(f"a_{c}").alias(c) for c in ("node", "fp", "proof", "root")])
+    heads = filed.groupBy("segment", "value").agg(F.min(first).alias("head"))
+    heads = heads.select("segment", "value", *[F.col(f"head.{c}").alias(f"b_{c}") for c in ("node", "fp", "proof", "root")])
+    same = (F.col("p.segment") == F.col("f.segment")) & (F.col("p.value") == F.col("f.value"))
+    return filed.alias("p").join(heads.alias("f"), same & _near("a_", "b_", radius, proof_radius)).select("a_root", "b_root")
 
 
 def components(edges: DataFrame, limit: int = 50) -> DataFrame:
@@ -178,14 +203,24 @@ def components(edges: DataFrame, limit: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
-def _grouped(marked: DataFrame, node, **how) -> DataFrame:
+def _merged(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes with the roots that links between roots give them."""
+    moved = components(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    moved = moved.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+    joined = nodes.join(moved, "root", "left")
+    return stored(joined.select("node", "fp", "proof", "first_id", F.coalesce("new_root", "root").alias("root")), "nodes")
+
+
+def _grouped(marked: DataFrame, node, radius: int, layout=SEGMENTS, proof_radius: int = 64, turns: int = HEAD_TURNS) -> DataFrame:
     """``(doc_id, fp, node, root, component_id)`` from fingerprints: components of the links between nodes."""
     rows = stored(marked.withColumn("node", node), "fingerprints")
-    nodes = stored(rows.groupBy("node", "fp", "proof").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(links(nodes, **how))
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_node = placed.join(smallest, "root").select("node", "root", "component_id")
+    first = rows.groupBy("node", "fp", "proof").agg(F.min("doc_id").alias("first_id"))
+    nodes = stored(first.withColumn("root", F.col("node")), "nodes")
+    for turn in range(turns):
+        nodes = _merged(nodes, head_links(nodes, turn, radius, layout, proof_radius))
+    nodes = _merged(nodes, links(nodes, radius, layout, proof_radius))
+    smallest = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_node = nodes.join(smallest, "root").select("node", "root", "component_id")
     return rows.join(of_node, "node").select("doc_id", "fp", "node", "root", "component_id")
 
 

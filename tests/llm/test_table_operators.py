@@ -194,14 +194,28 @@ def test_links_are_all_near_pairs_once(spark, radius, layout):
         for n in (1, 3, 4, 5, 7, 8):
             values.append(v ^ sum(1 << b for b in rng.sample(range(64), n)))
     signed = np.array(sorted(set(values)), np.uint64).view(np.int64).tolist()
-    nodes = spark.createDataFrame([(v, v, v) for v in signed], "node long, fp long, proof long")
-    got = sorted(map(tuple, simhash.links(nodes, radius, layout).collect()))
+    nodes = spark.createDataFrame([(v, v, v, v) for v in signed], "node long, fp long, proof long, root long")
+    got = sorted(map(tuple, simhash.links(nodes, radius, layout).select("a_node", "b_node").collect()))
+    assert {tuple(sorted(p)) for p in simhash.head_links(nodes, 0, radius, layout, 64).collect()} <= set(got)
     expected = sorted((min(a, b), max(a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= radius)
     assert got == expected and len(got) > 100
     with pytest.raises(ValueError):
         simhash.links(nodes, 5, simhash.SEGMENTS)
 
 
+def test_a_dense_group_needs_few_links(spark):
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    values = {centre ^ sum(1 << b for b in rng.sample(range(64), 2)) for _ in range(600)}
+    signed = np.array(sorted(values), np.uint64).view(np.int64).tolist()
+    marked = spark.createDataFrame([(i, v, v) for i, v in enumerate(signed)], "doc_id long, fp long, proof long")
+    assert {r.component_id for r in simhash._grouped(marked, F.col("fp"), 4).collect()} == {0}
+    nodes = spark.createDataFrame([(v, v, v, v, 0) for v in signed], "node long, fp long, proof long, root long, first_id long")
+    for turn in range(2):
+        nodes = simhash._merged(nodes, simhash.head_links(nodes, turn, 4, simhash.SEGMENTS, 64))
+    assert simhash.links(nodes).count() < len(signed) * 3 < len(signed) * (len(signed) - 1) / 2
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(205, 203), (203, 204)]
     got = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()))
