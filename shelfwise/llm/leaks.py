@@ -7,10 +7,11 @@ the latent space; the corpus passages are folded in. The SVD is of the benchmark
 directions of the corpus are its function words and would not tell one item from another.
 
 A corpus passage is a candidate for an item if their latent cosine is at least ``COSINE`` and it covers at
-least ``COVER`` of the item's weight. Passages whose whole weight is too small to cover that part of any item
-are passed over beforehand, which loses nothing. Candidates are then read word by word with the text around
-them: the longest common subsequence must hold ``COPY`` of the item passage's words, or ``PARAPHRASE`` of
-them if the item's answer (its last sentence, or the column ``answer``) is there as well.
+least ``COVER`` of the item's weight. A term adds to the cover of an item at most its largest share of any item's
+weight; passages where these do not add up to ``COVER`` are passed over beforehand, which loses nothing.
+Candidates are then read word by word with the text around them: the longest common subsequence must hold
+``COPY`` of the item passage's words, or ``PARAPHRASE`` of them if the item's answer (its last sentence, or
+the column ``answer``) is there as well.
 
 The benchmark is the query set: its passages and vocabulary are held by every task. All documents run against
 it in blocks, in two passes without a shuffle of texts. Letters A-Z count as a-z, punctuation parts words.
@@ -74,6 +75,8 @@ class Items:
     basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # term x dimension
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # passage x dimension, unit rows
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # squared length of each passage's vector
+    sets: list[np.ndarray] = field(default_factory=list)  # the terms of each passage
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the largest part of a passage's weight that each term has
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word among the terms, -1 for others."""
@@ -178,39 +181,56 @@ def prepare(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Items:
     spark, items = docs.sparkSession, read_items(benchmark)
     found, total = document_frequencies(docs, items)
     items.idf = np.log((total + 1) / (found + 1)) + 0.01
-    sets = [np.unique(items.number(np.array(p, np.uint64))).tolist() for p in items.words]
+    sets = items.sets = [np.unique(items.number(np.array(p, np.uint64))) for p in items.words]
     items.weight = np.array([(items.idf[s] ** 2).sum() for s in sets])
     if not sets:
         return items
-    rows = spark.createDataFrame([(s,) for s in sets], "terms array<long>")
+    items.most = np.zeros(len(items.terms))
+    for s, weight in zip(sets, items.weight):
+        items.most[s] = np.maximum(items.most[s], items.idf[s] ** 2 / weight)
+    rows = spark.createDataFrame([(s.tolist(),) for s in sets], "terms array<long>")
     items.basis = latent_space(rows, items.idf, rank)
     latent = np.array([items.idf[s] @ items.basis[s] for s in sets], np.float32)
     items.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     return items
 
 
+def _sets(number: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of the passages at ``starts``: the place of each passage in the list, and its terms."""
+    spread = starts[:, None] + np.arange(PASSAGE)
+    terms = np.where(spread < len(number), number[np.minimum(spread, len(number) - 1)], -1)
+    terms.sort(axis=1)
+    fresh = terms >= 0
+    fresh[:, 1:] &= terms[:, 1:] != terms[:, :-1]
+    return np.nonzero(fresh)[0], terms[fresh]
+
+
 def find(hashes: np.ndarray, items: Items) -> list[dict]:
     """The leaks in a text, given the hashes of its words: the best passage for each item, by item."""
     best: dict[int, dict] = {}
     if not len(items.ids) or not len(hashes):
         return []
     number = items.number(hashes)
-    mass = np.concatenate(([0.0], np.cumsum(np.where(number >= 0, items.idf[number] ** 2, 0.0))))
+    mass = np.concatenate(([0.0], np.cumsum(np.where(number >= 0, items.most[number], 0.0))))
     starts = windows(len(hashes))
     ends = np.minimum(starts + PASSAGE, len(hashes))
-    starts = starts[mass[ends] - mass[starts] >= COVER * items.weight.min() - 1e-9]
+    starts = starts[mass[ends] - mass[starts] >= COVER - 1e-9]
     for at in range(0, len(starts), BLOCK):
         some = starts[at : at + BLOCK]
-        sets = [np.unique(n[n >= 0]) for n in (number[s : s + PASSAGE] for s in some)]
-        latent = np.array([items.idf[s] @ items.basis[s] for s in sets], np.float32).reshape(len(some), -1)
+        row, terms = _sets(number, some)
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        latent = np.add.reduceat(items.basis[terms] * items.idf[terms, None].astype(np.float32), first)
         length = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
         cosine = (latent / length[:, None]) @ items.latent.T
+        here = np.zeros(len(items.terms), bool)
+        ends = np.append(first[1:], len(terms))
         for i, j in zip(*np.nonzero(cosine >= COSINE)):
-            words = items.words[j]
-            shared = np.intersect1d(sets[i], items.number(np.array(words, np.uint64)))
-            cover = (items.idf[shared] ** 2).sum() / items.weight[j]
-            if cover < COVER:
+            here[terms[first[i] : ends[i]]] = True
+            shared = items.sets[j][here[items.sets[j]]]
+            here[terms[first[i] : ends[i]]] = False
+            if (items.idf[shared] ** 2).sum() / items.weight[j] < COVER:
                 continue
+            words = items.words[j]
             around = hashes[max(0, some[i] - STRIDE) : some[i] + PASSAGE + STRIDE].tolist()
             copied = common_length(words, around) / len(words)
             answer = set(items.answers[j])
