@@ -11,7 +11,6 @@ from shelfwise.functions.fixed import (
     AGENT_TOOLS,
     ANALYTICS,
     ANSWERING_FALLBACK,
-    DEFAULT_FORECAST,
     FALLBACK_TOOL,
     FORECAST,
     POLICY,

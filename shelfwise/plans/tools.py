@@ -9,7 +9,7 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.routing import DEFAULT_FORECAST
+from shelfwise.functions.fixed import DEFAULT_FORECAST
 from shelfwise.operators import anomalies, forecasting, retrieval
 from shelfwise.plans import analytics as a
 
