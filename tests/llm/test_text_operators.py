@@ -129,7 +129,7 @@ def test_model_equals_plain_counts(table, shard, part, request):
         assert g[3:] == pytest.approx(w[3:], rel=1e-9, abs=1e-9)
 
 
-def test_probabilities_sum_to_one(docs):
+def test_probabilities_of_some_followers_stay_below_one(docs):
     import numpy as np
 
     from shelfwise.llm.common import WordHasher
