@@ -24,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from shelfwise.llm.common import slices, stored, texts_of
 
@@ -37,9 +36,7 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.
 #: the (radius + 1) add up to 5.
 SEGMENTS = ((22, 1), (21, 1), (21, 0))
 
-#: Near copies: links of up to 7 bits of the word fingerprint, with 14 bits of the shingle fingerprint
-#: (64 * acos(0.889) / pi is 9.7 at a similarity of 0.8, with a deviation of about three bits).
-COPY_RADIUS, PROOF_RADIUS = 7, 14
+#: A layout for links of up to 7 bits.
 COPY_SEGMENTS = ((16, 1), (16, 1), (16, 1), (16, 1))
 HEAD_TURNS = 2
 
@@ -61,18 +58,22 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()  # bytes.split knows just these blanks
 
 
-def shingle_print(words: list[bytes], shingle: int = 4, seed: int = 42) -> int:
-    """Majority of the XXH64 hashes of all runs of ``shingle`` words, repeats included."""
+def shingle_hashes(words: list[bytes], shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 hashes of all runs of ``shingle`` words, repeats included; fewer words are one run."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)]))
     n = max(1, len(words) - shingle + 1)
     stops = ends[len(words) - n :]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), stops.tolist())]
-    return majority(np.array(hashes, np.uint64))
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), stops.tolist())], np.uint64)
+
+
+def shingle_print(words: list[bytes], shingle: int = 4, seed: int = 42) -> int:
+    """Majority of the hashes of all runs of ``shingle`` words."""
+    return majority(shingle_hashes(words, shingle, seed))
 
 
 def word_print(words: list[bytes], seed: int = 42) -> int:
@@ -208,7 +209,8 @@ def _merged(nodes: DataFrame, found: DataFrame) -> DataFrame:
     moved = components(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     moved = moved.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
     joined = nodes.join(moved, "root", "left")
-    return stored(joined.select("node", "fp", "proof", "first_id", F.coalesce("new_root", "root").alias("root")), "nodes")
+    kept = [c for c in nodes.columns if c != "root"]
+    return stored(joined.select(*kept, F.coalesce("new_root", "root").alias("root")), "nodes")
 
 
 def _grouped(marked: DataFrame, node, radius: int, layout=SEGMENTS, proof_radius: int = 64, turns: int = HEAD_TURNS) -> DataFrame:
@@ -229,35 +231,6 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     return _grouped(fingerprints(docs, shingle, seed), F.col("fp"), radius=radius)
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """The same for texts of about 0.8 similarity or more in their shingles of five words.
-
-    Fingerprints of shingles move by some ten bits at that similarity, too many to enumerate. So the
-    fingerprint of the distinct words is looked up, within ``COPY_RADIUS`` bits, and that of the shingles
-    proves the find, within ``PROOF_RADIUS`` bits.
-    """
-    node = F.xxhash64("fp", "proof")
-    return _grouped(
-        fingerprints(docs, shingle, seed, by_words=True), node, radius=COPY_RADIUS, layout=COPY_SEGMENTS, proof_radius=PROOF_RADIUS
-    )
-
-
-def with_node(docs: DataFrame, name: str, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """All columns of ``docs`` and the node of each row in ``near_copies``, under a name that ``docs`` does not have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            words = [words_of(t) for t in texts_of(batch)]
-            prints = [
-                pa.array(np.array([make(w) for w in words], np.uint64).view(np.int64))
-                for make in (lambda w: word_print(w, seed), lambda w: shingle_print(w, shingle, seed))
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *prints], [*batch.schema.names, name, f"{name}_proof"])
-
-    rows = docs.mapInArrow(run, StructType([*docs.schema, StructField(name, LongType()), StructField(f"{name}_proof", LongType())]))
-    return rows.withColumn(name, F.xxhash64(name, f"{name}_proof")).drop(f"{name}_proof")
-
-
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
