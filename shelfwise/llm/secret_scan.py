@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty.
 
 Three fixed kinds are found by pattern. For the fourth, ``novel``, a candidate is a long run of token
-characters with a letter and a digit that follows a sensitive word closely. The compressor is primed with
+characters with a letter and a digit that follows a sensitive word or another secret closely; a name joined to
+its value is one run, so where the run as a whole is not novel its parts are judged. The compressor is primed with
 common identifiers and with the text on both sides of the candidate, and the candidate's marginal bytes
 are the bytes its compression adds to that of an empty string. Names, repeated or derived strings cost
 next to nothing then; a candidate that stays nearly incompressible is reported. Spans are code points,
@@ -37,7 +38,10 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 SENSITIVE = re.compile(
     r"(?i:passw|passphrase|pwd|secret|token|key|credential|auth|bearer|private|session|cert|signature|login)", re.ASCII
 )
+LEAST_NOVEL = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+VALUE = re.compile(r"[^=]+(?:=+$)?")  # between equals signs; those at the end are padding
+PIECE = re.compile(r"[^_/-]+")
 LETTER_AND_DIGIT = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]", re.DOTALL)
 REACH = 64  # code points between a sensitive word and a candidate
 AROUND = 400  # code points of surrounding text on each side
@@ -79,20 +83,59 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return in_order(found)
 
 
+def is_novel(text: str, start: int, end: int) -> bool:
+    """Whether a run of token characters is long and mixed enough to be a secret, and nearly incompressible here."""
+    run = text[start:end]
+    if len(run) < LEAST_NOVEL or not LETTER_AND_DIGIT.search(run):
+        return False
+    return marginal_bytes(run, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVELTY * len(run)
+
+
+def novel_parts(text: str, start: int, end: int, known: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """The novel parts of a candidate: all of it, or what is novel between its ``=`` signs, or between its joints.
+
+    Between joints the shortest run of pieces that is long enough is judged from each joint on, and a novel one is
+    prolonged by further pieces as long as it stays novel.
+    """
+    untouched = lambda a, b: not any(s < b and a < e for _, s, e in known)
+    if untouched(start, end) and is_novel(text, start, end):
+        yield start, end
+        return
+    for value in VALUE.finditer(text, start, end):
+        if not untouched(*value.span()):
+            continue
+        if value.span() != (start, end) and is_novel(text, *value.span()):
+            yield value.span()
+            continue
+        pieces = [m.span() for m in PIECE.finditer(text, *value.span())]
+        i = 0
+        while len(pieces) > 1 and i < len(pieces):
+            first, j = pieces[i][0], i
+            while j < len(pieces) and pieces[j][1] - first < LEAST_NOVEL:
+                j += 1
+            i += 1
+            if j < len(pieces) and is_novel(text, first, pieces[j][1]):
+                while j + 1 < len(pieces) and is_novel(text, first, pieces[j + 1][1]):
+                    j += 1
+                yield first, pieces[j][1]
+                i = j + 1
+
+
 def novel_spans(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Incompressible strings in a sensitive context that no span of ``known`` touches."""
+    """Incompressible strings in a sensitive context that no span of ``known`` touches.
+
+    A context is what follows a sensitive word, a known span or a found one. A found span reaches further by its
+    own length, so that in a block of lines one that passes for a name does not end the block.
+    """
     found, at = [], 0
-    for word in SENSITIVE.finditer(text):
-        limit = word.end() + REACH
-        at = max(at, word.end())
+    for end in sorted([*(m.end() for m in SENSITIVE.finditer(text)), *(e for _, _, e in known)]):
+        limit = end + REACH
+        at = max(at, end)
         while at <= limit and (m := CANDIDATE.search(text, at)) and m.start() <= limit:
             at = m.end()
-            start, end = m.span()
-            if any(s < end and start < e for _, s, e in known) or not LETTER_AND_DIGIT.search(m.group()):
-                continue
-            cost = marginal_bytes(m.group(), text[max(0, start - AROUND) : start], text[end : end + AROUND])
-            if cost >= NOVELTY * (end - start):
-                found.append(("novel", start, end))
+            for start, stop in novel_parts(text, *m.span(), known):
+                found.append(("novel", start, stop))
+                limit = max(limit, stop + REACH + stop - start)
     return found
 
 
