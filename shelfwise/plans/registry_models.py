@@ -73,7 +73,7 @@ def _model(spark: SparkSession, folder: str):
     sales = _sales(spark, folder)
     codes = features.encode_labels(sales)
     rows = features.training_rows(features.engineer_features(sales, codes))
-    model, metrics = forecasting.train_demand_model(rows, num_trees=20, tree_depth=8)
+    model, metrics = forecasting.train_demand_model(rows)
     return sales, codes, model, metrics
 
 

@@ -141,3 +141,27 @@ def test_labels_and_reasons(spark):
 def test_staged_rows_train_too(spark):
     frame = features.feature_frame(features.engineer_features(stage_sales(spark.createDataFrame(SAMPLE, RAW_SCHEMA))))
     assert frame.count() == 5
+
+
+@pytest.mark.parametrize("name", ["train_demand_model", "predict_demand"])
+def test_registered_queries_ask_for_the_reference_forest(monkeypatch, name):
+    import inspect
+
+    from shelfwise.plans import registry_models
+
+    asked, signature = [], inspect.signature(registry_models.forecasting.train_demand_model)
+
+    def train(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        asked.append((bound.arguments["num_trees"], bound.arguments["tree_depth"]))
+        return None, None
+
+    monkeypatch.setattr(registry_models, "_sales", lambda *_: None)
+    for made in ("encode_labels", "training_rows", "engineer_features"):
+        monkeypatch.setattr(registry_models.features, made, lambda *_: None)
+    monkeypatch.setattr(registry_models, "requests_from_sales", lambda *_: None)
+    monkeypatch.setattr(registry_models.forecasting, "predict_demand", lambda *_: None)
+    monkeypatch.setattr(registry_models.forecasting, "train_demand_model", train)
+    registry_models.queries()[name](None, "")
+    assert asked == [(100, 0)]
