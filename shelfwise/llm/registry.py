@@ -10,7 +10,7 @@ from shelfwise.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from shelfwise.llm import bpe, kneser_ney, leaks, mixing, phrases, quality, secret_scan, simhash, templates, warc
+    from shelfwise.llm import bpe, infill, kneser_ney, leaks, line_runs, mixing, phrases, quality, repeats, secret_scan, simhash, templates, warc
 
     import corpus_pipeline
 
@@ -28,10 +28,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": lambda spark, folder: leaks.op10_decontamination(
             table(spark, folder, "documents"), table(spark, folder, "benchmark")
         ),
+        "op11_line_dedup": lambda spark, folder: line_runs.op11_line_dedup(table(spark, folder, "documents")),
+        "op12_periodic_runs": lambda spark, folder: repeats.op12_periodic_runs(table(spark, folder, "documents")),
+        "op13_fill_in_middle": lambda spark, folder: infill.op13_fill_in_middle(table(spark, folder, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from shelfwise.llm import mixing, warc
+    from shelfwise.llm import infill, line_runs, mixing, warc
 
-    return {"op5_mixing": mixing.OP5_SQL, "op7_warc": warc.OP7_SQL}
+    return {
+        "op5_mixing": mixing.OP5_SQL, "op7_warc": warc.OP7_SQL, "op11_line_dedup": line_runs.OP11_SQL,
+        "op13_fill_in_middle": infill.OP13_SQL,
+    }
