@@ -33,6 +33,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def new_table(spark: SparkSession, kind: str) -> str:
     """A path of its own in the folder that all executors share."""
     return f"{shared_folder(spark).rstrip('/')}/tables/{kind}-{uuid.uuid4().hex}"
@@ -51,6 +58,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def superseded(table: DataFrame) -> None:
+    """Deletes the tables behind ``table`` that ``stored`` wrote, once what was made from them is stored, too."""
+    own = f"{urlparse(shared_folder(table.sparkSession)).path.rstrip('/')}/tables/"
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        if urlparse(folder).path.startswith(own):
+            discard(table.sparkSession, folder)
+
+
 def mounted(path: str, mount: tuple[str, str] | None = None) -> str:
     """The path under which Python workers see a shared folder.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import slices, stored, texts_of
+from shelfwise.llm.common import slices, stored, superseded, texts_of
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 PIECE = 1 << 14  # shingles voted on at once
@@ -36,8 +36,6 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.
 #: the (radius + 1) add up to 5.
 SEGMENTS = ((22, 1), (21, 1), (21, 0))
 
-#: A layout for links of up to 7 bits.
-COPY_SEGMENTS = ((16, 1), (16, 1), (16, 1), (16, 1))
 HEAD_TURNS = 2
 
 
@@ -76,32 +74,20 @@ def shingle_print(words: list[bytes], shingle: int = 4, seed: int = 42) -> int:
     return majority(shingle_hashes(words, shingle, seed))
 
 
-def word_print(words: list[bytes], seed: int = 42) -> int:
-    """Majority of the hashes of the distinct words: moves far less than that of shingles when words change."""
-    digest = xxhash.xxh64_intdigest
-    return majority(np.array([digest(w, seed) for w in set(words)], np.uint64))
-
-
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return shingle_print(words_of(text), shingle, seed)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, by_words: bool = False) -> DataFrame:
-    """``(doc_id, fp, proof)``, fingerprints as the signed longs with the same bits.
-
-    ``fp`` is looked up and ``proof`` only compared. They are the same shingle fingerprint, but with
-    ``by_words`` the fingerprint of the distinct words is looked up.
-    """
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """``(doc_id, fp)``, fingerprints as the signed longs with the same bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = [words_of(t) for t in texts_of(batch)]
-            proof = np.array([shingle_print(w, shingle, seed) for w in words], np.uint64).view(np.int64)
-            fp = np.array([word_print(w, seed) for w in words], np.uint64).view(np.int64) if by_words else proof
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(proof)], ["doc_id", "fp", "proof"])
+            fp = np.array([fingerprint(t, shingle, seed) for t in texts_of(batch)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, fp long, proof long")
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def _segments(layout: tuple[tuple[int, int], ...]) -> list[tuple[int, int, int]]:
@@ -127,24 +113,20 @@ def _moved(value: Column, masks: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m))
 
 
-def _near(a: str, b: str, radius: int, proof_radius: int) -> Column:
+def _near(a: str, b: str, radius: int) -> Column:
     """Whether two rows, given by the prefixes of their columns, differ by few bits and are not in one group yet."""
-    bits = lambda name: F.bit_count(F.col(f"{a}{name}").bitwiseXOR(F.col(f"{b}{name}")))
-    near = (bits("fp") <= radius) & (F.col(f"{a}root") != F.col(f"{b}root"))
-    return near & (bits("proof") <= proof_radius) if proof_radius < 64 else near
+    bits = F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp")))
+    return (bits <= radius) & (F.col(f"{a}root") != F.col(f"{b}root"))
 
 
 def _prefixed(nodes: DataFrame, prefix: str) -> list[Column]:
-    return [F.col(c).alias(f"{prefix}{c}") for c in ("node", "fp", "proof", "root")]
+    return [F.col(c).alias(f"{prefix}{c}") for c in ("node", "fp", "root")]
 
 
-def links(
-    nodes: DataFrame, radius: int = 4, layout: tuple[tuple[int, int], ...] = SEGMENTS, proof_radius: int = 64
-) -> DataFrame:
-    """Pairs of the rows of ``nodes`` (node, fp, proof, root) that have different roots and differ by few bits.
+def links(nodes: DataFrame, radius: int = 4, layout: tuple[tuple[int, int], ...] = SEGMENTS) -> DataFrame:
+    """Pairs of the rows of ``nodes`` (node, fp, root) that have different roots and differ by up to ``radius`` bits.
 
-    Up to ``radius`` bits of ``fp`` and ``proof_radius`` bits of ``proof``; ``a_node`` < ``b_node``. Every pair
-    comes once: of the segments in which it could be found, the first reports it.
+    ``a_node`` < ``b_node``. Every pair comes once: of the segments in which it could be found, the first reports it.
     """
     if sum(r + 1 for _, r in layout) <= radius:
         raise ValueError("the segment radii are too small for this radius")
@@ -160,12 +142,12 @@ def links(
     earlier = F.lit(False)
     for i, (s, n, r) in enumerate(segments[:-1]):
         earlier = earlier | ((F.col("p.segment") > i) & (F.bit_count(_value(apart, s, n)) <= r))
-    near = (F.col("a_node") < F.col("b_node")) & _near("a_", "b_", radius, proof_radius) & ~earlier
+    near = (F.col("a_node") < F.col("b_node")) & _near("a_", "b_", radius) & ~earlier
     same = (F.col("p.segment") == F.col("f.segment")) & (F.col("p.value") == F.col("f.value"))
     return probes.alias("p").join(filed.alias("f"), same & near).select("a_node", "b_node", "a_root", "b_root")
 
 
-def head_links(nodes: DataFrame, turn: int, radius: int, layout: tuple[tuple[int, int], ...], proof_radius: int) -> DataFrame:
+def head_links(nodes: DataFrame, turn: int, radius: int, layout: tuple[tuple[int, int], ...]) -> DataFrame:
     """Links of each row to one other row of each of its buckets, the first in an order that ``turn`` shuffles.
 
     All of them are links that ``links`` would find. They join a dense group of near copies, in which all
@@ -173,18 +155,19 @@ def head_links(nodes: DataFrame, turn: int, radius: int, layout: tuple[tuple[int
     """
     values = F.posexplode(F.array(*[_value(F.col("fp"), s, n) for s, n, _ in _segments(layout)])).alias("segment", "value")
     filed = nodes.select(*_prefixed(nodes, "a_"), values)
-    first = F.struct(F.xxhash64("a_node", F.lit(turn)).alias("order"), *[F.col(f"a_{c}").alias(c) for c in ("node", "fp", "proof", "root")])
+    first = F.struct(F.xxhash64("a_node", F.lit(turn)).alias("order"), *[F.col(f"a_{c}").alias(c) for c in ("node", "fp", "root")])
     heads = filed.groupBy("segment", "value").agg(F.min(first).alias("head"))
-    heads = heads.select("segment", "value", *[F.col(f"head.{c}").alias(f"b_{c}") for c in ("node", "fp", "proof", "root")])
+    heads = heads.select("segment", "value", *[F.col(f"head.{c}").alias(f"b_{c}") for c in ("node", "fp", "root")])
     same = (F.col("p.segment") == F.col("f.segment")) & (F.col("p.value") == F.col("f.value"))
-    return filed.alias("p").join(heads.alias("f"), same & _near("a_", "b_", radius, proof_radius)).select("a_root", "b_root")
+    return filed.alias("p").join(heads.alias("f"), same & _near("a_", "b_", radius)).select("a_root", "b_root")
 
 
 def components(edges: DataFrame, limit: int = 50) -> DataFrame:
     """``(node, root)`` for all nodes of the edges ``(a, b)``; the root is the component's smallest node.
 
     Alternates large-star and small-star steps, each a grouping and a join, until the links no longer
-    change; every step's links are written to the shared folder, so nothing is recomputed.
+    change; every step's links are written to the shared folder, so nothing is recomputed, and those
+    before them are deleted.
     """
     current = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
@@ -193,10 +176,12 @@ def components(edges: DataFrame, limit: int = 50) -> DataFrame:
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(lowest, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where(F.col("u") != F.col("v")).distinct(), "links")
+        superseded(current)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lowest, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         current = stored(small.where(F.col("u") != F.col("v")).distinct(), "links")
+        superseded(large)
         mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -206,31 +191,40 @@ def components(edges: DataFrame, limit: int = 50) -> DataFrame:
 
 def _merged(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """The nodes with the roots that links between roots give them."""
-    moved = components(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-    moved = moved.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+    settled = components(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    moved = settled.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
     joined = nodes.join(moved, "root", "left")
     kept = [c for c in nodes.columns if c != "root"]
-    return stored(joined.select(*kept, F.coalesce("new_root", "root").alias("root")), "nodes")
+    merged = stored(joined.select(*kept, F.coalesce("new_root", "root").alias("root")), "nodes")
+    for old in (settled, nodes):
+        superseded(old)
+    return merged
 
 
-def _grouped(marked: DataFrame, node, radius: int, layout=SEGMENTS, proof_radius: int = 64, turns: int = HEAD_TURNS) -> DataFrame:
-    """``(doc_id, fp, node, root, component_id)`` from fingerprints: components of the links between nodes."""
-    rows = stored(marked.withColumn("node", node), "fingerprints")
-    first = rows.groupBy("node", "fp", "proof").agg(F.min("doc_id").alias("first_id"))
+def near_duplicates(
+    docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, layout: tuple[tuple[int, int], ...] = SEGMENTS, turns: int = HEAD_TURNS
+) -> DataFrame:
+    """``(doc_id, fp, node, root, component_id)``: one row per document; the component's smallest reachable id.
+
+    ``layout`` gives (bits, radius) of each segment: a probe meets about one in 2^bits of all fingerprints by chance, so
+    beyond 10^9 of them take fewer and longer segments, such as ((32, 2), (32, 1)).
+    """
+    return grouped(fingerprints(docs, shingle, seed), radius, layout, turns)
+
+
+def grouped(prints: DataFrame, radius: int = 4, layout: tuple[tuple[int, int], ...] = SEGMENTS, turns: int = HEAD_TURNS) -> DataFrame:
+    """``(doc_id, fp, node, root, component_id)`` from ``(doc_id, fp)``: components of the links between fingerprints."""
+    rows = stored(prints.withColumn("node", F.col("fp")), "fingerprints")
+    first = rows.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id"))
     nodes = stored(first.withColumn("root", F.col("node")), "nodes")
     for turn in range(turns):
-        nodes = _merged(nodes, head_links(nodes, turn, radius, layout, proof_radius))
-    nodes = _merged(nodes, links(nodes, radius, layout, proof_radius))
+        nodes = _merged(nodes, head_links(nodes, turn, radius, layout))
+    nodes = _merged(nodes, links(nodes, radius, layout))
     smallest = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_node = nodes.join(smallest, "root").select("node", "root", "component_id")
     return rows.join(of_node, "node").select("doc_id", "fp", "node", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp, node, root, component_id)``: one row per document; the component's smallest reachable id."""
-    return _grouped(fingerprints(docs, shingle, seed), F.col("fp"), radius=radius)
-
-
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

@@ -1,4 +1,6 @@
-"""Tables with every oddity the operators must bear."""
+"""Tables with every oddity the operators must bear, and plain rules that several tests need."""
+
+import itertools
 
 SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor " * 20_000
@@ -38,3 +40,39 @@ def odd_pages(spark):
 
 def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def plain_components(ids, linked):
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in linked:
+        root[find(j)] = find(i)
+    least = {}
+    for i, x in enumerate(ids):
+        if x is not None:
+            least[find(i)] = min(x, least.get(find(i), x))
+    return [least.get(find(i)) for i in range(len(ids))]
+
+
+def plain_shingles(text):
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def plain_similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def plain_near(rows, limit=0.8):
+    sets = [plain_shingles(t) for _, t in rows]
+    pairs = itertools.combinations(range(len(rows)), 2)
+    return [(i, j) for i, j in pairs if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and plain_similarity(sets[i], sets[j]) >= limit]
+
+
+def kept_by_brute_force(rows):
+    return set(plain_components([i for i, _ in rows], plain_near(rows)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from shelfwise.llm import leaks, mixing, quality, registry, secret_scan, simhash, templates, warc
 from tests.compare import connect, difference, duck_rows, spark_rows
-from tests.llm.data import SF, no_documents, odd_documents, odd_pages, rows_of
+from tests.llm.data import SF, kept_by_brute_force, no_documents, odd_documents, odd_pages, plain_components, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -159,23 +159,6 @@ def plain_fingerprint(text, shingle=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(ids, linked):
-    root = list(range(len(ids)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in linked:
-        root[find(j)] = find(i)
-    least = {}
-    for i, x in enumerate(ids):
-        if x is not None:
-            least[find(i)] = min(x, least.get(find(i), x))
-    return [least.get(find(i)) for i in range(len(ids))]
-
-
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_simhash(table, request):
     df = request.getfixturevalue(table)
@@ -186,7 +169,7 @@ def test_simhash(table, request):
     assert rows_of(simhash.op9_simhash(df)) == sorted(expected, key=repr)
 
 
-@pytest.mark.parametrize("radius,layout", [(4, simhash.SEGMENTS), (7, simhash.COPY_SEGMENTS)])
+@pytest.mark.parametrize("radius,layout", [(4, simhash.SEGMENTS), (7, ((16, 1),) * 4)])
 def test_links_are_all_near_pairs_once(spark, radius, layout):
     rng = random.Random(8)
     values = [rng.getrandbits(64) for _ in range(120)]
@@ -194,9 +177,9 @@ def test_links_are_all_near_pairs_once(spark, radius, layout):
         for n in (1, 3, 4, 5, 7, 8):
             values.append(v ^ sum(1 << b for b in rng.sample(range(64), n)))
     signed = np.array(sorted(set(values)), np.uint64).view(np.int64).tolist()
-    nodes = spark.createDataFrame([(v, v, v, v) for v in signed], "node long, fp long, proof long, root long")
+    nodes = spark.createDataFrame([(v, v, v) for v in signed], "node long, fp long, root long")
     got = sorted(map(tuple, simhash.links(nodes, radius, layout).select("a_node", "b_node").collect()))
-    assert {tuple(sorted(p)) for p in simhash.head_links(nodes, 0, radius, layout, 64).collect()} <= set(got)
+    assert {tuple(sorted(p)) for p in simhash.head_links(nodes, 0, radius, layout).collect()} <= set(got)
     expected = sorted((min(a, b), max(a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= radius)
     assert got == expected and len(got) > 100
     with pytest.raises(ValueError):
@@ -208,11 +191,11 @@ def test_a_dense_group_needs_few_links(spark):
     centre = rng.getrandbits(64)
     values = {centre ^ sum(1 << b for b in rng.sample(range(64), 2)) for _ in range(600)}
     signed = np.array(sorted(values), np.uint64).view(np.int64).tolist()
-    marked = spark.createDataFrame([(i, v, v) for i, v in enumerate(signed)], "doc_id long, fp long, proof long")
-    assert {r.component_id for r in simhash._grouped(marked, F.col("fp"), 4).collect()} == {0}
-    nodes = spark.createDataFrame([(v, v, v, v, 0) for v in signed], "node long, fp long, proof long, root long, first_id long")
+    marked = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    assert {r.component_id for r in simhash.grouped(marked).collect()} == {0}
+    nodes = spark.createDataFrame([(v, v, v, 0) for v in signed], "node long, fp long, root long, first_id long")
     for turn in range(2):
-        nodes = simhash._merged(nodes, simhash.head_links(nodes, turn, 4, simhash.SEGMENTS, 64))
+        nodes = simhash._merged(nodes, simhash.head_links(nodes, turn, 4, simhash.SEGMENTS))
     assert simhash.links(nodes).count() < len(signed) * 3 < len(signed) * (len(signed) - 1) / 2
 
 
@@ -309,13 +292,7 @@ def test_stages_of_the_pipeline(spark, docs):
 
     single = stages["near_duplicates"](spark, docs, SF)
     rows = texts(docs)
-    words = [simhash.words_of(t) for _, t in rows]
-    prints = [(simhash.word_print(w), simhash.shingle_print(w, 5)) for w in words]
-    near = [
-        (i, j) for i, j in itertools.combinations(range(len(rows)), 2)
-        if (prints[i][0] ^ prints[j][0]).bit_count() <= 7 and (prints[i][1] ^ prints[j][1]).bit_count() <= 14
-    ]
-    kept = set(plain_components([i for i, _ in rows], near))
+    kept = kept_by_brute_force(rows)
     assert {r.doc_id for r in single.collect()} == kept and single.columns == docs.columns and len(kept) < len(rows)
 
     clean = stages["decontamination"](spark, docs, SF)
