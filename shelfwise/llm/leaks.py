@@ -7,14 +7,18 @@ the latent space; the corpus passages are folded in. The SVD is of the benchmark
 directions of the corpus are its function words and would not tell one item from another.
 
 A corpus passage is a candidate for an item if their latent cosine is at least ``COSINE`` and it covers at
-least ``COVER`` of the item's weight. A term adds to the cover of an item at most its largest share of any item's
-weight; passages where these do not add up to ``COVER`` are passed over beforehand, which loses nothing.
+least ``COVER`` of the item's weight. Items of 6 to 20 words are compared with passages of their own size (``WINDOWS``), in
+which other words do not outweigh them; and where a passage holds an item's weightiest word and covers ``NEAR`` of the
+item, it is a candidate whatever their cosine, since a space of few dimensions cuts off the own direction of some items
+among many. A term adds to the cover of an item at most its largest share of any item's weight; passages where these do
+not add up to ``COVER`` are passed over beforehand, which loses nothing.
 Candidates are then read word by word with the text around them: the longest common subsequence must hold
 ``COPY`` of the item passage's words, or ``PARAPHRASE`` of them if the item's answer (its last sentence, or
-the column ``answer``) is there as well.
+the column ``answer``) is there as well; of items of 6 to 10 words it must hold more, as few words meet by chance.
 
-The benchmark is the query set: its passages and vocabulary are held by every task. All documents run against
-it in blocks, in two passes without a shuffle of texts. Letters A-Z count as a-z, punctuation parts words.
+The benchmark is the query set: its passages are cut by Spark from its table, at most ``MOST_WORDS`` words of it (more are
+refused) are held by every task. All documents run against it in blocks, in two passes without a shuffle of texts.
+Letters A-Z count as a-z, punctuation parts words.
 
 Rows: a missing text has no passages; a text shorter than a passage is one; whole texts are read; repeated
 rows and missing ids keep their leaks each; a benchmark row without id or words is passed over; items alike
@@ -33,12 +37,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shelfwise.llm.common import WordHasher, slices, texts_of
+from shelfwise.llm.common import WordHasher, slices, stored, texts_of
 
 PASSAGE, STRIDE = 40, 20  # words
 RANK, SPARE = 256, 16  # latent dimensions, and random directions besides
-COSINE, COVER = 0.5, 0.3
-COPY, PARAPHRASE, ANSWERED = 0.6, 0.4, 0.8
+COSINE, COVER, NEAR = 0.5, 0.3, 0.95
+ANSWERED = 0.8
+MOST_WORDS = 5_000_000  # of the benchmark's passages
+
+
+@dataclass(frozen=True)
+class Window:
+    """How item passages of up to ``most`` words, and at least ``least``, are compared with a text."""
+
+    least: int
+    most: int
+    size: int
+    stride: int
+    cover: float
+    copy: float
+    paraphrase: float
+
+
+#: An item of 6 to 20 words lies whole in one of the passages of its size.
+WINDOWS = (Window(6, 10, 16, 5, 0.6, 0.8, 0.6), Window(11, 20, 31, 10, COVER, 0.6, 0.4), Window(0, PASSAGE, PASSAGE, STRIDE, COVER, 0.6, 0.4))
 BLOCK = 4096  # passages compared at once
 PARTS_WORDS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SENTENCE = re.compile(r"[.!?]+")
@@ -76,7 +98,7 @@ class Items:
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # passage x dimension, unit rows
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # squared length of each passage's vector
     sets: list[np.ndarray] = field(default_factory=list)  # the terms of each passage
-    most: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the largest part of a passage's weight that each term has
+    groups: list[Group] = field(default_factory=list)
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word among the terms, -1 for others."""
@@ -86,22 +108,77 @@ class Items:
         return np.where(self.terms[at] == hashes, at, -1)
 
 
-def read_items(benchmark: DataFrame) -> Items:
-    """The words of the benchmark's passages. The benchmark is small: it is the query set of the search."""
+class Group:
+    """The passages that are compared by one window."""
+
+    def __init__(self, window: Window, chosen: np.ndarray, items: Items) -> None:
+        self.window, self.chosen = window, chosen
+        self.latent = np.ascontiguousarray(items.latent[chosen].T)
+        self.most = np.zeros(len(items.terms))  # the largest part of a passage's weight that each term has
+        weightiest = []
+        for j in chosen:
+            share = items.idf[items.sets[j]] ** 2 / items.weight[j]
+            self.most[items.sets[j]] = np.maximum(self.most[items.sets[j]], share)
+            weightiest.append(items.sets[j][share.argmax()])
+        order = np.argsort(weightiest, kind="stable")
+        self.anchored = chosen[order]  # the passages by their weightiest term
+        self.first = np.searchsorted(np.array(weightiest)[order], np.arange(len(items.terms) + 1))
+
+    def anchors(self, row: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a place in the list of passages, and an item passage whose weightiest term stands there."""
+        counts = self.first[terms + 1] - self.first[terms]
+        places = np.repeat(self.first[terms] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return np.repeat(row, counts), self.anchored[places]
+
+
+def passages(benchmark: DataFrame) -> DataFrame:
+    """``(item_id, words, answer)``: the word hashes of the passages of each item, and of its answer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(PARTS_WORDS)
+        for batch in slices(batches, "text"):
+            out: tuple[list, list, list] = ([], [], [])
+            for item_id, text, answer in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist()):
+                last = [s for s in SENTENCE.split(text) if s.strip()][-1:]
+                words, answered = (hasher.documents([t])[0].view(np.int64).tolist() for t in (text, answer or "".join(last)))
+                for start in windows(len(words)):
+                    for values, value in zip(out, (item_id, words[start : start + PASSAGE], answered)):
+                        values.append(value)
+            hashes = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], hashes), pa.array(out[2], hashes)], ["item_id", "words", "answer"])
+
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None)
     rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string"), answer.cast("string").alias("answer"))
-    hasher, items = WordHasher(PARTS_WORDS), Items()
-    for item_id, text, answer_text in sorted(rows.collect(), key=lambda r: (r[0], r[1] or "", r[2] or "")):
-        last = [s for s in SENTENCE.split(text or "") if s.strip()][-1:]
-        hashes = [hasher.documents([t])[0].tolist() for t in (text or "", answer_text or "".join(last))]
-        for start in windows(len(hashes[0])):
-            items.ids.append(item_id)
-            items.words.append(hashes[0][start : start + PASSAGE])
-            items.answers.append(hashes[1])
+    return rows.mapInArrow(run, "item_id long, words array<long>, answer array<long>")
+
+
+def read_items(cut: DataFrame, most_words: int = MOST_WORDS) -> Items:
+    """The benchmark's passages, which must not have more than ``most_words`` words."""
+    size = cut.agg(F.sum(F.size("words"))).first()[0] or 0
+    if size > most_words:
+        raise ValueError(f"the benchmark's passages have {size} words; every task holds them, so at most {most_words} are taken: divide the benchmark")
+    items = Items()
+    for row in sorted(cut.collect()):
+        items.ids.append(row["item_id"])
+        items.words.append(row["words"])
+        items.answers.append(row["answer"])
+    items.words, items.answers = ([np.array(p, np.int64).view(np.uint64).tolist() for p in part] for part in (items.words, items.answers))
     items.terms = np.unique(np.array([w for p in items.words for w in p], np.uint64))
     return items
 
 
+def numbered(cut: DataFrame, items: Items) -> DataFrame:
+    """``(terms)``: the distinct term numbers of each passage."""
+    known = Items(terms=items.terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(known.number(np.array(p, np.int64).view(np.uint64))) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64()))], ["terms"])
+
+    return cut.select("words").mapInArrow(run, "terms array<long>")
+
+
 def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     """In how many documents each term occurs, and the number of documents."""
     terms = items.terms
@@ -178,26 +255,25 @@ def latent_space(rows: DataFrame, idf: np.ndarray, rank: int = RANK, spare: int
 
 def prepare(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Items:
     """Everything the search needs to know of the benchmark."""
-    spark, items = docs.sparkSession, read_items(benchmark)
+    cut = stored(passages(benchmark), "benchmark")
+    items = read_items(cut)
     found, total = document_frequencies(docs, items)
     items.idf = np.log((total + 1) / (found + 1)) + 0.01
     sets = items.sets = [np.unique(items.number(np.array(p, np.uint64))) for p in items.words]
     items.weight = np.array([(items.idf[s] ** 2).sum() for s in sets])
     if not sets:
         return items
-    items.most = np.zeros(len(items.terms))
-    for s, weight in zip(sets, items.weight):
-        items.most[s] = np.maximum(items.most[s], items.idf[s] ** 2 / weight)
-    rows = spark.createDataFrame([(s.tolist(),) for s in sets], "terms array<long>")
-    items.basis = latent_space(rows, items.idf, rank)
+    items.basis = latent_space(numbered(cut, items), items.idf, rank)
     latent = np.array([items.idf[s] @ items.basis[s] for s in sets], np.float32)
     items.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    kinds = np.array([next(k for k, w in enumerate(WINDOWS) if w.least <= len(p) <= w.most) for p in items.words])
+    items.groups = [Group(WINDOWS[k], np.flatnonzero(kinds == k), items) for k in np.unique(kinds)]
     return items
 
 
-def _sets(number: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sets(number: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct terms of the passages at ``starts``: the place of each passage in the list, and its terms."""
-    spread = starts[:, None] + np.arange(PASSAGE)
+    spread = starts[:, None] + np.arange(size)
     terms = np.where(spread < len(number), number[np.minimum(spread, len(number) - 1)], -1)
     terms.sort(axis=1)
     fresh = terms >= 0
@@ -205,38 +281,51 @@ def _sets(number: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.nonzero(fresh)[0], terms[fresh]
 
 
-def find(hashes: np.ndarray, items: Items) -> list[dict]:
-    """The leaks in a text, given the hashes of its words: the best passage for each item, by item."""
-    best: dict[int, dict] = {}
-    if not len(items.ids) or not len(hashes):
-        return []
-    number = items.number(hashes)
-    mass = np.concatenate(([0.0], np.cumsum(np.where(number >= 0, items.most[number], 0.0))))
-    starts = windows(len(hashes))
-    ends = np.minimum(starts + PASSAGE, len(hashes))
-    starts = starts[mass[ends] - mass[starts] >= COVER - 1e-9]
+def _candidates(number: np.ndarray, items: Items, group: Group) -> Iterator[tuple[int, int, float]]:
+    """``(start, item passage, cosine)`` of the passages of a text that may copy an item passage of the group."""
+    window = group.window
+    mass = np.concatenate(([0.0], np.cumsum(np.where(number >= 0, group.most[number], 0.0))))
+    starts = windows(len(number), window.size, window.stride)
+    ends = np.minimum(starts + window.size, len(number))
+    starts = starts[mass[ends] - mass[starts] >= window.cover - 1e-9]
+    here = np.zeros(len(items.terms), bool)
     for at in range(0, len(starts), BLOCK):
         some = starts[at : at + BLOCK]
-        row, terms = _sets(number, some)
+        row, terms = _sets(number, some, window.size)
         first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         latent = np.add.reduceat(items.basis[terms] * items.idf[terms, None].astype(np.float32), first)
         length = np.maximum(np.linalg.norm(latent, axis=1), 1e-12)
-        cosine = (latent / length[:, None]) @ items.latent.T
-        here = np.zeros(len(items.terms), bool)
+        cosine = (latent / length[:, None]) @ group.latent
         ends = np.append(first[1:], len(terms))
-        for i, j in zip(*np.nonzero(cosine >= COSINE)):
+        near, item = np.nonzero(cosine >= COSINE)
+        least = {(i, j): window.cover for i, j in zip(near.tolist(), group.chosen[item].tolist())}
+        for i, j in zip(*(a.tolist() for a in group.anchors(row, terms))):
+            least.setdefault((i, j), NEAR)
+        column = {j: k for k, j in enumerate(group.chosen.tolist())} if least else {}
+        for (i, j), cover in least.items():
             here[terms[first[i] : ends[i]]] = True
             shared = items.sets[j][here[items.sets[j]]]
             here[terms[first[i] : ends[i]]] = False
-            if (items.idf[shared] ** 2).sum() / items.weight[j] < COVER:
-                continue
+            if (items.idf[shared] ** 2).sum() >= cover * items.weight[j]:
+                yield int(some[i]), j, float(cosine[i, column[j]])
+
+
+def find(hashes: np.ndarray, items: Items) -> list[dict]:
+    """The leaks in a text, given the hashes of its words: the best passage for each item, by item."""
+    best: dict[int, dict] = {}
+    if not len(items.ids) or not len(hashes):
+        return []
+    number = items.number(hashes)
+    for group in items.groups:
+        window = group.window
+        for start, j, cosine in _candidates(number, items, group):
             words = items.words[j]
-            around = hashes[max(0, some[i] - STRIDE) : some[i] + PASSAGE + STRIDE].tolist()
+            around = hashes[max(0, start - window.stride) : start + window.size + window.stride].tolist()
             copied = common_length(words, around) / len(words)
             answer = set(items.answers[j])
             answered = len(answer & set(around)) / len(answer) if answer else 0.0
-            if copied >= COPY or (copied >= PARAPHRASE and answered >= ANSWERED):
-                leak = {"item_id": items.ids[j], "start": int(some[i]), "cosine": float(cosine[i, j]), "copied": copied, "answered": answered}
+            if copied >= window.copy or (copied >= window.paraphrase and answered >= ANSWERED):
+                leak = {"item_id": items.ids[j], "start": start, "cosine": cosine, "copied": copied, "answered": answered}
                 old = best.get(items.ids[j])
                 if old is None or (leak["copied"], -leak["start"]) > (old["copied"], -old["start"]):
                     best[items.ids[j]] = leak

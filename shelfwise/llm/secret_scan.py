@@ -3,10 +3,12 @@
 Three fixed kinds are found by pattern. For the fourth, ``novel``, a candidate is a long run of token
 characters with a letter and a digit that follows a sensitive word or another secret closely; a name joined to
 its value is one run, so where the run as a whole is not novel its parts are judged. The compressor is primed with
-common identifiers and with the text on both sides of the candidate, and the candidate's marginal bytes
-are the bytes its compression adds to that of an empty string. Names, repeated or derived strings cost
-next to nothing then; a candidate that stays nearly incompressible is reported. Spans are code points,
-the end is exclusive.
+common identifiers and with the text on both sides, and a run's marginal bytes are the bytes its compression adds to
+that of an empty string. Names, repeated or derived strings cost next to nothing then; a run that stays nearly
+incompressible is reported. A run is measured in windows of 32 to 63 characters, each primed with what stands before
+it: so short a window is stored as it is but for what it repeats, so the measure depends neither on the run's length nor
+on its alphabet. Spans are code points, the end is exclusive. Every candidate is looked at once, in order, and known
+spans are looked up by place, so time grows with the length of a text.
 
 Rows: a missing text counts as empty and has no spans; texts are scanned whole, whatever their length;
 repeated rows keep a row each; extra columns are dropped by the scan and kept by ``redact``.
@@ -15,7 +17,9 @@ repeated rows keep a row each; extra columns are dropped by the scan and kept by
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -42,10 +46,11 @@ LEAST_NOVEL = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 VALUE = re.compile(r"[^=]+(?:=+$)?")  # between equals signs; those at the end are padding
 PIECE = re.compile(r"[^_/-]+")
-LETTER_AND_DIGIT = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]", re.DOTALL)
+LETTER, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 REACH = 64  # code points between a sensitive word and a candidate
 AROUND = 400  # code points of surrounding text on each side
 NOVELTY = 0.8  # marginal bytes a byte
+WINDOW = 32  # characters measured at once, and up to twice as many; from 64 on zstandard codes the bytes by their frequency
 
 IDENTIFIERS = b" ".join([
     b"access account address api application argument array async authorization base64 bearer boolean boundary buffer bytes",
@@ -83,26 +88,45 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return in_order(found)
 
 
+def cost(text: str, start: int, end: int) -> int:
+    """Marginal bytes of a run, window by window."""
+    after = text[end : end + AROUND]
+    parts = max(1, (end - start) // WINDOW)
+    edges = [start + (end - start) * i // parts for i in range(parts + 1)]
+    return sum(marginal_bytes(text[a:b], text[max(0, a - AROUND) : a], after) for a, b in zip(edges, edges[1:]))
+
+
 def is_novel(text: str, start: int, end: int) -> bool:
     """Whether a run of token characters is long and mixed enough to be a secret, and nearly incompressible here."""
-    run = text[start:end]
-    if len(run) < LEAST_NOVEL or not LETTER_AND_DIGIT.search(run):
+    if end - start < LEAST_NOVEL or not LETTER.search(text, start, end) or not DIGIT.search(text, start, end):
         return False
-    return marginal_bytes(run, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVELTY * len(run)
+    return cost(text, start, end) >= NOVELTY * (end - start)
+
+
+class Spans:
+    """Known spans by place."""
 
+    def __init__(self, spans: list[tuple[str, int, int]]) -> None:
+        self.starts = sorted(s for _, s, _ in spans)
+        self.reach = list(accumulate((e for _, _, e in sorted(spans, key=lambda s: s[1])), max))
 
-def novel_parts(text: str, start: int, end: int, known: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    def touch(self, start: int, end: int) -> bool:
+        """Whether one of them overlaps a stretch."""
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > start
+
+
+def novel_parts(text: str, start: int, end: int, known: Spans) -> Iterator[tuple[int, int]]:
     """The novel parts of a candidate: all of it, or what is novel between its ``=`` signs, or between its joints.
 
     Between joints the shortest run of pieces that is long enough is judged from each joint on, and a novel one is
-    prolonged by further pieces as long as it stays novel.
+    prolonged by further pieces as long as its last pieces, so many as are long enough, are novel.
     """
-    untouched = lambda a, b: not any(s < b and a < e for _, s, e in known)
-    if untouched(start, end) and is_novel(text, start, end):
+    if not known.touch(start, end) and is_novel(text, start, end):
         yield start, end
         return
     for value in VALUE.finditer(text, start, end):
-        if not untouched(*value.span()):
+        if known.touch(*value.span()):
             continue
         if value.span() != (start, end) and is_novel(text, *value.span()):
             yield value.span()
@@ -110,14 +134,19 @@ def novel_parts(text: str, start: int, end: int, known: list[tuple[str, int, int
         pieces = [m.span() for m in PIECE.finditer(text, *value.span())]
         i = 0
         while len(pieces) > 1 and i < len(pieces):
-            first, j = pieces[i][0], i
-            while j < len(pieces) and pieces[j][1] - first < LEAST_NOVEL:
+            first, j = i, i
+            while j < len(pieces) and pieces[j][1] - pieces[first][0] < LEAST_NOVEL:
                 j += 1
             i += 1
-            if j < len(pieces) and is_novel(text, first, pieces[j][1]):
-                while j + 1 < len(pieces) and is_novel(text, first, pieces[j + 1][1]):
+            if j < len(pieces) and is_novel(text, pieces[first][0], pieces[j][1]):
+                while j + 1 < len(pieces):
+                    back = j + 1
+                    while pieces[j + 1][1] - pieces[back][0] < LEAST_NOVEL:
+                        back -= 1
+                    if not is_novel(text, pieces[back][0], pieces[j + 1][1]):
+                        break
                     j += 1
-                yield first, pieces[j][1]
+                yield pieces[first][0], pieces[j][1]
                 i = j + 1
 
 
@@ -127,15 +156,25 @@ def novel_spans(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str,
     A context is what follows a sensitive word, a known span or a found one. A found span reaches further by its
     own length, so that in a block of lines one that passes for a name does not end the block.
     """
-    found, at = [], 0
-    for end in sorted([*(m.end() for m in SENSITIVE.finditer(text)), *(e for _, _, e in known)]):
-        limit = end + REACH
-        at = max(at, end)
-        while at <= limit and (m := CANDIDATE.search(text, at)) and m.start() <= limit:
-            at = m.end()
-            for start, stop in novel_parts(text, *m.span(), known):
+    contexts = sorted([*(m.end() for m in SENSITIVE.finditer(text)), *(e for _, _, e in known)])
+    if not contexts:
+        return []
+    found, places, at, limit, turn = [], Spans(known), 0, -1, 0
+    for run in CANDIDATE.finditer(text):
+        at = max(at, run.start())
+        while run.end() - at >= LEAST_NOVEL:
+            if at > limit:  # the next context that ends late enough to reach this place
+                while turn < len(contexts) and contexts[turn] + REACH < at:
+                    turn += 1
+                if turn == len(contexts):
+                    return found
+                limit = contexts[turn] + REACH
+                at = max(at, contexts[turn])
+                continue
+            for start, stop in novel_parts(text, at, run.end(), places):
                 found.append(("novel", start, stop))
                 limit = max(limit, stop + REACH + stop - start)
+            at = run.end()
     return found
 
 

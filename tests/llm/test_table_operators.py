@@ -261,6 +261,30 @@ def test_leaks_with_changed_words(spark):
     assert leaks.op10_decontamination(found.limit(0), benchmark).collect() == []
 
 
+@pytest.mark.parametrize("items,words", [(5000, 8), (2000, 15)])
+def test_copies_of_one_item_among_thousands(spark, items, words):
+    """Items of common words, beyond the rank of the latent space; every copied one is found, and no clean text."""
+    rng = np.random.default_rng(words)
+    draw = lambda n: [f"w{k}" for k in np.minimum(rng.zipf(1.25, n), 30_000)]
+    benchmark = [(i, " ".join(draw(words))) for i in range(items)]
+    rows = []
+    for i in range(0, items, items // 200):
+        around = draw(120)
+        at = int(rng.integers(0, 120))
+        rows += [(i, " ".join(around[:at] + benchmark[i][1].split() + around[at:])), (100_000 + i, " ".join(draw(128)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.op10_decontamination(docs, spark.createDataFrame(benchmark, "item_id long, text string")).collect()}
+    planted = {(i, i) for i, _ in rows if i < 100_000}
+    assert len(planted & got) >= 0.99 * len(planted), len(planted & got)
+
+
+def test_a_benchmark_beyond_the_bound_is_refused(spark):
+    cut = leaks.passages(spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string"))
+    assert len(leaks.read_items(cut, 7).ids) == 1
+    with pytest.raises(ValueError):
+        leaks.read_items(cut, 6)
+
+
 def test_common_length():
     rng = random.Random(6)
     for _ in range(300):

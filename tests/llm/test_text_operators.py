@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -298,3 +299,41 @@ def test_quality_of_odd_rows(spark, odd):
 def test_operators_on_no_rows(spark):
     assert secret_scan.op1_secret_scan(no_documents(spark)).collect() == []
     assert bpe.op8_token_counts(no_documents(spark)).collect() == []
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+@pytest.mark.parametrize("length", [24, 64, 200, 600, 1600])
+def test_novelty_depends_on_neither_alphabet_nor_length(alphabet, length):
+    rng = random.Random(length)
+    for _ in range(5):
+        value = "".join(rng.choice(alphabet) for _ in range(length))
+        text = f"the signing credential follows {value} and that is all"
+        assert value not in secret_scan.redacted(text, secret_scan.scan_text(text))
+        covered = sum(e - s for _, s, e in secret_scan.scan_text(text))
+        assert covered >= 0.95 * length
+
+
+def test_names_and_repeats_stay():
+    name = "session_token_for_the_customer_account_service_2"
+    for text in (f"{name} is set here, see {name} in the private settings", "key " + "abc123" * 300, "private " + "0123456789abcdefghijklmnopqrstuvwxyz" * 20):
+        assert not [s for s in secret_scan.scan_text(text) if s[0] == "novel" and s[2] - s[1] > 40], text
+
+
+def test_long_texts_take_time_in_step_with_their_length():
+    rng = random.Random(1)
+    letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def text(n):
+        line = lambda i: f"key {i}: {''.join(rng.choice('0123456789abcdef') for _ in range(40))} {''.join(rng.choice(letters) for _ in range(24))} name_{i}\n"
+        return "".join(line(i) for i in range(n))
+
+    start = time.perf_counter()
+    assert len(secret_scan.scan_text(text(1000))) >= 1900
+    short = time.perf_counter() - start
+    start = time.perf_counter()
+    assert len(secret_scan.scan_text(text(8000))) >= 15_200
+    assert time.perf_counter() - start < 16 * short + 1
+    for odd in ("secret " + "a" * 2_000_000, "token=" + "=" * 500_000 + "x", "key " * 300_000, "key_" * 200_000 + "1"):
+        start = time.perf_counter()
+        secret_scan.scan_text(odd)
+        assert time.perf_counter() - start < 20, odd[:20]
