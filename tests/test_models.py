@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import anomalies, features, forecasting
+from shelfwise.operators import anomalies, features, forecasting, trees
 from shelfwise.operators.cleaning import clean_sales_impute, stage_sales
 from shelfwise.schema import FEATURES, RAW_SCHEMA
 from shelfwise.sources import star
@@ -143,25 +143,80 @@ def test_staged_rows_train_too(spark):
     assert frame.count() == 5
 
 
-@pytest.mark.parametrize("name", ["train_demand_model", "predict_demand"])
-def test_registered_queries_ask_for_the_reference_forest(monkeypatch, name):
-    import inspect
-
+def plain_tree(x, y, w):
+    """Leaf means by trying every cut of every feature, until leaves are pure."""
+    best = None
+    for f in range(len(x)):
+        for v in np.unique(x[f])[:-1]:
+            left = x[f] <= v
+            parts = [(w[s].sum(), (w * y)[s].sum()) for s in (left, ~left)]
+            gain = sum(m * m / n for n, m in parts)
+            if best is None or gain > best[0] + 1e-9:
+                best = gain, f, v
+    mean = (w * y).sum() / w.sum()
+    if best is None or len(np.unique(y)) == 1 or best[0] <= mean * mean * w.sum() + 1e-9:
+        return np.full(len(y), mean)
+    left = x[best[1]] <= best[2]
+    out = np.empty(len(y))
+    for side in (left, ~left):
+        out[side] = plain_tree(x[:, side], y[side], w[side])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_grown_tree_equals_plain_cuts(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(3, 60)).astype(np.float32)
+    x[1] = np.round(x[1])
+    y, w = rng.normal(size=60), rng.integers(1, 4, 60)
+    tree = trees.grown(x, y, w, 3, None, rng)
+    got = tree.value[tree.reached(x)]
+    assert got == pytest.approx(plain_tree(x, y, w.astype(float)), abs=1e-5)
+    shallow = trees.grown(x, y, w, 3, 2, rng)
+    assert len(shallow.value) <= 7 and len(np.unique(shallow.reached(x))) <= 4
+
+
+def test_two_phases_learn_as_one(spark):
+    """Whole trees in one task, and trees of which large nodes are split first, fit and predict about alike; copies agree."""
+    rng = np.random.default_rng(1)
+    data = [(float(a), float(b), float(c), float(np.sin(a) * 5 + (b > 0.3) * 4 + rng.normal() * 0.1)) for a, b, c in rng.normal(size=(3000, 3))]
+    df = spark.createDataFrame(data, "a double, b double, c double, y double").repartition(5)
+    test = df.where("c > 1.2")
+    fit = df.where("c <= 1.2")
+    errors = []
+    for most in (10**6, 200):
+        forest = trees.train(fit, ["a", "b", "c"], "y", 12, most_rows=most)
+        assert (max(len(t.feature) for t in forest.tops) == 1) == (most > 10**5)
+        first = sorted(map(tuple, trees.predict(forest, test, part_rows=100).select("a", "prediction").collect()))
+        again = trees.train(fit.repartition(3), ["a", "b", "c"], "y", 12, most_rows=10**6) if most > 10**5 else forest
+        second = sorted(map(tuple, trees.predict(again, test).select("a", "prediction").collect()))
+        assert np.array(second) == pytest.approx(np.array(first), abs=0.6) and (most > 10**5 or first == second)
+        truth = dict(test.select("a", "y").collect())
+        errors.append(np.mean([abs(truth[a] - p) for a, p in first]))
+        assert np.mean([abs(p - truth[a]) for a, p in first]) < 0.45 and len(first) == test.count()
+    assert abs(errors[0] - errors[1]) < 0.15
+
+
+def test_registered_queries_train_the_reference_forest(spark):
+    """100 trees of unlimited depth on all rows; the metrics are those of the predictions."""
     from shelfwise.plans import registry_models
 
-    asked, signature = [], inspect.signature(registry_models.forecasting.train_demand_model)
-
-    def train(*args, **kwargs):
-        bound = signature.bind(*args, **kwargs)
-        bound.apply_defaults()
-        asked.append((bound.arguments["num_trees"], bound.arguments["tree_depth"]))
-        return None, None
-
-    monkeypatch.setattr(registry_models, "_sales", lambda *_: None)
-    for made in ("encode_labels", "training_rows", "engineer_features"):
-        monkeypatch.setattr(registry_models.features, made, lambda *_: None)
-    monkeypatch.setattr(registry_models, "requests_from_sales", lambda *_: None)
-    monkeypatch.setattr(registry_models.forecasting, "predict_demand", lambda *_: None)
-    monkeypatch.setattr(registry_models.forecasting, "train_demand_model", train)
-    registry_models.queries()[name](None, "")
-    assert asked == [(100, 0)]
+    rows, model, metrics = registry_models._model(spark, SF)[0], *registry_models._model(spark, SF)[2:]
+    m = metrics.first()
+    assert m.num_trees == 100 and len(model.tops) == 100 and m.feature_count == 34
+    frame = features.training_rows(features.engineer_features(rows, features.encode_labels(rows)))
+    held = frame.where("is_holdout").withColumn("label", F.col("units_sold").cast("double"))
+    got = np.array([(r.label, r.prediction) for r in trees.predict(model, held).select("label", "prediction").collect()])
+    off = got[:, 1] - got[:, 0]
+    want = (np.abs(off).mean(), np.sqrt((off**2).mean()), 1 - (off**2).sum() / ((got[:, 0] - got[:, 0].mean()) ** 2).sum())
+    assert (m.mae, m.rmse, m.r2) == pytest.approx(want, abs=1e-3) and m.holdout_rows == len(got)
+    deepest = model.subtrees.first()
+    assert len(deepest.feature) // 2 > 1000  # nodes of one tree: no depth limit
+
+
+def test_forecast_of_all_requests(spark, sales, trained):
+    codes, model, _ = trained
+    requests = sales.select("product_id", F.col("date").alias("target_date"), "price", "discount", "store_id", "region")
+    got = forecasting.predict_demand(requests, codes, model)
+    assert got.count() == forecasting.valid_requests(requests).count()
+    assert got.agg(F.min("predicted_units_sold")).first()[0] >= 0
