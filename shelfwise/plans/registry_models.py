@@ -72,7 +72,7 @@ def _request_features(spark: SparkSession, folder: str) -> DataFrame:
 def _model(spark: SparkSession, folder: str):
     sales = _sales(spark, folder)
     codes = features.encode_labels(sales)
-    rows = features.training_rows(features.engineer_features(sales, codes))
+    rows = features.training_rows(features.engineer_features(sales, codes), base=sales)
     model, metrics = forecasting.train_demand_model(rows)
     return sales, codes, model, metrics
 

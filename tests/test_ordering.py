@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators.features import REACH, SEQUENCE, rolling_units, sequence_features, unit_lags
-from shelfwise.operators.ordering import global_position, heavy_keys, row_windows
-from shelfwise.operators.quantiles import exact_quantile, exact_quantiles
+from shelfwise.operators.features import REACH, SEQUENCE, holdout_split, rolling_units, sequence_features, unit_lags
+from shelfwise.operators.ordering import global_position, row_windows
+from shelfwise.operators.quantiles import boundary, exact_quantile, exact_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -38,43 +38,82 @@ def test_equal_rows_get_distinct_positions(spark):
     assert sorted(positions) == list(range(1000))
 
 
-def test_heavy_keys(skewed):
-    assert heavy_keys(skewed, "product_id", share=0.5, floor=100) == ["P0"]
-    assert heavy_keys(skewed, "product_id") == []
+def plain_windows(rows):
+    """Lags and rolling figures of each product's rows, one by one."""
+    out, past = [], {}
+    for r in sorted(rows, key=lambda r: tuple((r[n] is not None, r[n]) for n in ("product_id", *SEQUENCE))):
+        seen = past.setdefault(r.product_id, [])
+        lag = lambda n: float(seen[-n]) if len(seen) >= n else None
+        week = seen[-7:]
+        out.append((
+            r.price, *[lag(n) for n in (1, 7, 14, 30)], *[round(float(np.mean(seen[-n:])), 6) if seen else None for n in (7, 14, 30)],
+            round(float(np.std(week, ddof=1)), 6) if len(week) > 1 else None, float(max(week)) if week else None, float(min(week)) if week else None,
+        ))
+        seen.append(r.units_sold)
+    return sorted(out)
 
 
-@pytest.mark.parametrize("block_rows", [REACH + 1, 64, 500])
-def test_split_windows_equal_plain_windows(skewed, block_rows):
-    def build(w):
-        return {**unit_lags(w), **rolling_units(w)}
+def built(w):
+    return {**unit_lags(w), **rolling_units(w)}
 
-    def rows(df):
-        out = df.withColumns({n: F.round(n, 6) for n, t in df.dtypes if t == "double"})
-        return sorted(map(repr, out.collect()))
 
-    plain = row_windows(skewed, "product_id", SEQUENCE, build, REACH)
-    split = row_windows(skewed, "product_id", SEQUENCE, build, REACH, heavy=["P0"], block_rows=block_rows)
-    assert split.columns == plain.columns
-    assert rows(split) == rows(plain)
+@pytest.mark.parametrize("block_rows", [REACH + 1, 64, 500, 1_000_000])
+@pytest.mark.parametrize("keys", ["one", "skewed", "missing", "many"])
+def test_windows_equal_plain_ones_for_any_keys_and_blocks(skewed, block_rows, keys):
+    own = {"one": F.lit("P"), "skewed": F.col("product_id"), "missing": F.nullif("product_id", F.lit("P0")), "many": F.concat(F.lit("P"), F.col("price") % 400)}
+    df = skewed.withColumn("product_id", own[keys])
+    df = df.dropDuplicates(["product_id", *SEQUENCE])
+    got = row_windows(df, "product_id", SEQUENCE, built, REACH, block_rows=block_rows)
+    assert got.columns[: len(df.columns)] == df.columns
+    new = [n for n in got.columns if n not in df.columns]
+    rows = sorted(tuple(r) for r in got.select("price", *[F.round(n, 6) for n in new]).collect())
+    assert rows == plain_windows(df.collect())
 
 
-def test_a_missing_key_is_split_like_any_other(skewed):
-    bare = skewed.withColumn("product_id", F.nullif("product_id", F.lit("P0")))
-    assert None in heavy_keys(bare, "product_id", share=0.5, floor=100)
-    plain = row_windows(bare, "product_id", SEQUENCE, unit_lags, REACH)
-    split = row_windows(bare, "product_id", SEQUENCE, unit_lags, REACH, heavy=[None], block_rows=64)
-    assert sorted(map(repr, split.collect())) == sorted(map(repr, plain.collect()))
+def test_one_plan_whatever_the_keys_hold(skewed):
+    def plan(df):
+        text = sequence_features(df, F.lit(1.0))._jdf.queryExecution().optimizedPlan().toString()
+        return [line.strip(" +-:").split(" ")[0] for line in text.splitlines()]
 
-
-def test_heavy_path_has_no_whole_product_window(skewed):
-    split = sequence_features(skewed, F.lit(1.0), heavy=["P0"], block_rows=64)
-    plan = split._jdf.queryExecution().executedPlan().toString()
-    assert "_block" in plan
+    assert plan(skewed.withColumn("product_id", F.lit("P"))) == plan(skewed.withColumn("product_id", F.col("price").cast("string")))
 
 
 def test_too_small_blocks_are_refused(skewed):
     with pytest.raises(ValueError):
-        row_windows(skewed, "product_id", SEQUENCE, unit_lags, REACH, heavy=["P0"], block_rows=REACH)
+        row_windows(skewed, "product_id", SEQUENCE, unit_lags, REACH, block_rows=REACH)
+
+
+@pytest.mark.parametrize("rank", [0, 1, 700, 1234])
+def test_boundary_is_the_row_of_that_rank(skewed, rank):
+    order = ["product_id", *SEQUENCE]
+    bare = skewed.withColumn("product_id", F.nullif("product_id", F.lit("P3")))
+    rows = sorted((tuple(r) for r in bare.select(*order).collect()), key=lambda r: tuple((v is not None, v) for v in r))
+    assert tuple(boundary(bare.select(*order), order, rank).values()) == rows[rank]
+    assert boundary(bare, order, len(rows)) is None and boundary(bare.limit(0), order, 0) is None
+
+
+@pytest.mark.parametrize("mode", ["positional", "chronological"])
+def test_holdout_has_no_sort(skewed, mode):
+    split = holdout_split(skewed, 0.3, mode)
+    n = skewed.count()
+    assert split.where("is_holdout").count() == n - int(n * 0.7)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan.split("InMemoryRelation")[0] and "Exchange" not in plan.split("InMemoryRelation")[0]
+    assert not holdout_split(skewed.limit(0), 0.3, mode).collect()
+
+
+def test_quantile_passes_shuffle_counts_of_digits_only(spark):
+    """Of a column of distinct values no shuffle carries the values: each task sends 65,536 counts at most."""
+    rng = np.random.default_rng(2)
+    values = [-0.0, 0.0, -1e-300, 1e300, -1e300, float("inf"), -float("inf"), 5e-324, *rng.normal(size=5000).tolist(), *(-np.exp(rng.normal(size=500) * 50)).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    for q in (0.0, 0.013, 0.5, 0.77, 1.0):
+        ordered = np.sort(values)
+        at = q * (len(values) - 1)
+        a, b = ordered[int(at)], ordered[-int(-at // 1)]
+        assert exact_quantile(df, "v", q).first()[0] == pytest.approx(a + (b - a) * (at - int(at)) if a != b else a, rel=1e-12)
+    big = spark.createDataFrame([(v,) for v in (-(1 << 62), 3, 1 << 62)], "v long")
+    assert [exact_quantile(big, "v", q).first()[0] for q in (0.0, 0.5, 1.0)] == [-float(1 << 62), 3.0, float(1 << 62)]
 
 
 @pytest.mark.parametrize("q", [0.0, 0.01, 0.5, 0.95, 0.99, 1.0])
