@@ -4,17 +4,20 @@ Pages of one host share a template. A page is read as a sequence of markup token
 tag together with the path of elements above it, and texts between them. Tokens with the same occurrence
 vector over the host's pages (so many times on this page, so many on that one) form an equivalence class; a
 vector is kept as its number of pages, its sum and a sum of hashes of (page, count), so it is gathered by a
-plain aggregation however many pages a host has. A class that is frequent and whose tokens come in one order
-on every page, round by round, is valid. Valid classes nest: of those whose tokens come once a page, the
-one of an article or main element is the place of the main text, and the texts between its tokens are the
-slots to extract, but for those inside elements that the page marks as something else (menus, adverts, forms
-and so on). Where a host's template has no such class, all slots of the page count.
+plain aggregation however many pages a host has. A class that is frequent and whose tokens come in one order,
+round by round, on ``MOSTLY`` of its pages is valid. Valid classes nest: of those whose tokens come once on as large a
+share, the one of an article or main element is the place of the main text, so that single pages of another build do not
+decide for their host. The texts between its tokens are the
+slots to extract, but for those inside elements below the place that the page marks as something else (menus, adverts, forms
+and so on); what stands around the place, and the place itself, may bear any mark. Where a host's template has no such
+class, all slots of the page count, also those of a form that holds the whole page.
 
 Words are always data here: a passage that many pages of a host share stays part of their texts. Hosts with
 fewer than ``LEAST_PAGES`` pages cannot show a template; they are deduced together.
 
 Rows: a missing html is an empty page, with an empty text; a missing or odd address belongs to the small
-hosts; broken markup is read as far as it goes; repeated rows keep a row each; extra columns are dropped.
+hosts; broken markup is read as far as it goes; repeated rows keep a row each and count once for the template;
+extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from shelfwise.llm.common import slices, stored
 
 LEAST_PAGES = 3
 FREQUENT = 0.2  # least share of a host's pages on which a template token stands
+MOSTLY = 0.8  # least share of those pages on which it must come as the template says
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
@@ -55,17 +59,25 @@ WALLS = frozenset(("article", "main", "section", "div", "td", "th", "li", "table
 OTHER_TAGS = frozenset(("head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu")) | RAW
 OTHER_MARKS = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo"
-    " cookie cookies disclaimer footer masthead menu modal nav navbar navigation newsletter notice popup promo promotion related"
+    " cookie cookies disclaimer footer masthead menu modal nav navbar navigation newsletter notice popup promo promotion"
     " search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+STATES = frozenset("has is js no with without".split())  # a name that begins so tells of a state, not what the element is
+RELATED = re.compile(r"related(?:[-_](?:articles?|content|items|links|news|pages|posts?|reading|stories|topics))?")
 MAIN_TAGS = ("article", "main")
 
 
+def _is_other(mark: str) -> bool:
+    """Whether a class, id or role says that its element is no part of the text."""
+    parts = re.split(r"[-_]+", mark)
+    return parts[0] not in STATES and (not OTHER_MARKS.isdisjoint(parts) or bool(RELATED.fullmatch(mark)))
+
+
 class Element:
     __slots__ = ("tag", "path", "other", "inside")
 
     def __init__(self, tag: str, path: str, other: bool, inside: bool) -> None:
-        self.tag, self.path, self.other, self.inside = tag, path, other, inside
+        self.tag, self.path, self.other, self.inside = tag, path, other, inside  # other: by its own tag or marks
 
 
 def _marks(rest: str) -> list[str]:
@@ -123,8 +135,8 @@ def read(page: str) -> Iterator[tuple[str, str, list[Element]]]:
             continue
         above = stack[-1]
         marks = _marks(rest)
-        parts = {p for m in marks for p in re.split(r"[-_]+", m)}
-        other = above.other or tag in OTHER_TAGS or bool(parts & OTHER_MARKS) or (tag == "header" and not above.inside)
+        named = tag not in ("html", "body") and any(map(_is_other, marks))
+        other = tag in OTHER_TAGS or named or (tag == "header" and not above.inside)
         inside = above.inside or tag in MAIN_TAGS or "main" in marks
         element = Element(tag, f"{above.path}>{'.'.join([tag, *marks])}", other, inside)
         stack.append(element)
@@ -144,15 +156,22 @@ def tokens(page: str) -> list[str]:
 def main_text(page: str, places: set[str]) -> str:
     """The texts inside the elements ``places`` (all, if there are none on the page), without marked others."""
 
-    def blocks(only: set[str]) -> list[str]:
-        done, block, depth = [], [], 0
+    def blocks(only: set[str], forms: bool = False) -> list[str]:
+        done, block = [], []
+        opened: list[tuple[bool, bool]] = []  # of each open element: whether it is a place, and whether it hides its texts
+        depth = hidden = 0
         for kind, value, stack in read(page):
             if kind == "+":
-                depth += value in only
+                top = stack[-1]
+                place = value in only
+                hides = top.other and not place and (depth > 0 or not only) and not (forms and top.tag == "form")
+                opened.append((place, hides))
+                depth, hidden = depth + place, hidden + hides
             elif kind == "-":
-                depth -= value in only
+                place, hides = opened.pop()
+                depth, hidden = depth - place, hidden - hides
             elif kind == "text":
-                if not stack[-1].other and (depth or not only):
+                if not hidden and (depth or not only):
                     block.append(entities.unescape(value))
             elif block:
                 done.append("".join(block))
@@ -160,7 +179,7 @@ def main_text(page: str, places: set[str]) -> str:
         return [" ".join(b.split()) for b in [*done, "".join(block)] if b.strip()]
 
     found = blocks(places) if places else []
-    return " ".join(found or blocks(set()))
+    return " ".join(found or blocks(set()) or blocks(set(), forms=True))
 
 
 def in_rounds(sequence: list[str], of: dict[str, int]) -> dict[int, bool]:
@@ -193,9 +212,8 @@ def _sequences(named: DataFrame) -> DataFrame:
             found = pa.array([tokens(h) for h in batch.column(2).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["host", "page", "tokens"])
 
-    return named.select("host", F.xxhash64("page_id", "url").alias("page"), "html").mapInArrow(
-        run, "host string, page long, tokens array<string>"
-    )
+    pages = named.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")
+    return pages.mapInArrow(run, "host string, page long, tokens array<string>").dropDuplicates(["host", "page"])
 
 
 def deduce(named: DataFrame, least: int = LEAST_PAGES, frequent: float = FREQUENT) -> DataFrame:
@@ -209,7 +227,8 @@ def deduce(named: DataFrame, least: int = LEAST_PAGES, frequent: float = FREQUEN
     sizes = found.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     each = found.select("site", "page", F.explode("tokens").alias("token")).groupBy("site", "page", "token").count()
     vectors = each.groupBy("site", "token").agg(
-        F.count(F.lit(1)).alias("support"), F.sum("count").alias("total"), F.max("count").alias("times"),
+        F.count(F.lit(1)).alias("support"), F.sum("count").alias("total"),
+        F.when(F.count_if(F.col("count") == 1) >= MOSTLY * F.count(F.lit(1)), 1).otherwise(F.max("count")).cast("long").alias("times"),
         F.sum(F.xxhash64("page", "count").cast("decimal(38,0)")).alias("mark"),
     )
     often = vectors.join(sizes, "site").where(F.col("support") >= F.greatest(F.lit(2), F.col("pages") * frequent))
@@ -218,17 +237,19 @@ def deduce(named: DataFrame, least: int = LEAST_PAGES, frequent: float = FREQUEN
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sites, numbers, valid = [], [], []
-            for site, sequence, members in zip(*(c.to_pylist() for c in batch.columns)):
+            sites, numbers, valid, pages = [], [], [], []
+            for site, sequence, n, members in zip(*(c.to_pylist() for c in batch.columns)):
                 for number, good in in_rounds(sequence, {m["token"]: m["class"] for m in members}).items():
-                    sites.append(site), numbers.append(number), valid.append(good)
+                    sites.append(site), numbers.append(number), valid.append(n if good else 0), pages.append(n)
             if sites:
-                yield pa.RecordBatch.from_arrays([pa.array(sites), pa.array(numbers, pa.int64()), pa.array(valid)], ["site", "class", "valid"])
+                columns = [pa.array(sites), *(pa.array(c, pa.int64()) for c in (numbers, valid, pages))]
+                yield pa.RecordBatch.from_arrays(columns, ["site", "class", "valid", "pages"])
 
     # pages alike in markup are checked once
-    kinds = found.select("site", "tokens").distinct()
-    checked = kinds.join(classes, "site").mapInArrow(check, "site string, class long, valid boolean")
-    valid = checked.groupBy("site", "class").agg(F.every("valid").alias("valid")).where("valid")
+    kinds = found.groupBy("site", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    checked = kinds.join(classes, "site").select("site", "tokens", "n", "classes").mapInArrow(check, "site string, class long, valid long, pages long")
+    valid = checked.groupBy("site", "class").agg(F.sum("valid").alias("good"), F.sum("pages").alias("all"))
+    valid = valid.where(F.col("good") >= MOSTLY * F.col("all")).select("site", "class")
     template = numbered.join(valid, ["site", "class"])
     return template.groupBy("site").agg(F.collect_list(F.struct("token", "class", "times")).alias("template"))
 

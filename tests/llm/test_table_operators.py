@@ -159,6 +159,35 @@ def plain_fingerprint(text, shingle=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<body class="has-sidebar">{0}</body>', '<body><form id="aspnetForm">{0}</form></body>', '<body class="related">{0}</body>',
+        '<body><div class="no-comments widget">{0}</div></body>',
+    ],
+)
+def test_marks_around_the_place_do_not_silence_it(spark, body):
+    inner = '<nav>menu</nav><article class="promo"><p>text {0}</p><section class="related-work">work {0}</section><div class="related-posts">More</div><aside>note</aside></article>'
+    rows = [(i, f"http://h.example/{i}", f"<html>{body.format(inner.format(i))}</html>") for i in range(8)]
+    got = templates.op3_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == {i: f"text {i} work {i}" for i in range(8)}
+
+
+def test_a_form_around_a_page_without_article(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><form><div>text {i}</div><nav>menu</nav></form></body>") for i in range(5)]
+    got = templates.op3_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == {i: f"text {i}" for i in range(5)}
+
+
+@pytest.mark.parametrize("extra", ["two articles", "a repeated row"])
+def test_one_page_does_not_decide_for_its_host(spark, extra):
+    page = "<html><body><article><p>text {0}</p></article><div><p>Teaser box</p></div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(20)]
+    rows += [(20, "http://h.example/20", page.format(20).replace("<div>", "<article>second</article><div>"))] if extra == "two articles" else [rows[3]]
+    got = templates.op3_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect() if r.page_id < 20} == {i: f"text {i}" for i in range(20)}
+
+
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_simhash(table, request):
     df = request.getfixturevalue(table)
