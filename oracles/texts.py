@@ -75,13 +75,16 @@ Q["build_context"] = f"""{SEARCH}
 SELECT item_id AS query_id, COALESCE(context, 'No relevant documents found.') AS context
 FROM benchmark LEFT JOIN (SELECT query_id, string_agg(block, {SEP} ORDER BY rank) AS context FROM found GROUP BY 1) f
   ON item_id = query_id"""
-Q["retrieve_answers"] = f"""{SEARCH}
-SELECT item_id AS query_id, b.text AS query, COALESCE(answer, 'No relevant content found.') AS answer, full_context,
-       COALESCE(sources, '') AS sources, CAST(COALESCE(n, 0) AS INT) AS chunk_count
-FROM benchmark b LEFT JOIN (
-  SELECT query_id, arg_min(text, rank) AS answer, string_agg(block, {SEP} ORDER BY rank) AS full_context,
-         array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, COUNT(*) AS n FROM found GROUP BY 1) f
-  ON item_id = query_id"""
+Q["tfidf_blocks"] = f"""{INDEX}
+SELECT regexp_replace(chunk_id, '[0-9]{{1,2}}$', '') AS block, term, ROUND(MAX(weight), 6) AS top FROM weights GROUP BY 1, 2"""
+Q["retrieve_answers"] = f"""{SEARCH},
+every AS (SELECT item_id, b.text AS query, c.chunk_id, c.source, c.text, COALESCE(score, 0) AS score
+  FROM benchmark b CROSS JOIN chunks c LEFT JOIN scores s ON s.query_id = item_id AND s.chunk_id = c.chunk_id),
+best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank,
+  '[Source: ' || source || ' | Relevance: ' || printf('%.2f', score) || ']' || chr(10) || text AS block FROM every)
+SELECT item_id AS query_id, query, arg_min(text, rank) AS answer, string_agg(block, {SEP} ORDER BY rank) AS full_context,
+       array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, CAST(COUNT(*) AS INT) AS chunk_count
+FROM best WHERE rank <= 3 GROUP BY 1, 2"""
 
 
 def hits(text: str, keywords) -> str:

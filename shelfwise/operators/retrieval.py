@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text as t
-from shelfwise.session import cut_lineage
+from shelfwise.session import written
 
 MAX_TERMS = 8000
-BROADCAST_TERMS = 50_000  # a vocabulary up to this size goes to every task
-BROADCAST_QUERY_TERMS = 500_000  # so do the terms of all queries together up to this number
+SLACK = 1e-8  # scores are rounded to nine places and summed in any order
 
 NO_DOCUMENTS = "No policy documents are available."
 NO_CONTENT = "No relevant content found."
@@ -39,28 +38,33 @@ def _chunks(docs: DataFrame, doc: str, windows: Column, mark: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """``chunks(chunk_id, source, text)``, ``vocabulary(term, count, df, idf)``, ``weights(chunk_id, term, weight)``."""
+    """The tables of an index.
+
+    ``chunks(chunk_id, source, text)``, ``vocabulary(term, count, df, idf)``, ``weights(chunk_id, term, weight, block)``
+    and ``blocks(block, term, top)``, the largest weight of a term in a block of neighbouring chunks.
+    """
 
     chunks: DataFrame
     vocabulary: DataFrame
     weights: DataFrame
+    blocks: DataFrame
     stop_words: tuple[str, ...]
     bigrams: bool
 
     def save(self, folder: str) -> None:
         self.chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
         self.vocabulary.write.mode("overwrite").parquet(f"{folder}/vocabulary")
-        # ordered by term, so that a search for a few terms skips most row groups
-        self.weights.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(
-            f"{folder}/term_weights"
-        )
+        # ordered by term and block, so that a search for a few terms skips most row groups
+        for name, table in (("term_weights", self.weights), ("term_blocks", self.blocks)):
+            placed = table.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+            placed.write.mode("overwrite").parquet(f"{folder}/{name}")
         spark = self.chunks.sparkSession  # queries must be cut into the same terms as the chunks were
         settings = spark.createDataFrame([(list(self.stop_words), self.bigrams)], "stop_words array<string>, bigrams boolean")
         settings.coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Index:
-        tables = [spark.read.parquet(f"{folder}/{n}") for n in ("chunks", "vocabulary", "term_weights")]
+        tables = [spark.read.parquet(f"{folder}/{n}") for n in ("chunks", "vocabulary", "term_weights", "term_blocks")]
         settings = spark.read.parquet(f"{folder}/settings").first()
         return cls(*tables, tuple(settings["stop_words"]), settings["bigrams"])
 
@@ -115,52 +119,101 @@ def vocabulary(
     return top.withColumn("idf", F.log((documents + 1) / (F.col("df") + 1)) + 1)
 
 
-def unit_weights(counts: DataFrame, vocab: DataFrame, key: str, small_vocabulary: bool) -> DataFrame:
+def unit_weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """Damped term frequency times idf, scaled to length 1 per key.
 
     The window per key holds one row per distinct known term, so it is bounded by the vocabulary.
     """
-    known = vocab.select("term", "idf")
-    rows = counts.join(F.broadcast(known) if small_vocabulary else known, "term")
+    rows = counts.join(vocab.select("term", "idf"), "term")
     raw = rows.select(key, "term", ((F.log("tf") + 1) * F.col("idf")).alias("raw"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("raw") / length).alias("weight"))
 
 
+def block_of(chunk_id: Column) -> Column:
+    """The block of a chunk: its id without the last two digits, so up to 100 neighbouring chunks of a document.
+
+    An id that ends in no digit is a block of its own. Any blocks give the same hits; these need no pass over the chunks.
+    """
+    return F.regexp_replace(chunk_id.cast("string"), "[0-9]{1,2}$", "")
+
+
 def tfidf_index(
     chunks: DataFrame, max_terms: int = MAX_TERMS, stop_words: Sequence[str] | None = None, bigrams: bool = True
 ) -> Index:
-    """Builds the index: one pass for the vocabulary, which is written, and one for the weights.
+    """Builds the index: one pass for the vocabulary and one for the weights, both written.
 
-    The weights are left as a plan. Texts are tokenised again for them, which costs less than writing
-    and shuffling all term counts of all chunks.
+    Texts are tokenised again for the weights, which costs less than writing and shuffling all term
+    counts of all chunks; searches then read the written weights and tokenise no chunk.
     """
     words = stop_word_list(stop_words)
     total = chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
-    vocab = cut_lineage(vocabulary(chunks, total, words, bigrams, max_terms))
+    vocab = written(vocabulary(chunks, total, words, bigrams, max_terms))
     counts = term_counts(chunks, "chunk_id", words, bigrams)
-    weights = unit_weights(counts, vocab, "chunk_id", max_terms <= BROADCAST_TERMS)
-    return Index(chunks.select("chunk_id", "source", "text"), vocab, weights, words, bigrams)
+    weights = written(unit_weights(counts, vocab, "chunk_id").withColumn("block", block_of(F.col("chunk_id"))))
+    blocks = written(weights.groupBy("block", "term").agg(F.max("weight").alias("top")))
+    return Index(chunks.select("chunk_id", "source", "text"), vocab, weights, blocks, words, bigrams)
+
+
+def query_terms(queries: DataFrame, index: Index) -> DataFrame:
+    """``(query_id, term, query_weight)``, written as several joins read it."""
+    counts = term_counts(queries, "query_id", index.stop_words, index.bigrams)
+    return written(unit_weights(counts, index.vocabulary, "query_id").withColumnRenamed("weight", "query_weight"))
+
+
+def scored(pairs: DataFrame, asked: DataFrame, index: Index) -> DataFrame:
+    """``(query_id, chunk_id, score)`` of all chunks in the given pairs of query and block."""
+    wanted = pairs.select("query_id", "block").join(asked, "query_id")
+    product = F.col("weight") * F.col("query_weight")
+    met = index.weights.join(wanted, ["term", "block"])
+    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(product), 9).alias("score"))
+
+
+def _best(rows: DataFrame, by: str, tie: str, k: int) -> DataFrame:
+    best_first = Window.partitionBy("query_id").orderBy(F.desc(by), tie)
+    return rows.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+
+
+def candidate_blocks(asked: DataFrame, index: Index, k: int) -> DataFrame:
+    """``(query_id, block)``: every block that may hold one of a query's ``k`` best chunks, and few others.
+
+    No chunk scores more than its block's largest weights would together. A query's ``k`` blocks with the highest such
+    bounds are scored in full; as each holds a chunk with a positive score, their ``k``-th best score is one
+    that the final ``k`` reach, too, and a block whose bound falls short of it can hold none of them.
+    """
+    limit = F.sum(F.col("top") * F.col("query_weight")).alias("bound")
+    bounds = written(index.blocks.join(asked, "term").groupBy("query_id", "block").agg(limit))
+    tried = scored(_best(bounds, "bound", "block", k), asked, index)
+    reached = _best(tried, "score", "chunk_id", k).where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    within = F.col("bound") >= F.coalesce("reached", F.lit(0.0)) - SLACK
+    return bounds.join(reached, "query_id", "left").where(within).select("query_id", "block")
 
 
 def search_topk(queries: DataFrame, index: Index, k: int = 3) -> DataFrame:
     """``(query_id, rank, chunk_id, score)``: the ``k`` chunks nearest to each query, positive scores only.
 
-    Queries and chunks meet on shared terms alone. The sums combine map-side, and the rank filter lets
-    Spark cut every partition to ``k`` rows per query before the final ranking.
+    Queries meet blocks of chunks on shared terms, and only blocks that can hold a hit are scored chunk by chunk. The sums
+    combine map-side, and the rank filter lets Spark cut every partition to ``k`` rows per query before the final ranking.
+    A term in a third of all chunks is spread over its blocks in the join with the weights.
     """
-    small = index.vocabulary.count() <= BROADCAST_TERMS
-    counts = term_counts(queries, "query_id", index.stop_words, index.bigrams)
-    asked = unit_weights(counts, index.vocabulary, "query_id", small).withColumnRenamed("weight", "query_weight")
-    asked = cut_lineage(asked)
-    few = asked.count() <= BROADCAST_QUERY_TERMS  # else the index is shuffled to meet the queries
-    scores = (
-        index.weights.join(F.broadcast(asked) if few else asked, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 9).alias("score"))
-    )
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    asked = query_terms(queries, index)
+    return _best(scored(candidate_blocks(asked, index, k), asked, index), "score", "chunk_id", k)
+
+
+def filled(queries: DataFrame, found: DataFrame, index: Index, k: int) -> DataFrame:
+    """Adds chunks of score 0 in the order of their ids to queries with fewer than ``k`` hits.
+
+    Of the first ``k`` chunks by id at least as many are no hits of a query as it lacks, so only these are looked at.
+    """
+    first = [row[0] for row in index.chunks.select("chunk_id").orderBy("chunk_id").limit(k).collect()]  # k ids
+    none = F.array().cast("array<string>")
+    hits = found.groupBy("query_id").agg(F.collect_list("chunk_id").alias("had"))  # at most k
+    each = queries.select("query_id").distinct().join(hits, "query_id", "left").withColumn("had", F.coalesce("had", none))
+    spare = F.array_except(F.array([F.lit(i) for i in first]).cast("array<string>"), "had")
+    listed = each.select("query_id", F.size("had").alias("hits"), F.posexplode(spare).alias("n", "chunk_id"))
+    rank = F.col("hits") + F.col("n") + 1
+    added = listed.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "chunk_id", F.lit(0.0).alias("score"), "rank")
+    return found.select("query_id", "chunk_id", "score", "rank").unionByName(added)
 
 
 def search(queries: DataFrame, index: Index, k: int = 3) -> DataFrame:
@@ -193,8 +246,12 @@ def _joined_context() -> Column:
 
 
 def retrieve_answers(queries: DataFrame, index: Index, k: int = 3) -> DataFrame:
-    """Per query the best chunk as the answer, its context, the distinct sources and the chunk list."""
-    rows = _with_hits(queries.withColumnRenamed("text", "query"), search(queries, index, k))
+    """Per query the best chunk as the answer, its context, the distinct sources and the chunk list.
+
+    Every query gets ``k`` chunks as long as there are that many, those without a shared term with score 0.
+    """
+    found = filled(queries, written(search_topk(queries, index, k)), index, k).join(index.chunks, "chunk_id")
+    rows = _with_hits(queries.withColumnRenamed("text", "query"), found)
     store_is_empty = index.chunks.limit(1).count() == 0
     nothing = NO_DOCUMENTS if store_is_empty else NO_CONTENT
     chunk = F.transform(F.col("hits"), lambda h: F.struct(h["text"].alias("text"), h["source"].alias("source"), h["score"].alias("score")))

@@ -1,3 +1,5 @@
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,12 +72,63 @@ def test_a_chunk_finds_itself(spark, index):
     assert hit.chunk_id == chunk.chunk_id and hit.score == pytest.approx(1.0)
 
 
-def test_large_query_sets_shuffle_instead(spark, index, monkeypatch):
+def test_hits_do_not_depend_on_the_join(spark, index):
     asked = ask(spark, "discount promotion", "inventory stock")
     small = sorted(map(tuple, retrieval.search_topk(asked, index).collect()))
-    monkeypatch.setattr(retrieval, "BROADCAST_QUERY_TERMS", 0)
-    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
-    assert sorted(map(tuple, retrieval.search_topk(asked, index).collect())) == small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, retrieval.search_topk(asked, index).collect())) == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def all_scores(asked, index):
+    met = index.weights.join(asked, "term").groupBy("query_id", "chunk_id")
+    return met.agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 9).alias("score"))
+
+
+def best_of(rows, k):
+    best = {}
+    for row in sorted(rows, key=lambda r: (r.query_id, -r.score, r.chunk_id)):
+        best.setdefault(row.query_id, []).append((row.chunk_id, row.score))
+    return {q: hits[:k] for q, hits in best.items()}
+
+
+@pytest.fixture(scope="module")
+def topics(spark):
+    """40 documents of one topic each; all share the words ``store`` and ``customer``, and some texts repeat."""
+    docs = []
+    for d in range(40):
+        sentences = [f"The store customer topic{d % 20} item{d}x{i % 7} part{(d * 7 + i) % 11}" for i in range(60)]
+        docs.append((d, f"s{d % 3}", ". ".join(sentences)))
+    return retrieval.tfidf_index(retrieval.chunk_sentences(spark.createDataFrame(docs, "doc_id int, source string, text string")))
+
+
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_blocks_that_cannot_hold_a_hit_are_skipped(spark, topics, k):
+    texts = [f"customer store topic{i} item{i}x3" for i in range(0, 20, 4)] + ["store customer", "part3 part4 part5", "item39x1 store"]
+    asked = retrieval.query_terms(ask(spark, *texts), topics)
+    every = all_scores(asked, topics).collect()
+    tried = retrieval.scored(retrieval.candidate_blocks(asked, topics, k), asked, topics).collect()
+    assert len(tried) < 0.7 * len(every)
+    found = retrieval.search_topk(ask(spark, *texts), topics, k).collect()
+    assert best_of(found, k) == best_of(every, k)
+
+
+def test_any_blocks_give_the_same_hits(spark, topics):
+    asked = ask(spark, "customer topic4 part3", "store")
+    want = best_of(retrieval.search_topk(asked, topics, 5).collect(), 5)
+    for block in (F.lit("one"), F.col("chunk_id"), F.pmod(F.xxhash64("chunk_id"), F.lit(5)).cast("string")):
+        weights = topics.weights.withColumn("block", block)
+        blocks = weights.groupBy("block", "term").agg(F.max("weight").alias("top"))
+        other = dataclasses.replace(topics, weights=weights, blocks=blocks)
+        assert best_of(retrieval.search_topk(asked, other, 5).collect(), 5) == want
+
+
+def test_blocks_hold_neighbouring_chunks(spark):
+    ids = ["7_chunk_3", "7_chunk_42", "7_chunk_142", "17_chunk_3", "plain", "5", ""]
+    got = spark.createDataFrame([(i,) for i in ids], "id string").select(retrieval.block_of(F.col("id"))).collect()
+    assert [x[0] for x in got] == ["7_chunk_", "7_chunk_", "7_chunk_1", "17_chunk_", "plain", "", ""]
 
 
 def test_answers_and_context(spark, index):
@@ -83,7 +136,13 @@ def test_answers_and_context(spark, index):
     got = {a.query_id: a for a in retrieval.retrieve_answers(asked, index).collect()}
     assert "discount" in got[0].answer.lower() and got[0].sources and got[0].chunks
     assert got[0].full_context.startswith("[Source: discounts.txt | Relevance: ")
-    assert (got[1].answer, got[1].sources, got[1].chunks) == (retrieval.NO_CONTENT, [], [])
+    first = [c.chunk_id for c in index.chunks.orderBy("chunk_id").limit(3).collect()]
+    texts = {c.chunk_id: c.text for c in index.chunks.collect()}
+    assert [(c.text, c.score) for c in got[1].chunks] == [(texts[i], 0.0) for i in first] and got[1].answer == texts[first[0]]
+    assert all(len(a.chunks) == 3 for a in got.values()) and "Relevance: 0.00" in got[1].full_context
+    more = retrieval.retrieve_answers(asked, index, 100).collect()
+    assert all(len(a.chunks) == len({(c.text, c.source) for c in a.chunks}) == len(texts) for a in more)
+    assert retrieval.retrieve_answers(asked, index, 0).first().answer == retrieval.NO_CONTENT
     context = {c.query_id: c.context for c in retrieval.build_context(asked, retrieval.search(asked, index, 2)).collect()}
     assert len(context[0]) > 10 and context[1] == retrieval.NO_CONTEXT
 
