@@ -7,25 +7,23 @@ again replaces its own partials.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.operators.alerts import alert_discount, alert_revenue_drop, alert_zero_streak  # noqa: F401  alert_discount needs no state
+from shelfwise.operators.alerts import alert_discount, alert_revenue_drop  # noqa: F401  alert_discount needs no state
 from shelfwise.streaming.runs import read_or_empty, replace_batch, run_each_batch
 
 DAILY_SCHEMA = "date date, revenue decimal(38,2), records long, batch_id long"
-PRODUCT_DAY_SCHEMA = "product_id string, date date, units long, batch_id long"
+PRODUCT_DAY_SCHEMA = "product_id string, date date, units long, sales_month string, batch_id long"
 DROP_SCHEMA = "date date, revenue double, mean_before double, batch_id long"
-STREAK_SCHEMA = "product_id string, first_day date, last_day date, days long, batch_id long"
-
-
-def _add_partials(batch: DataFrame, batch_id: int, path: str, keys: list[str], **sums: Column) -> None:
-    partial = batch.groupBy(*keys, "date").agg(*[column.alias(name) for name, column in sums.items()])
-    replace_batch(partial.withColumn("batch_id", F.lit(batch_id).cast("long")), path, "batch_id")
+RUN_SCHEMA = (
+    "product_id string, first_day date, last_day date, days long, from_start boolean, to_end boolean, sales_month string"
+)
 
 
 def _add_revenue(batch: DataFrame, batch_id: int, path: str) -> None:
-    _add_partials(batch, batch_id, path, [], revenue=F.sum("revenue").cast("decimal(38,2)"), records=F.count(F.lit(1)))
+    partial = batch.groupBy("date").agg(F.sum("revenue").cast("decimal(38,2)").alias("revenue"), F.count(F.lit(1)).alias("records"))
+    replace_batch(partial.withColumn("batch_id", F.lit(batch_id).cast("long")), path, "batch_id")
 
 
 def daily_totals(spark: SparkSession, path: str) -> DataFrame:
@@ -55,25 +53,72 @@ def stream_revenue_drop(stream: DataFrame, folder: str, checkpoint: str, days: i
     return read_or_empty(spark, alert_path, DROP_SCHEMA).join(F.broadcast(newest), "batch_id").drop("batch_id")  # one row
 
 
+def month_runs(daily: DataFrame) -> DataFrame:
+    """The runs of days without a unit sold inside each product's month, of ``(product_id, sales_month, date, units)``.
+
+    ``from_start`` and ``to_end`` tell whether a run begins with the month's first sales day and ends with its last. A month
+    without such a day gives one row of no days, which keeps the runs of the months beside it apart.
+    """
+    month = Window.partitionBy("product_id", "sales_month")
+    in_order = month.orderBy("date")
+    is_zero = F.coalesce(F.col("units") == 0, F.lit(False))
+    days = daily.withColumn("is_zero", is_zero).withColumns(
+        {
+            "nth": F.row_number().over(in_order),
+            "of": F.count(F.lit(1)).over(month),
+            "busy": F.sum(F.when(F.col("is_zero"), 0).otherwise(1)).over(in_order),  # constant along a run
+            "any": F.max("is_zero").over(month),
+        }
+    )
+    runs = (
+        days.where("is_zero or (not any and nth = 1)")
+        .groupBy("product_id", "sales_month", "busy", "is_zero")
+        .agg(
+            F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count(F.lit(1)).alias("rows"),
+            F.min("nth").alias("first_nth"), F.max("nth").alias("last_nth"), F.first("of").alias("of"),
+        )
+    )
+    zero = F.col("is_zero")
+    return runs.select(
+        "product_id", "first_day", "last_day", F.when(zero, F.col("rows")).otherwise(0).cast("long").alias("days"),
+        (zero & (F.col("first_nth") == 1)).alias("from_start"), (zero & (F.col("last_nth") == F.col("of"))).alias("to_end"), "sales_month",
+    )
+
+
+def joined_runs(runs: DataFrame, days: int) -> DataFrame:
+    """Streaks of at least ``days`` days from the runs of all months: a run that reaches its month's end goes on in the next
+    month with sales if one starts there. A product's window holds a few rows a month.
+    """
+    in_order = Window.partitionBy("product_id").orderBy("sales_month", "first_day")
+    goes_on = F.col("from_start") & F.coalesce(F.lag("to_end").over(in_order), F.lit(False))
+    numbered = runs.withColumn("starts", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("starts").over(in_order))
+    return (
+        numbered.groupBy("product_id", "run")
+        .agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.sum("days").alias("days"))
+        .where((F.col("days") >= days) & (F.col("days") > 0))
+        .drop("run")
+    )
+
+
 def stream_zero_streak(stream: DataFrame, folder: str, checkpoint: str, days: int = 3) -> DataFrame:
     """Streaks of at least ``days`` sales days without a unit sold.
 
-    A batch judges the products it has rows of, from all their days so far; what counts for a product is
-    the verdict of the last batch that had rows of it.
+    A batch reads the days of the months it has rows of and replaces the runs of these months, however late its rows are;
+    the streaks come from the runs of all months.
     """
     spark = stream.sparkSession
-    day_path, streak_path = f"{folder}/product_days", f"{folder}/streaks"
+    day_path, run_path = f"{folder}/product_days", f"{folder}/runs"
+    month = F.coalesce(F.date_format("date", "yyyy-MM"), F.lit(""))  # rows without a date come first, as in a sort
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _add_partials(batch, batch_id, day_path, ["product_id"], units=F.sum("units_sold").cast("long"))
+        partial = batch.groupBy("product_id", "date").agg(F.sum("units_sold").cast("long").alias("units"))
+        mine = partial.withColumn("sales_month", F.concat(F.lit("m"), month)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        replace_batch(mine, day_path, "sales_month", "batch_id")
         partials = read_or_empty(spark, day_path, PRODUCT_DAY_SCHEMA)
-        touched = partials.where(F.col("batch_id") == batch_id).select(F.col("product_id").alias("touched")).distinct()
-        mine = partials.join(touched, F.col("product_id").eqNullSafe(F.col("touched")), "left_semi")
-        found = alert_zero_streak(mine.groupBy("product_id", "date").agg(F.sum("units").alias("units")), days)
-        replace_batch(found.withColumn("batch_id", F.lit(batch_id).cast("long")), streak_path, "batch_id")
+        touched = partials.where(F.col("batch_id") == batch_id).select("sales_month").distinct()
+        months = [row[0] for row in touched.collect()]  # at most one a month of history
+        sums = partials.where(F.col("sales_month").isin(months)).groupBy("product_id", "sales_month", "date")
+        replace_batch(month_runs(sums.agg(F.sum("units").alias("units"))), run_path, "sales_month")
 
     run_each_batch(stream, handle, checkpoint)
-    last = read_or_empty(spark, day_path, PRODUCT_DAY_SCHEMA).groupBy(F.col("product_id").alias("of")).agg(F.max("batch_id").alias("last"))
-    verdicts = read_or_empty(spark, streak_path, STREAK_SCHEMA)
-    valid = F.col("product_id").eqNullSafe(F.col("of")) & (F.col("batch_id") == F.col("last"))
-    return verdicts.join(last, valid, "left_semi").drop("batch_id")
+    return joined_runs(read_or_empty(spark, run_path, RUN_SCHEMA), days)

@@ -58,6 +58,33 @@ def test_zero_streak_across_deliveries(spark, tmp_path):
     ]
 
 
+def test_streaks_over_month_ends_equal_the_batch(spark, tmp_path):
+    rng = random.Random(5)
+    days = [(p, m, d) for p in "PQRST" for m in (1, 2, 3, 5, 6) for d in range(1, 29) if rng.random() < (0.9 if p != "T" else 0.15)]
+    rows = [(p, f"2024-{m:02d}-{d:02d}", rng.choice([0, 0, 0, 5]) if p < "S" else 0 if m != 3 else 1, 1.0) for p, m, d in days]
+    rows += [("P", None, 0, 1.0), ("Q", None, 3, 1.0), (None, "2024-01-31", 0, 1.0), (None, "2024-02-01", 0, 1.0), ("P", "2024-01-30", None, 1.0)]
+    rng.shuffle(rows)
+    stream = _stream(spark, tmp_path, [rows[i::3] for i in range(3)])
+    still = spark.createDataFrame(rows, SALES).withColumn("date", F.to_date("date"))
+    for n in (1, 3):
+        got = alerts.stream_zero_streak(stream, str(tmp_path / f"w{n}"), str(tmp_path / f"cp{n}"), n)
+        want = batch.alert_zero_streak(batch.daily_units(still), n)
+        columns = ["product_id", "first_day", "last_day", "days"]
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert any(r.first_day.month < r.last_day.month for r in got.where("days > 5").collect())
+
+
+def test_a_batch_reads_the_days_of_its_months_only(spark, tmp_path):
+    work, checkpoint = str(tmp_path / "w"), str(tmp_path / "cp")
+    january, march = _days([0, 0, 0, 1]), [("P", f"2024-03-{d:02d}", 0, 0.0) for d in range(1, 6)]
+    alerts.stream_zero_streak(_stream(spark, tmp_path, [january]), work, checkpoint)
+    for file in (tmp_path / "w" / "product_days" / "sales_month=m2024-01").rglob("*.parquet"):
+        file.write_bytes(b"no longer a table")
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    got = alerts.stream_zero_streak(_stream(spark, tmp_path, [march]), work, checkpoint).collect()
+    assert sorted((str(r.first_day), r.days) for r in got) == [("2024-01-01", 3), ("2024-03-01", 5)]
+
+
 def test_batch_zero_streak(spark):
     rows = spark.createDataFrame(_days([5, 0, 0, 0, 1, 0, 0]) + _days([0, 0, 0], product="Q"), SALES).withColumn("date", F.to_date("date"))
     got = batch.alert_zero_streak(batch.daily_units(rows), days=3).collect()
