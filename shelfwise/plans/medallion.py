@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfwise.operators import cleaning, curation
 from shelfwise.plans import analytics as a
 from shelfwise.schema import CATEGORIES, REGIONS
-from shelfwise.sources import readers, writers
+from shelfwise.sources import readers, store, writers
 
 STORED_RESULTS = {
     "category_revenue": a.category_revenue_short,
@@ -54,5 +54,5 @@ def ingest_upload(
     original = writers.write_counted(raw, f"{folder}/raw")
     landed = spark.read.parquet(f"{folder}/raw")
     cleaned = cleaning.clean_sales_impute(landed, categories, regions)
-    kept = writers.replace_sales_store(cleaned, f"{folder}/sales")
+    kept = store.replace_sales_store(cleaned, f"{folder}/sales")
     return {"original_row_count": original, "cleaned_row_count": kept}

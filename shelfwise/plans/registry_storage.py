@@ -12,7 +12,17 @@ from shelfwise.plans import medallion
 from shelfwise.plans.registry_sales import STAR_LABELS, Query, as_doubles, staged
 from shelfwise.plans.registry_texts import asked, index
 from shelfwise.session import shared_folder, written
-from shelfwise.sources import readers, star, writers
+from shelfwise.sources import readers, star, store, writers
+
+
+#: one lookup per access path of the store
+LOOKUPS = {
+    "product_date": "product_id = 'PROD_77' and date between date'1995-01-01' and date'1995-12-31'",
+    "store": "store_id = 'STORE_5'",
+    "category": "category = 'PROMO'",
+    "region": "region = 'ASIA'",
+    "date": "date = date'1995-06-15'",
+}
 
 
 def _place(spark: SparkSession) -> str:
@@ -38,7 +48,7 @@ def _csv_inferred(spark: SparkSession, folder: str) -> DataFrame:
 def _upload(spark: SparkSession, folder: str) -> DataFrame:
     place = _place(spark)
     medallion.ingest_upload(spark, _delivered(spark, folder), place, **STAR_LABELS)
-    return as_doubles(spark.read.parquet(f"{place}/sales"), 6)
+    return as_doubles(store.read_sales_store(spark, f"{place}/sales"), 6)
 
 
 def _staged(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,6 +63,16 @@ def _curated(spark: SparkSession, folder: str) -> DataFrame:
     return as_doubles(spark.read.parquet(path), 6)
 
 
+def _lookup(condition: str) -> Query:
+    """Stored sales of one value of a lookup column."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = _place(spark)
+        store.replace_sales_store(star.sales(spark, folder), path)
+        return as_doubles(store.read_sales_store(spark, path).where(condition))
+
+    return run
+
+
 def _medallion(result: str) -> Query:
     return lambda spark, folder: medallion.run(
         star.messy_sales(spark, folder), _place(spark), **STAR_LABELS, csv_copy=False
@@ -74,6 +94,7 @@ def queries() -> dict[str, Query]:
         "write_staged": _staged,
         "write_curated_partitioned": _curated,
         **{f"medallion_{name}": _medallion(name) for name in medallion.STORED_RESULTS},
+        **{f"lookup_{name}": _lookup(condition) for name, condition in LOOKUPS.items()},
         "medallion_status": _medallion("status"),
         "save_load_index": _index,
     }

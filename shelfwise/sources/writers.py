@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-LOOKUP_ORDER = ("product_id", "date")
+from shelfwise.sources.store import LOOKUP_ORDER
+
 PARTITIONS = ("sale_year", "sale_month")
 
 
@@ -56,13 +57,6 @@ def write_analytics(results: Mapping[str, DataFrame], folder: str, format: str =
         df.write.mode("overwrite").format(format).save(f"{folder}/{name}")
 
 
-def replace_sales_store(df: DataFrame, path: str, format: str = "parquet") -> int:
-    """Replaces the stored sales rows and returns their number; without rows nothing is touched."""
-    if df.isEmpty():
-        return 0
-    return write_counted(df.sortWithinPartitions(*LOOKUP_ORDER), path, format)
-
-
 def write_counted(df: DataFrame, path: str, format: str = "parquet") -> int:
     """Writes and returns the number of rows, counted while they are written."""
     written = Observation()

@@ -8,7 +8,7 @@ from shelfwise.operators.cleaning import stage_sales
 from shelfwise.plans import analytics, medallion, tools
 from shelfwise.plans.registry_sales import STAR_LABELS
 from shelfwise.schema import RAW_SCHEMA
-from shelfwise.sources import readers, star, writers
+from shelfwise.sources import readers, star, store, writers
 from tests.data import SAMPLE
 
 SF = "/root/testdata/sf0.001"
@@ -37,7 +37,7 @@ def test_fixed_schema_reader(spark, tmp_path):
 def test_upload(spark, delivered, tmp_path):
     out = str(tmp_path / "out")
     assert medallion.ingest_upload(spark, delivered, out) == {"original_row_count": 5, "cleaned_row_count": 5}
-    assert spark.read.parquet(f"{out}/sales").count() == 5
+    assert store.read_sales_store(spark, f"{out}/sales").count() == 5
 
 
 def test_upload_rejects(spark, tmp_path):
@@ -52,9 +52,55 @@ def test_upload_rejects(spark, tmp_path):
 def test_empty_store_is_left_alone(spark, tmp_path):
     df = spark.createDataFrame(SAMPLE, RAW_SCHEMA)
     path = str(tmp_path / "sales")
-    assert writers.replace_sales_store(df, path) == 5
-    assert writers.replace_sales_store(df.where("price < 0"), path) == 0
-    assert spark.read.parquet(path).count() == 5
+    assert store.replace_sales_store(df, path) == 5
+    assert store.replace_sales_store(df.where("price < 0"), path) == 0
+    assert store.read_sales_store(spark, path).count() == 5
+
+
+def test_store_survives_a_write_that_fails_midway(spark, tmp_path):
+    df = spark.createDataFrame(SAMPLE, RAW_SCHEMA).withColumn("date", F.to_date("date"))
+    path = str(tmp_path / "sales")
+    with pytest.raises(FileNotFoundError):
+        store.read_sales_store(spark, path)
+    store.replace_sales_store(df, path)
+    failing = df.withColumn("units_sold", F.when(F.col("price") < 20, F.raise_error("lost")).otherwise(F.col("units_sold")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        store.replace_sales_store(failing, path)
+    assert sorted(map(str, store.read_sales_store(spark, path).collect())) == sorted(map(str, df.collect()))
+
+
+def test_a_reader_keeps_the_rows_it_began_with(spark, tmp_path):
+    df = spark.createDataFrame(SAMPLE, RAW_SCHEMA).withColumn("date", F.to_date("date"))
+    path = str(tmp_path / "sales")
+    for n in (1, 2, 3, 4):
+        store.replace_sales_store(df.limit(n), path)
+        if n == 3:
+            reader = store.read_sales_store(spark, path)
+    assert reader.count() == 3 and store.read_sales_store(spark, path).count() == 4
+    assert len(list((tmp_path / "sales" / "versions").iterdir())) == 2
+
+
+def test_lookups_read_few_rows(spark, tmp_path):
+    n = F.col("id")
+    pick = lambda seed, values: F.pmod(F.xxhash64(n, F.lit(seed)), F.lit(values)).cast("string")
+    rows = spark.range(200_000).select(
+        F.concat(F.lit("P"), pick(1, 3000)).alias("product_id"), F.concat(F.lit("S"), pick(2, 200)).alias("store_id"),
+        F.when(n < 300, "Rare").otherwise(pick(3, 5)).alias("category"), F.when(n % 1000 == 7, None).otherwise(pick(4, 5)).alias("region"),
+        F.date_add(F.lit("2024-01-01").cast("date"), pick(5, 250).cast("int")).alias("date"), n.alias("units_sold"),
+    )
+    path = str(tmp_path / "laid_out")
+    assert store.write_for_lookups(rows, path, group_bytes=64 << 10) == 200_000
+    stored = spark.read.parquet(path)
+    assert stored.exceptAll(rows).isEmpty() and stored.count() == 200_000
+    for condition, share in (
+        ("product_id = 'P17' and date between date'2024-02-01' and date'2024-02-20'", 0.2), ("product_id = 'P17'", 0.4),
+        ("store_id = 'S5'", 0.5), ("date = date'2024-03-05'", 0.5), ("product_id = 'absent' or store_id = 'absent'", 0.2),
+    ):
+        found = stored.where(condition)
+        assert sorted(r.units_sold for r in found.collect()) == sorted(r.units_sold for r in rows.where(condition).collect())
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        read = scan.metrics().apply("numOutputRows").value()
+        assert read <= share * 200_000, (condition, read)
 
 
 def test_medallion_run(spark, tmp_path):
