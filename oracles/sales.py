@@ -249,7 +249,9 @@ numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY date)
                     SUM(CASE WHEN units > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY product_id ORDER BY date) AS run FROM daily)
 SELECT product_id, MIN(date) AS first_day, MAX(date) AS last_day, COUNT(*) AS days
 FROM numbered WHERE units = 0 GROUP BY product_id, run HAVING COUNT(*) >= 2"""
+STREAK_DEFAULT = STREAK.replace("COUNT(*) >= 2", "COUNT(*) >= 3")
 Q["alert_zero_streak"] = over(SALES, STREAK)
+Q["alert_zero_streak_default"] = over(SALES, STREAK_DEFAULT)
 
 _money = "format('{:,.2f}', CAST(SUM(revenue) AS DOUBLE))"
 Q["overview_text"] = over(SALES, f"""

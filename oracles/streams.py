@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.sales import DROP_ALERT, Q as SALES_Q, STREAK
+from oracles.sales import DROP_ALERT, Q as SALES_Q, STREAK, STREAK_DEFAULT
 from oracles.tables import MESSY, SALES, dbl
 
 Q: dict[str, str] = {
@@ -14,5 +14,6 @@ Q: dict[str, str] = {
     "FROM sales GROUP BY date",
     "stream_revenue_drop": f"WITH {SALES}{DROP_ALERT}",
     "stream_zero_streak": f"WITH {SALES}{STREAK}",
+    "stream_zero_streak_default": f"WITH {SALES}{STREAK_DEFAULT}",
     "stream_alert_discount": SALES_Q["alert_discount"],
 }

@@ -195,5 +195,8 @@ FROM messages WHERE role IN ('user', 'agent') OR (role = 'tool' AND tool_result
 Q["session_summary"] = MESSAGES + SUMMARY
 Q["session_summary_routed"] = TRAIL + SUMMARY
 Q["tool_calls"] = MESSAGES + " SELECT session_id, position, tool_name FROM messages WHERE tool_name <> ''"
+Q["tool_call_lists"] = MESSAGES + """
+SELECT session_id, CAST(position // 1000 AS BIGINT) AS block, string_agg(tool_name, ',' ORDER BY position, tool_name) AS tools
+FROM messages WHERE tool_name <> '' GROUP BY 1, 2"""
 Q["history_for_llm"] = MESSAGES + HISTORY
 Q["history_for_llm_routed"] = TRAIL + HISTORY

@@ -75,6 +75,18 @@ def tool_calls(messages: DataFrame) -> DataFrame:
     return messages.where(F.nullif("tool_name", F.lit("")).isNotNull()).select("session_id", "position", "tool_name")
 
 
+def tool_call_lists(messages: DataFrame, positions: int = 1000) -> DataFrame:
+    """``(session_id, block, tools)``: the tools of all calls in order, repeats included.
+
+    A list covers ``positions`` positions of a session, so one session's calls are spread over many lists; in the
+    order of ``block`` they make the whole list.
+    """
+    call = F.struct("position", "tool_name")
+    block = F.floor(F.col("position") / positions).cast("long").alias("block")
+    lists = tool_calls(messages).groupBy("session_id", block).agg(F.sort_array(F.collect_list(call)).alias("calls"))
+    return lists.select("session_id", "block", F.col("calls.tool_name").alias("tools"))
+
+
 def history_for_llm(messages: DataFrame) -> DataFrame:
     """Chat history rows: user and agent texts and tool results, all others dropped. No shuffle."""
     role = F.col("role")

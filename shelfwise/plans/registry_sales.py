@@ -166,5 +166,6 @@ def queries() -> dict[str, Query]:
         "alert_discount": on_sales(_alert_discount),
         "daily_revenue": on_sales(lambda df: as_doubles(alerts.daily_revenue(df))),
         "alert_revenue_drop": on_sales(lambda df: alerts.alert_revenue_drop(alerts.daily_revenue(df))),
+        "alert_zero_streak_default": on_sales(lambda df: alerts.alert_zero_streak(alerts.daily_units(df))),
         "alert_zero_streak": on_sales(lambda df: alerts.alert_zero_streak(alerts.daily_units(df), days=2)),
     }

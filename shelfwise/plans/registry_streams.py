@@ -48,9 +48,12 @@ def _drop(spark: SparkSession, folder: str) -> DataFrame:
     return alerts.stream_revenue_drop(_sales_stream(spark, folder), work, f"{work}/checkpoint")
 
 
-def _streak(spark: SparkSession, folder: str) -> DataFrame:
-    work = work_folder(spark)
-    return alerts.stream_zero_streak(_sales_stream(spark, folder), work, f"{work}/checkpoint", days=2)
+def _streak(**params) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        work = work_folder(spark)
+        return alerts.stream_zero_streak(_sales_stream(spark, folder), work, f"{work}/checkpoint", **params)
+
+    return run
 
 
 def _discount(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +72,7 @@ def queries() -> dict[str, Query]:
         "stream_dedup": _dedup,
         "daily_revenue_stream": _daily,
         "stream_revenue_drop": _drop,
-        "stream_zero_streak": _streak,
+        "stream_zero_streak": _streak(days=2),
+        "stream_zero_streak_default": _streak(),
         "stream_alert_discount": _discount,
     }

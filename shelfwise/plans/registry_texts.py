@@ -64,6 +64,10 @@ def _summary(messages: DataFrame) -> DataFrame:
     return out.withColumns({n: F.array_join(n, ",") for n in ("agents_involved", "tools_used")})
 
 
+def _call_lists(messages: DataFrame) -> DataFrame:
+    return sessions.tool_call_lists(messages).withColumn("tools", F.array_join("tools", ","))
+
+
 def _classified(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, r.agent(F.col("text")).alias("agent"), r.action(F.col("text")).alias("action"))
 
@@ -93,6 +97,7 @@ def queries() -> dict[str, Query]:
         "session_summary": lambda s, f: _summary(star.conversation_messages(s, f)),
         "session_summary_routed": lambda s, f: _summary(_part_trail(s, f)),
         "tool_calls": lambda s, f: sessions.tool_calls(star.conversation_messages(s, f)),
+        "tool_call_lists": lambda s, f: _call_lists(star.conversation_messages(s, f)),
         "history_for_llm": lambda s, f: sessions.history_for_llm(star.conversation_messages(s, f)),
         "history_for_llm_routed": lambda s, f: sessions.history_for_llm(_part_trail(s, f)),
     }

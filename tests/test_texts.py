@@ -211,6 +211,14 @@ def test_session_rollup(spark):
     assert history[2].content == "[Tool Result] 1"
 
 
+def test_tool_calls_in_order_with_repeats(spark):
+    tools = ["b", "a", None, "b", "", "b", "a", "c", "a"]
+    rows = [("s", i, "agent", "X", "", t, None) for i, t in enumerate(tools)] + [("other", 0, "user", "user", "", None, None)]
+    columns = "session_id string, position int, role string, agent_id string, content string, tool_name string, tool_result string"
+    got = sessions.tool_call_lists(spark.createDataFrame(rows[::-1], columns), positions=4).collect()
+    assert sorted((x.session_id, x.block, x.tools) for x in got) == [("s", 0, ["b", "a", "b"]), ("s", 1, ["b", "a", "c"]), ("s", 2, ["a"])]
+
+
 def test_tool_registry(spark):
     assert len(tools.TOOLS) >= 10
     assert {"get_sales_overview", "search_policy", "get_anomaly_summary", "get_demand_forecast"} <= set(tools.TOOLS)
