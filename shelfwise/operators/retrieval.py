@@ -13,6 +13,7 @@ from shelfwise.functions import text as t
 from shelfwise.session import written
 
 MAX_TERMS = 8000
+BUCKETS_A_TERM = 128  # of the bounds on the counts of pairs, for each term of the vocabulary
 SLACK = 1e-8  # scores are rounded to nine places and summed in any order
 
 NO_DOCUMENTS = "No policy documents are available."
@@ -40,31 +41,34 @@ def _chunks(docs: DataFrame, doc: str, windows: Column, mark: str) -> DataFrame:
 class Index:
     """The tables of an index.
 
-    ``chunks(chunk_id, source, text)``, ``vocabulary(term, count, df, idf)``, ``weights(chunk_id, term, weight, block)``
-    and ``blocks(block, term, top)``, the largest weight of a term in a block of neighbouring chunks.
+    ``chunks(chunk_id, source, text)``, ``vocabulary(term, count, df, idf)`` and ``postings(block, term, top, entries)``: a row
+    per term and block of neighbouring chunks, with the chunks' weights (at most 100) and the largest of them.
     """
 
     chunks: DataFrame
     vocabulary: DataFrame
-    weights: DataFrame
-    blocks: DataFrame
+    postings: DataFrame
     stop_words: tuple[str, ...]
     bigrams: bool
 
+    @property
+    def weights(self) -> DataFrame:
+        """``(chunk_id, term, weight)``."""
+        return self.postings.select("term", F.inline("entries")).select("chunk_id", "term", "weight")
+
     def save(self, folder: str) -> None:
         self.chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
         self.vocabulary.write.mode("overwrite").parquet(f"{folder}/vocabulary")
         # ordered by term and block, so that a search for a few terms skips most row groups
-        for name, table in (("term_weights", self.weights), ("term_blocks", self.blocks)):
-            placed = table.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
-            placed.write.mode("overwrite").parquet(f"{folder}/{name}")
+        placed = self.postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+        placed.write.mode("overwrite").parquet(f"{folder}/postings")
         spark = self.chunks.sparkSession  # queries must be cut into the same terms as the chunks were
         settings = spark.createDataFrame([(list(self.stop_words), self.bigrams)], "stop_words array<string>, bigrams boolean")
         settings.coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Index:
-        tables = [spark.read.parquet(f"{folder}/{n}") for n in ("chunks", "vocabulary", "term_weights", "term_blocks")]
+        tables = [spark.read.parquet(f"{folder}/{n}") for n in ("chunks", "vocabulary", "postings")]
         settings = spark.read.parquet(f"{folder}/settings").first()
         return cls(*tables, tuple(settings["stop_words"]), settings["bigrams"])
 
@@ -75,20 +79,20 @@ def stop_word_list(given: Sequence[str] | None = None) -> tuple[str, ...]:
 
 def with_terms(rows: DataFrame, stop_words: Sequence[str], bigrams: bool = True) -> DataFrame:
     """Adds ``terms``: the words of ``text`` without stop words, and pairs of words left side by side."""
-    found = rows.withColumn("_words", t.words(F.col("text")))
+    found = rows.withColumn("_words", F.coalesce(t.words(F.col("text")), F.array().cast("array<string>")))
     remover = StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=list(stop_words), caseSensitive=True)
     kept = F.col("_kept")
     return remover.transform(found).withColumn("terms", t.with_pairs(kept) if bigrams else kept).drop("_words", "_kept")
 
 
-def term_counts(rows: DataFrame, key: str, stop_words: Sequence[str], bigrams: bool = True) -> DataFrame:
-    """``(key, term, tf)``.
+def term_counts(rows: DataFrame, keys: Sequence[str], stop_words: Sequence[str], bigrams: bool = True) -> DataFrame:
+    """``(*keys, term, tf)``.
 
-    Texts are placed by key before they are taken apart, as terms are several times their size; the
-    same placing serves the counts and whatever is summed per key later.
+    Texts are placed by the first key before they are taken apart, as terms are several times their size;
+    the same placing serves the counts and whatever is summed per key later.
     """
-    listed = with_terms(rows.select(key, "text").repartition(key), stop_words, bigrams)
-    return _exploded(listed, F.col("terms"), key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    listed = with_terms(rows.select(*keys, "text").repartition(keys[0]), stop_words, bigrams)
+    return _exploded(listed, F.col("terms"), *keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _exploded(rows: DataFrame, entries: Column, *keep: str) -> DataFrame:
@@ -97,21 +101,46 @@ def _exploded(rows: DataFrame, entries: Column, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode_outer(entries).alias("term")).where(F.col("term").isNotNull())
 
 
+def count_bounds(listed: DataFrame, buckets: int) -> DataFrame:
+    """``(word, key, total)`` of rows with ``terms``: the count of every word, and of every bucket of pairs of words.
+
+    No pair is more frequent than its bucket. The keys that a task sends are its words and at most ``buckets`` numbers,
+    however many different pairs there are.
+    """
+    terms = _exploded(listed, F.col("terms"))
+    is_word = ~F.col("term").contains(" ")
+    keyed = terms.select(F.when(is_word, F.col("term")).alias("word"), term_key(F.col("term"), buckets).alias("key"))
+    return keyed.groupBy("word", "key").agg(F.count(F.lit(1)).alias("total"))
+
+
+def term_key(term: Column, buckets: int) -> Column:
+    found = F.xxhash64(term)
+    return F.when(term.contains(" "), F.pmod(found, F.lit(buckets))).otherwise(found)
+
+
 def vocabulary(
     rows: DataFrame, documents: Column, stop_words: Sequence[str], bigrams: bool = True, max_terms: int = MAX_TERMS
 ) -> DataFrame:
     """The most frequent terms, with their counts and smooth inverse document frequency.
 
-    One pass without a shuffle of texts: each row sends its terms, and once more its distinct terms,
-    and both are summed map-side.
+    The first pass counts words, and pairs by bucket. The least count that a word among the ``max_terms`` most frequent
+    words has is one that every term of the vocabulary reaches; a pair whose bucket does not is left out unseen. The second
+    pass counts the other terms: each row sends those it has, and once more its distinct ones, summed map-side.
     """
+    listed = with_terms(rows.select("text"), stop_words, bigrams)
+    buckets = max_terms * BUCKETS_A_TERM
+    bounds = written(count_bounds(listed, buckets))
+    frequent = bounds.where(F.col("word").isNotNull()).orderBy(F.desc("total")).limit(max_terms)
+    least, found = frequent.agg(F.min("total"), F.count(F.lit(1))).first()
+    if found < max_terms:  # there are fewer words, so any pair may be in the vocabulary
+        least = 0
+    keys = written(bounds.where(F.col("total") >= least).select("key").distinct())
     terms = F.col("terms")
     every = F.transform(terms, lambda w: F.struct(w.alias("w"), F.lit(1).alias("uses"), F.lit(0).alias("rows")))
     once = F.transform(F.array_distinct(terms), lambda w: F.struct(w.alias("w"), F.lit(0).alias("uses"), F.lit(1).alias("rows")))
-    listed = with_terms(rows.select("text"), stop_words, bigrams)
+    possible = _exploded(listed, F.concat(every, once)).withColumn("key", term_key(F.col("term.w"), buckets)).join(keys, "key", "left_semi")
     top = (
-        _exploded(listed, F.concat(every, once))
-        .groupBy(F.col("term.w").alias("term"))
+        possible.groupBy(F.col("term.w").alias("term"))
         .agg(F.sum("term.uses").alias("count"), F.sum("term.rows").alias("df"))
         .orderBy(F.desc("count"), "term")
         .limit(max_terms)
@@ -119,15 +148,15 @@ def vocabulary(
     return top.withColumn("idf", F.log((documents + 1) / (F.col("df") + 1)) + 1)
 
 
-def unit_weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+def unit_weights(counts: DataFrame, vocab: DataFrame, *keys: str) -> DataFrame:
     """Damped term frequency times idf, scaled to length 1 per key.
 
     The window per key holds one row per distinct known term, so it is bounded by the vocabulary.
     """
     rows = counts.join(vocab.select("term", "idf"), "term")
-    raw = rows.select(key, "term", ((F.log("tf") + 1) * F.col("idf")).alias("raw"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("raw") / length).alias("weight"))
+    raw = rows.select(*keys, "term", ((F.log("tf") + 1) * F.col("idf")).alias("raw"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys)))
+    return raw.select(*keys, "term", (F.col("raw") / length).alias("weight"))
 
 
 def block_of(chunk_id: Column) -> Column:
@@ -141,23 +170,28 @@ def block_of(chunk_id: Column) -> Column:
 def tfidf_index(
     chunks: DataFrame, max_terms: int = MAX_TERMS, stop_words: Sequence[str] | None = None, bigrams: bool = True
 ) -> Index:
-    """Builds the index: one pass for the vocabulary and one for the weights, both written.
+    """Builds the index: two passes for the vocabulary and one for the weights, both written.
 
-    Texts are tokenised again for the weights, which costs less than writing and shuffling all term
-    counts of all chunks; searches then read the written weights and tokenise no chunk.
+    Texts are placed by block once, which serves the counts, the lengths and the postings; searches read
+    the written postings and tokenise no chunk.
     """
     words = stop_word_list(stop_words)
     total = chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
     vocab = written(vocabulary(chunks, total, words, bigrams, max_terms))
-    counts = term_counts(chunks, "chunk_id", words, bigrams)
-    weights = written(unit_weights(counts, vocab, "chunk_id").withColumn("block", block_of(F.col("chunk_id"))))
-    blocks = written(weights.groupBy("block", "term").agg(F.max("weight").alias("top")))
-    return Index(chunks.select("chunk_id", "source", "text"), vocab, weights, blocks, words, bigrams)
+    keys = ("block", "chunk_id")
+    counts = term_counts(chunks.withColumn("block", block_of(F.col("chunk_id"))), keys, words, bigrams)
+    postings = written(as_postings(unit_weights(counts, vocab, *keys)))
+    return Index(chunks.select("chunk_id", "source", "text"), vocab, postings, words, bigrams)
+
+
+def as_postings(weights: DataFrame) -> DataFrame:
+    entry = F.struct("chunk_id", "weight")
+    return weights.groupBy("block", "term").agg(F.max("weight").alias("top"), F.sort_array(F.collect_list(entry)).alias("entries"))
 
 
 def query_terms(queries: DataFrame, index: Index) -> DataFrame:
     """``(query_id, term, query_weight)``, written as several joins read it."""
-    counts = term_counts(queries, "query_id", index.stop_words, index.bigrams)
+    counts = term_counts(queries, ["query_id"], index.stop_words, index.bigrams)
     return written(unit_weights(counts, index.vocabulary, "query_id").withColumnRenamed("weight", "query_weight"))
 
 
@@ -165,7 +199,7 @@ def scored(pairs: DataFrame, asked: DataFrame, index: Index) -> DataFrame:
     """``(query_id, chunk_id, score)`` of all chunks in the given pairs of query and block."""
     wanted = pairs.select("query_id", "block").join(asked, "query_id")
     product = F.col("weight") * F.col("query_weight")
-    met = index.weights.join(wanted, ["term", "block"])
+    met = index.postings.join(wanted, ["term", "block"]).select("query_id", "query_weight", F.inline("entries"))
     return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(product), 9).alias("score"))
 
 
@@ -182,7 +216,7 @@ def candidate_blocks(asked: DataFrame, index: Index, k: int) -> DataFrame:
     that the final ``k`` reach, too, and a block whose bound falls short of it can hold none of them.
     """
     limit = F.sum(F.col("top") * F.col("query_weight")).alias("bound")
-    bounds = written(index.blocks.join(asked, "term").groupBy("query_id", "block").agg(limit))
+    bounds = written(index.postings.join(asked, "term").groupBy("query_id", "block").agg(limit))
     tried = scored(_best(bounds, "bound", "block", k), asked, index)
     reached = _best(tried, "score", "chunk_id", k).where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
     within = F.col("bound") >= F.coalesce("reached", F.lit(0.0)) - SLACK

@@ -82,8 +82,8 @@ def queries() -> dict[str, Query]:
         "chunk_chars": lambda s, f: retrieval.chunk_chars(documents(s, f)),
         "tokenize": _token_lists,
         "vocabulary": lambda s, f: _rounded(index(s, f).vocabulary, "idf"),
-        "tfidf_index": lambda s, f: _rounded(index(s, f).weights.drop("block"), "weight"),
-        "tfidf_blocks": lambda s, f: _rounded(index(s, f).blocks, "top"),
+        "tfidf_index": lambda s, f: _rounded(index(s, f).weights, "weight"),
+        "tfidf_blocks": lambda s, f: _rounded(index(s, f).postings.drop("entries"), "top"),
         "search_topk": _search,
         "distinct_sources": _sources,
         "build_context": _context,

@@ -1,4 +1,6 @@
 import dataclasses
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,12 +121,28 @@ def test_any_blocks_give_the_same_hits(spark, topics):
     asked = ask(spark, "customer topic4 part3", "store")
     want = best_of(retrieval.search_topk(asked, topics, 5).collect(), 5)
     for block in (F.lit("one"), F.col("chunk_id"), F.pmod(F.xxhash64("chunk_id"), F.lit(5)).cast("string")):
-        weights = topics.weights.withColumn("block", block)
-        blocks = weights.groupBy("block", "term").agg(F.max("weight").alias("top"))
-        other = dataclasses.replace(topics, weights=weights, blocks=blocks)
+        other = dataclasses.replace(topics, postings=retrieval.as_postings(topics.weights.withColumn("block", block)))
         assert best_of(retrieval.search_topk(asked, other, 5).collect(), 5) == want
 
 
+@pytest.mark.parametrize("max_terms,factor", [(5, 128), (12, 1), (40, 2), (100_000, 128)])
+def test_vocabulary_equals_the_counts_of_all_terms(spark, monkeypatch, max_terms, factor):
+    rng = random.Random(max_terms)
+    texts = [" ".join(f"w{min(rng.randrange(1, 60), rng.randrange(1, 60))}" for _ in range(rng.randrange(40))) for _ in range(60)]
+    texts += ["new york " * 30, "", "alpha", None]
+    monkeypatch.setattr(retrieval, "BUCKETS_A_TERM", factor)
+    uses, rows = Counter(), Counter()
+    for text in texts:
+        words = [w for w in (text or "").split() if len(w) > 1]
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        uses.update(terms)
+        rows.update(set(terms))
+    want = sorted(uses, key=lambda t: (-uses[t], t))[:max_terms]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = retrieval.vocabulary(df, F.lit(len(texts)), [], max_terms=max_terms).collect()
+    assert [(x.term, x["count"], x.df) for x in got] == [(t, uses[t], rows[t]) for t in want]
+
+
 def test_blocks_hold_neighbouring_chunks(spark):
     ids = ["7_chunk_3", "7_chunk_42", "7_chunk_142", "17_chunk_3", "plain", "5", ""]
     got = spark.createDataFrame([(i,) for i in ids], "id string").select(retrieval.block_of(F.col("id"))).collect()
