@@ -56,11 +56,16 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM_RUN))
 
 
+def pairs(single: Column) -> Column:
+    """The pairs of words that are neighbours."""
+    following = F.slice(single, F.lit(2), F.greatest(F.size(single), F.lit(1)))
+    both = F.zip_with(single, following, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(both, lambda p: p.isNotNull())
+
+
 def with_pairs(single: Column) -> Column:
     """The words, and the pairs of words that are neighbours."""
-    following = F.slice(single, F.lit(2), F.greatest(F.size(single), F.lit(1)))
-    pairs = F.zip_with(single, following, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(single, F.filter(pairs, lambda p: p.isNotNull()))
+    return F.concat(single, pairs(single))
 
 
 def sentiment(text: Column) -> Column:

@@ -77,84 +77,98 @@ def stop_word_list(given: Sequence[str] | None = None) -> tuple[str, ...]:
     return tuple(StopWordsRemover.loadDefaultStopWords("english") if given is None else given)
 
 
+def with_words(rows: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """Adds ``words``: the words of ``text`` without stop words."""
+    found = F.coalesce(t.words(F.col("text")), F.array().cast("array<string>"))
+    return rows.withColumn("words", F.filter(found, lambda w: ~w.isin(list(stop_words))) if stop_words else found)
+
+
+def all_terms(bigrams: bool = True) -> Column:
+    """Of rows with ``words``: the words, and pairs of words left side by side."""
+    return t.with_pairs(F.col("words")) if bigrams else F.col("words")
+
+
 def with_terms(rows: DataFrame, stop_words: Sequence[str], bigrams: bool = True) -> DataFrame:
-    """Adds ``terms``: the words of ``text`` without stop words, and pairs of words left side by side."""
-    found = rows.withColumn("_words", F.coalesce(t.words(F.col("text")), F.array().cast("array<string>")))
-    remover = StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=list(stop_words), caseSensitive=True)
-    kept = F.col("_kept")
-    return remover.transform(found).withColumn("terms", t.with_pairs(kept) if bigrams else kept).drop("_words", "_kept")
+    return with_words(rows, stop_words).withColumn("terms", all_terms(bigrams)).drop("words")
 
 
-def term_counts(rows: DataFrame, keys: Sequence[str], stop_words: Sequence[str], bigrams: bool = True) -> DataFrame:
-    """``(*keys, term, tf)``.
+def term_counts(
+    listed: DataFrame, keys: Sequence[str], bigrams: bool = True, among: DataFrame | None = None, buckets: int = 0
+) -> DataFrame:
+    """``(*keys, term, tf)`` of rows with ``words``; with ``among``, of the terms whose ``term_key`` it holds only.
 
-    Texts are placed by the first key before they are taken apart, as terms are several times their size;
-    the same placing serves the counts and whatever is summed per key later.
+    Words are placed by the first key before they become terms, which are several times their size.
     """
-    listed = with_terms(rows.select(*keys, "text").repartition(keys[0]), stop_words, bigrams)
-    return _exploded(listed, F.col("terms"), *keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    placed = listed.select(*keys, "words").repartition(keys[0])
+    terms = _exploded(placed, all_terms(bigrams), *keys)
+    if among is not None:
+        terms = terms.withColumn("key", term_key(F.col("term"), buckets)).join(among, "key", "left_semi")
+    return terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _exploded(rows: DataFrame, entries: Column, *keep: str) -> DataFrame:
     # outer, as for an inner explode the optimizer would test the list for entries first and, to do so
-    # below the shuffle, tokenise every text several times more
+    # below the shuffle, build every list several times more
     return rows.select(*keep, F.explode_outer(entries).alias("term")).where(F.col("term").isNotNull())
 
 
-def count_bounds(listed: DataFrame, buckets: int) -> DataFrame:
-    """``(word, key, total)`` of rows with ``terms``: the count of every word, and of every bucket of pairs of words.
-
-    No pair is more frequent than its bucket. The keys that a task sends are its words and at most ``buckets`` numbers,
-    however many different pairs there are.
-    """
-    terms = _exploded(listed, F.col("terms"))
-    is_word = ~F.col("term").contains(" ")
-    keyed = terms.select(F.when(is_word, F.col("term")).alias("word"), term_key(F.col("term"), buckets).alias("key"))
-    return keyed.groupBy("word", "key").agg(F.count(F.lit(1)).alias("total"))
-
-
 def term_key(term: Column, buckets: int) -> Column:
+    """A word's hash, and a pair's bucket."""
     found = F.xxhash64(term)
     return F.when(term.contains(" "), F.pmod(found, F.lit(buckets))).otherwise(found)
 
 
-def vocabulary(
-    rows: DataFrame, documents: Column, stop_words: Sequence[str], bigrams: bool = True, max_terms: int = MAX_TERMS
-) -> DataFrame:
-    """The most frequent terms, with their counts and smooth inverse document frequency.
+def possible_terms(listed: DataFrame, bigrams: bool, max_terms: int, buckets: int) -> DataFrame:
+    """The keys (``term_key``) of the terms that may be among the ``max_terms`` most frequent ones, of rows with ``words``.
 
-    The first pass counts words, and pairs by bucket. The least count that a word among the ``max_terms`` most frequent
-    words has is one that every term of the vocabulary reaches; a pair whose bucket does not is left out unseen. The second
-    pass counts the other terms: each row sends those it has, and once more its distinct ones, summed map-side.
+    Words are counted, and pairs by bucket: no pair is more frequent than its bucket, and a task sends at most one number
+    a bucket, however many different pairs there are. The least count that a word among the ``max_terms`` most frequent
+    words has is one that every term of a vocabulary reaches; a pair whose bucket does not is in none.
     """
-    listed = with_terms(rows.select("text"), stop_words, bigrams)
-    buckets = max_terms * BUCKETS_A_TERM
-    bounds = written(count_bounds(listed, buckets))
-    frequent = bounds.where(F.col("word").isNotNull()).orderBy(F.desc("total")).limit(max_terms)
-    least, found = frequent.agg(F.min("total"), F.count(F.lit(1))).first()
+    uses = F.count(F.lit(1)).alias("total")
+    words = written(_exploded(listed, F.col("words")).groupBy("term").agg(uses))
+    least, found = words.orderBy(F.desc("total")).limit(max_terms).agg(F.min("total"), F.count(F.lit(1))).first()
     if found < max_terms:  # there are fewer words, so any pair may be in the vocabulary
         least = 0
-    keys = written(bounds.where(F.col("total") >= least).select("key").distinct())
-    terms = F.col("terms")
-    every = F.transform(terms, lambda w: F.struct(w.alias("w"), F.lit(1).alias("uses"), F.lit(0).alias("rows")))
-    once = F.transform(F.array_distinct(terms), lambda w: F.struct(w.alias("w"), F.lit(0).alias("uses"), F.lit(1).alias("rows")))
-    possible = _exploded(listed, F.concat(every, once)).withColumn("key", term_key(F.col("term.w"), buckets)).join(keys, "key", "left_semi")
+    enough = F.col("total") >= least
+    keys = words.where(enough).select(F.xxhash64("term").alias("key"))
+    if bigrams:
+        pairs = _exploded(listed, t.pairs(F.col("words"))).select(term_key(F.col("term"), buckets).alias("key"))
+        keys = keys.unionByName(pairs.groupBy("key").agg(uses).where(enough).select("key"))
+    return written(keys)
+
+
+def ranked_terms(counts: DataFrame, documents: Column, max_terms: int = MAX_TERMS) -> DataFrame:
+    """The most frequent terms of ``(term, tf)``, a row per text and term, with their smooth inverse document frequency."""
     top = (
-        possible.groupBy(F.col("term.w").alias("term"))
-        .agg(F.sum("term.uses").alias("count"), F.sum("term.rows").alias("df"))
+        counts.groupBy("term")
+        .agg(F.sum("tf").alias("count"), F.count(F.lit(1)).alias("df"))
         .orderBy(F.desc("count"), "term")
         .limit(max_terms)
     )
     return top.withColumn("idf", F.log((documents + 1) / (F.col("df") + 1)) + 1)
 
 
+def vocabulary(
+    rows: DataFrame, documents: Column, stop_words: Sequence[str], bigrams: bool = True, max_terms: int = MAX_TERMS
+) -> DataFrame:
+    """The most frequent terms of texts, with their counts and smooth inverse document frequency."""
+    listed = written(with_words(rows.select("text"), stop_words).select(F.monotonically_increasing_id().alias("row"), "words"))
+    return ranked_terms(_frequent_counts(listed, ["row"], bigrams, max_terms), documents, max_terms)
+
+
+def _frequent_counts(listed: DataFrame, keys: Sequence[str], bigrams: bool, max_terms: int) -> DataFrame:
+    buckets = max_terms * BUCKETS_A_TERM
+    return term_counts(listed, keys, bigrams, possible_terms(listed, bigrams, max_terms, buckets), buckets)
+
+
 def unit_weights(counts: DataFrame, vocab: DataFrame, *keys: str) -> DataFrame:
     """Damped term frequency times idf, scaled to length 1 per key.
 
     The window per key holds one row per distinct known term, so it is bounded by the vocabulary.
     """
     rows = counts.join(vocab.select("term", "idf"), "term")
-    raw = rows.select(*keys, "term", ((F.log("tf") + 1) * F.col("idf")).alias("raw"))
+    raw = rows.repartition(keys[0]).select(*keys, "term", ((F.log("tf") + 1) * F.col("idf")).alias("raw"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys)))
     return raw.select(*keys, "term", (F.col("raw") / length).alias("weight"))
 
@@ -170,18 +184,20 @@ def block_of(chunk_id: Column) -> Column:
 def tfidf_index(
     chunks: DataFrame, max_terms: int = MAX_TERMS, stop_words: Sequence[str] | None = None, bigrams: bool = True
 ) -> Index:
-    """Builds the index: two passes for the vocabulary and one for the weights, both written.
+    """Builds the index. Texts are cut into words once, and the words written: counts and bounds are taken from them.
 
-    Texts are placed by block once, which serves the counts, the lengths and the postings; searches read
-    the written postings and tokenise no chunk.
+    Only terms that may be in the vocabulary are counted by chunk; these counts give the vocabulary and the weights. Rows are
+    placed by block, which serves the lengths and the postings; searches read the written postings and tokenise no chunk.
     """
-    words = stop_word_list(stop_words)
-    total = chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
-    vocab = written(vocabulary(chunks, total, words, bigrams, max_terms))
+    stop = stop_word_list(stop_words)
     keys = ("block", "chunk_id")
-    counts = term_counts(chunks.withColumn("block", block_of(F.col("chunk_id"))), keys, words, bigrams)
+    blocked = chunks.withColumn("block", block_of(F.col("chunk_id")))
+    listed = written(with_words(blocked, stop).select(*keys, "words"))
+    total = listed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = written(_frequent_counts(listed, keys, bigrams, max_terms))
+    vocab = written(ranked_terms(counts, total, max_terms))
     postings = written(as_postings(unit_weights(counts, vocab, *keys)))
-    return Index(chunks.select("chunk_id", "source", "text"), vocab, postings, words, bigrams)
+    return Index(chunks.select("chunk_id", "source", "text"), vocab, postings, stop, bigrams)
 
 
 def as_postings(weights: DataFrame) -> DataFrame:
@@ -191,15 +207,18 @@ def as_postings(weights: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame, index: Index) -> DataFrame:
     """``(query_id, term, query_weight)``, written as several joins read it."""
-    counts = term_counts(queries, ["query_id"], index.stop_words, index.bigrams)
+    counts = term_counts(with_words(queries, index.stop_words), ["query_id"], index.bigrams)
     return written(unit_weights(counts, index.vocabulary, "query_id").withColumnRenamed("weight", "query_weight"))
 
 
 def scored(pairs: DataFrame, asked: DataFrame, index: Index) -> DataFrame:
-    """``(query_id, chunk_id, score)`` of all chunks in the given pairs of query and block."""
-    wanted = pairs.select("query_id", "block").join(asked, "query_id")
+    """``(query_id, chunk_id, score)`` of all chunks in the given pairs of query and block.
+
+    The pairs should be written: Spark then knows their size before it shuffles the postings that a query shares.
+    """
     product = F.col("weight") * F.col("query_weight")
-    met = index.postings.join(wanted, ["term", "block"]).select("query_id", "query_weight", F.inline("entries"))
+    shared = index.postings.join(asked, "term").join(pairs, ["query_id", "block"], "left_semi")
+    met = shared.select("query_id", "query_weight", F.inline("entries"))
     return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(product), 9).alias("score"))
 
 
@@ -217,7 +236,7 @@ def candidate_blocks(asked: DataFrame, index: Index, k: int) -> DataFrame:
     """
     limit = F.sum(F.col("top") * F.col("query_weight")).alias("bound")
     bounds = written(index.postings.join(asked, "term").groupBy("query_id", "block").agg(limit))
-    tried = scored(_best(bounds, "bound", "block", k), asked, index)
+    tried = scored(written(_best(bounds, "bound", "block", k)), asked, index)
     reached = _best(tried, "score", "chunk_id", k).where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
     within = F.col("bound") >= F.coalesce("reached", F.lit(0.0)) - SLACK
     return bounds.join(reached, "query_id", "left").where(within).select("query_id", "block")
@@ -231,7 +250,7 @@ def search_topk(queries: DataFrame, index: Index, k: int = 3) -> DataFrame:
     A term in a third of all chunks is spread over its blocks in the join with the weights.
     """
     asked = query_terms(queries, index)
-    return _best(scored(candidate_blocks(asked, index, k), asked, index), "score", "chunk_id", k)
+    return _best(scored(written(candidate_blocks(asked, index, k)), asked, index), "score", "chunk_id", k)
 
 
 def filled(queries: DataFrame, found: DataFrame, index: Index, k: int) -> DataFrame:
