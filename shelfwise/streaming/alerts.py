@@ -1,8 +1,8 @@
 """Daily figures and alerts on streams of staged sales rows, right for any order of arrival.
 
-A batch adds its own sums per day as partial rows under its batch id; a day's figure is the sum of all
-partials, so rows may come late, in any file and in any order, and none is dropped. A batch that is run
-again replaces its own partials.
+A batch adds its own sums per day; a day's figure is the sum of all of them, so rows may come late, in any file and
+in any order, and none is dropped. A batch that is run again counts once: revenue lies in levelled runs whose list names
+the newest batch, and units of a product's day under the batch's id, where a repeated batch replaces its own.
 """
 
 from __future__ import annotations
@@ -11,25 +11,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.alerts import alert_discount, alert_revenue_drop  # noqa: F401  alert_discount needs no state
+from shelfwise.streaming.levels import add_batch, read_runs, read_version, replace_version, valid_runs
 from shelfwise.streaming.runs import read_or_empty, replace_batch, run_each_batch
 
-DAILY_SCHEMA = "date date, revenue decimal(38,2), records long, batch_id long"
+DAILY_SCHEMA = "date date, revenue decimal(38,2), records long"
 PRODUCT_DAY_SCHEMA = "product_id string, date date, units long, sales_month string, batch_id long"
-DROP_SCHEMA = "date date, revenue double, mean_before double, batch_id long"
+DROP_SCHEMA = "date date, revenue double, mean_before double"
 RUN_SCHEMA = (
     "product_id string, first_day date, last_day date, days long, from_start boolean, to_end boolean, sales_month string"
 )
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    sums = F.sum("revenue").cast("decimal(38,2)").alias("revenue"), F.sum("records").cast("long").alias("records")
+    return rows.groupBy("date").agg(*sums)
+
+
 def _add_revenue(batch: DataFrame, batch_id: int, path: str) -> None:
-    partial = batch.groupBy("date").agg(F.sum("revenue").cast("decimal(38,2)").alias("revenue"), F.count(F.lit(1)).alias("records"))
-    replace_batch(partial.withColumn("batch_id", F.lit(batch_id).cast("long")), path, "batch_id")
+    add_batch(_summed(batch.withColumn("records", F.lit(1))), path, batch_id, _summed, DAILY_SCHEMA)
 
 
 def daily_totals(spark: SparkSession, path: str) -> DataFrame:
     """``(date, revenue, records)`` of all batches so far."""
-    partials = read_or_empty(spark, path, DAILY_SCHEMA)
-    return partials.groupBy("date").agg(F.sum("revenue").cast("decimal(38,2)").alias("revenue"), F.sum("records").alias("records"))
+    return _summed(read_runs(spark, path, DAILY_SCHEMA))
 
 
 def daily_revenue_stream(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
@@ -46,11 +50,10 @@ def stream_revenue_drop(stream: DataFrame, folder: str, checkpoint: str, days: i
     def handle(batch: DataFrame, batch_id: int) -> None:
         _add_revenue(batch, batch_id, daily_path)
         found = alert_revenue_drop(daily_totals(spark, daily_path), days, keep)
-        replace_batch(found.withColumn("batch_id", F.lit(batch_id).cast("long")), alert_path, "batch_id")
+        replace_version(found, alert_path, batch_id)
 
     run_each_batch(stream, handle, checkpoint)
-    newest = read_or_empty(spark, daily_path, DAILY_SCHEMA).agg(F.max("batch_id").alias("batch_id"))
-    return read_or_empty(spark, alert_path, DROP_SCHEMA).join(F.broadcast(newest), "batch_id").drop("batch_id")  # one row
+    return read_version(spark, alert_path, valid_runs(spark, daily_path)[0], DROP_SCHEMA)
 
 
 def month_runs(daily: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from shelfwise.operators import alerts as batch
 from shelfwise.operators.cleaning import normalise, stage_sales
 from shelfwise.schema import RAW_SCHEMA
 from shelfwise.sources import readers
-from shelfwise.streaming import alerts, ingest
+from shelfwise.streaming import alerts, ingest, levels
 from shelfwise.streaming.runs import run_to_table
 from tests.data import SAMPLE, row
 from tests.test_sinks import csv_text
@@ -101,6 +101,61 @@ def test_revenue_drop_across_deliveries(spark, tmp_path):
     assert len(got) == 3
 
 
+KEYED = "key int, n long"
+
+
+def _sums(df):
+    return df.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _names(folder):
+    return sorted(f.name for f in folder.iterdir() if f.is_dir())
+
+
+def test_levels_hold_all_batches_in_few_runs(spark, tmp_path):
+    path, want = str(tmp_path / "sums"), {}
+    for batch_id in range(30):
+        rows = [] if batch_id == 4 else [(batch_id % 5, 1), (None, batch_id)]
+        for key, n in rows:
+            want[key] = want.get(key, 0) + n
+        levels.add_batch(spark.createDataFrame(rows, KEYED), path, batch_id, _sums, KEYED, fan=3)
+        assert {r.key: r.n for r in _sums(levels.read_runs(spark, path, KEYED)).collect()} == want
+        assert len(levels.valid_runs(spark, path)[1]) <= 8 and len(_names(tmp_path / "sums" / "runs")) <= 16
+        assert len(_names(tmp_path / "sums" / "lists")) <= 2
+    assert [level for level, _ in levels.valid_runs(spark, path)[1]] == [3, 1]  # 27 + 3
+
+
+def test_a_repeated_batch_counts_once_and_a_lost_one_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "sums")
+    one = spark.createDataFrame([(1, 1)], KEYED)
+
+    def total():
+        return levels.read_runs(spark, path, KEYED).agg(F.sum("n")).first()[0]
+
+    for batch_id in (0, 1, 1, 0):
+        levels.add_batch(one, path, batch_id, _sums, KEYED, fan=3)
+    assert total() == 2
+
+    def lost(df):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        levels.add_batch(one, path, 2, lost, KEYED, fan=3)  # the third run, so the three are merged
+    assert total() == 2 and levels.valid_runs(spark, path)[0] == 1
+    levels.add_batch(one, path, 2, _sums, KEYED, fan=3)
+    assert total() == 3 and [level for level, _ in levels.valid_runs(spark, path)[1]] == [1]
+
+
+def test_alerts_of_the_newest_batch_are_kept_with_one_before(spark, tmp_path):
+    for batch_id in range(4):
+        found = spark.createDataFrame([(batch_id,)] if batch_id < 3 else [], "n int")
+        levels.replace_version(found, str(tmp_path / "v"), batch_id)
+        got = levels.read_version(spark, str(tmp_path / "v"), batch_id, "n int").collect()
+        assert [r.n for r in got] == ([batch_id] if batch_id < 3 else [])
+    assert _names(tmp_path / "v") == ["batch=2", "batch=3"]
+    assert levels.read_version(spark, str(tmp_path / "none"), -1, "n int").count() == 0
+
+
 def test_stream_dedup(spark, tmp_path):
     rows = [("a", "2024-01-01", 1, 1.0), ("a", "2024-01-01", 1, 1.0), ("b", "2024-01-01", 1, 1.0)]
     stream = _stream(spark, tmp_path, [rows, rows]).withColumn("time", F.col("date").cast("timestamp"))
