@@ -220,3 +220,25 @@ def test_forecast_of_all_requests(spark, sales, trained):
     got = forecasting.predict_demand(requests, codes, model)
     assert got.count() == forecasting.valid_requests(requests).count()
     assert got.agg(F.min("predicted_units_sold")).first()[0] >= 0
+
+
+def test_trees_come_in_turns(spark, monkeypatch):
+    """However many trees there are, no job shuffles more rows than one tree's, or a full subtree's for each core."""
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), float(a > 5)) for a, b in rng.integers(0, 10, (200, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    turns, plain = [], trees._packed
+
+    def counted(rows, features, tops, *rest):
+        turns.append(len(tops))
+        return plain(rows, features, tops, *rest)
+
+    monkeypatch.setattr(trees, "_packed", counted)
+    cores = spark.sparkContext.defaultParallelism
+    forest = trees.train(df, ["a", "b"], "y", 2 * cores + 2, most_rows=200)
+    got = trees.predict(forest, df, part_rows=200).select("a", "prediction").collect()
+    assert sum(turns) == 2 * (2 * cores + 2) and max(turns) * 126 <= cores * 200
+    assert len(got) == 200 and all((p > 0.5) == (a > 5) for a, p in got)
+    tops = [trees.Tree.leaf()] * 5
+    assert [list(some) for some in trees._in_turn(tops, 10, 25)] == [[0, 1], [2, 3], [4]]
+    assert [len(some) for some in trees._in_turn(tops, 10, 5)] == [1] * 5
