@@ -32,7 +32,7 @@ def run(
     staged = cleaning.stage_sales(raw, categories, regions)
     writers.write_staged(staged, paths["staged"], f"{folder}/staged_csv" if csv_copy else None)
     staged = spark.read.parquet(paths["staged"])
-    writers.write_curated_partitioned(curation.curate_sales(staged), paths["curated"])
+    writers.write_curated_partitioned(curation.curate_sales(staged, writers.laid_out), paths["curated"], laid=True)
     curated = spark.read.parquet(paths["curated"])
     writers.register_views({"retail_curated": curated})
     writers.write_analytics({name: job(curated) for name, job in STORED_RESULTS.items()}, paths["analytics"])

@@ -59,7 +59,7 @@ def _staged(spark: SparkSession, folder: str) -> DataFrame:
 
 def _curated(spark: SparkSession, folder: str) -> DataFrame:
     path = _place(spark)
-    writers.write_curated_partitioned(curation.curate_sales(written(staged(spark, folder))), path)
+    writers.write_curated_partitioned(curation.curate_sales(written(staged(spark, folder)), writers.laid_out), path, laid=True)
     return as_doubles(spark.read.parquet(path), 6)
 
 

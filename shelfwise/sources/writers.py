@@ -28,9 +28,9 @@ def laid_out(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, *LOOKUP_ORDER)
 
 
-def write_curated_partitioned(df: DataFrame, path: str, format: str = "parquet") -> None:
-    """CURATED by year and month; only the months in ``df`` are replaced."""
-    writer = laid_out(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def write_curated_partitioned(df: DataFrame, path: str, format: str = "parquet", laid: bool = False) -> None:
+    """CURATED by year and month; only the months in ``df`` are replaced. ``laid``: its rows have been through ``laid_out``."""
+    writer = (df if laid else laid_out(df)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*PARTITIONS).format(format).save(path)
 
 
