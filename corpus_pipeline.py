@@ -6,6 +6,7 @@ earlier stage. All stages but the last return the columns of ``documents``, whic
 
 * quality: documents that the ranking puts below its cut go. Learnt from the labels whose id is not held out.
 * near_duplicates: of each group of documents that are linked by four fifths of their five-word shingles the smallest id stays.
+  Candidates are the fingerprints within four bits of ``simhash``, completed by minimum hashes; the sets themselves decide.
 * decontamination: documents with a leaked benchmark passage go.
 * secrets: found secrets are replaced by their kind in brackets; ``n_chars`` follows.
 * mixing: what each document gives to a mix at the target weights.

@@ -1,9 +1,10 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with one set of shingles are folded into one node first. Candidates share a bucket: the least values of the
-set under ``BANDS`` x ``ROWS`` orders are hashed band by band. A pair of similarity 0.8 misses all buckets with a chance
-of 10^-4, one of 0.85 with 10^-7; a pair of 0.5 meets with 0.18, one of 0.4 with 0.03. Every link is then decided by
-the exact similarity of the two sets.
+Texts with one set of shingles are folded into one node first. Candidates share a bucket, of two kinds. One is a
+component of fingerprints within four bits, as multi-index hashing finds them (``simhash``). Fingerprints that close are
+rare at a similarity of 0.8, so the others complete them: the least values of the set under ``BANDS`` x ``ROWS`` orders are
+hashed band by band. A pair of similarity 0.8 misses all these with a chance of 10^-4, one of 0.85 with 10^-7; a pair of
+0.5 meets with 0.18, one of 0.4 with 0.03. Every link is then decided by the exact similarity of the two sets.
 
 Two things keep the work in step with the rows, however many copies a text has. First, an exact bound: what a set
 holds that no other candidate holds is missing from any partner, and a partner at 0.8 may miss only so much, so sets
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from shelfwise.llm.common import WordHasher, free_name, mix, slices, stored, texts_of
-from shelfwise.llm.simhash import _merged
+from shelfwise.llm.simhash import _merged, fingerprint, rooted
 
 SHINGLE = 5
 BANDS, ROWS = 50, 8
@@ -94,20 +95,28 @@ def _id() -> Column:
 
 
 def _filed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, body, node, size, values)``: hash of the text, set, its number of shingles, and its buckets."""
+    """``(doc_id, body, node, size, values, fp)``: hash of the text, set, its number of shingles, its buckets, its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in slices(batches, "text"):
-            sets = shingle_sets(texts_of(batch), hasher)
+            texts = texts_of(batch)
+            sets = shingle_sets(texts, hasher)
             columns = [
                 pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([buckets(s) for s in sets], pa.list_(pa.int64())),
+                pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "body", "node", "size", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "body", "node", "size", "values", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), _body().alias("body"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, body long, node long, size long, values array<long>")
+    return rows.mapInArrow(run, "doc_id long, body long, node long, size long, values array<long>, fp long")
+
+
+def _by_print(rows: DataFrame) -> DataFrame:
+    """``(node, value)``: the component of fingerprints that a node's texts are in, as a bucket; alike sets may have several."""
+    prints = rooted(rows.select(F.col("fp").alias("node"), "fp").distinct())
+    return rows.select("node", "fp").join(prints.select("fp", F.col("root").alias("value")), "fp").select("node", "value").distinct()
 
 
 def with_node(docs: DataFrame, name: str) -> DataFrame:
@@ -207,7 +216,7 @@ def near_copies(docs: DataFrame, turns: int = TURNS) -> DataFrame:
         F.min("doc_id").alias("first_id"), F.min(F.struct(_id().alias("id"), "body")).alias("row"), F.first("values").alias("values")
     )
     nodes = stored(folded.select("*", F.col("node").alias("root")), "nodes")
-    filed = nodes.select("node", F.explode("values").alias("value"))
+    filed = nodes.select("node", F.explode("values").alias("value")).unionByName(stored(_by_print(rows), "prints"))
     shared = filed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
     met = stored(filed.join(shared, "value", "left_semi"), "buckets")
     chosen = nodes.join(met.select("node").distinct(), "node", "left_semi").select("row.id", "row.body")

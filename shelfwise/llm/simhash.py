@@ -215,16 +215,20 @@ def near_duplicates(
 def grouped(prints: DataFrame, radius: int = 4, layout: tuple[tuple[int, int], ...] = SEGMENTS, turns: int = HEAD_TURNS) -> DataFrame:
     """``(doc_id, fp, node, root, component_id)`` from ``(doc_id, fp)``: components of the links between fingerprints."""
     rows = stored(prints.withColumn("node", F.col("fp")), "fingerprints")
-    first = rows.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id"))
-    nodes = stored(first.withColumn("root", F.col("node")), "nodes")
-    for turn in range(turns):
-        nodes = _merged(nodes, head_links(nodes, turn, radius, layout))
-    nodes = _merged(nodes, links(nodes, radius, layout))
+    nodes = rooted(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), radius, layout, turns)
     smallest = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_node = nodes.join(smallest, "root").select("node", "root", "component_id")
     return rows.join(of_node, "node").select("doc_id", "fp", "node", "root", "component_id")
 
 
+def rooted(prints: DataFrame, radius: int = 4, layout: tuple[tuple[int, int], ...] = SEGMENTS, turns: int = HEAD_TURNS) -> DataFrame:
+    """Distinct fingerprints ``(node, fp, ...)``, ``node`` = ``fp``, with the ``root`` of their component of links."""
+    nodes = stored(prints.withColumn("root", F.col("node")), "nodes")
+    for turn in range(turns):
+        nodes = _merged(nodes, head_links(nodes, turn, radius, layout))
+    return _merged(nodes, links(nodes, radius, layout))
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

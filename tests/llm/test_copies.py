@@ -5,9 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfwise.llm import copies
+from shelfwise.llm import copies, simhash
 from shelfwise.llm.common import WordHasher
 from tests.llm.data import SF, kept_by_brute_force, no_documents, odd_documents, plain_components, plain_near, plain_shingles, plain_similarity, rows_of
 
@@ -123,3 +124,19 @@ def test_one_of_each_on_odd_rows(spark):
     assert rows_of(copies.one_of_each(repeated)) == rows_of(got)
     bare = copies.near_copies(spark.createDataFrame([(None, "some words here"), (None, "some words here"), (4, "some WORDS here")], "doc_id long, text string"))
     assert {r.component_id for r in bare.collect()} == {4}
+
+
+def test_fingerprints_within_four_bits_are_candidates(spark, monkeypatch):
+    """Without minimum hashes the links between fingerprints still find near copies, and the sets still decide."""
+    monkeypatch.setattr(copies, "_filed", lambda docs, plain=copies._filed: plain(docs).withColumn("values", F.array().cast("array<long>")))
+    rng = random.Random(9)
+    text = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    near = " ".join(changed(rng, text, 2))
+    echoed = ["one long line that stands here again and again " * 60 + f"tail {n} {n + 1} {n + 2} {n + 3} {n * 7}" for n in (1, 500)]
+    rows = [(0, " ".join(text)), (1, near), *enumerate(echoed, 2)]
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    assert max((prints[i] ^ prints[i + 1]).bit_count() for i in (0, 2)) <= 4
+    sets = [plain_shingles(t) for _, t in rows]
+    assert plain_similarity(sets[0], sets[1]) >= 0.8 > plain_similarity(sets[2], sets[3])
+    found = copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
