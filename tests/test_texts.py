@@ -1,4 +1,5 @@
 import dataclasses
+import math
 import random
 from collections import Counter
 
@@ -143,6 +144,37 @@ def test_vocabulary_equals_the_counts_of_all_terms(spark, monkeypatch, max_terms
     assert [(x.term, x["count"], x.df) for x in got] == [(t, uses[t], rows[t]) for t in want]
 
 
+@pytest.mark.parametrize("rows_a_batch", [1, 3, 10_000])
+def test_terms_are_counted_by_block_and_weighed_without_another_shuffle(spark, rows_a_batch):
+    rng = random.Random(rows_a_batch)
+    rows = [(f"{i % 7}_chunk_{rng.randrange(150)}", [f"w{rng.randrange(6)}" for _ in range(rng.randrange(9))]) for i in range(60)]
+    rows += [(None, ["w1", "w2"]), (None, ["w2", "w1"]), ("", ["w1"]), ("plain", None)]
+    terms = ["w1", "w2 w3", "w3", "w2 w1", "w5"]
+    want = Counter()
+    for chunk, words in rows:
+        words = words or []
+        want.update((chunk, t) for t in words + [f"{a} {b}" for a, b in zip(words, words[1:])] if t in terms)
+    listed = spark.createDataFrame(rows, "chunk_id string, words array<string>").withColumn("block", retrieval.block_of(F.col("chunk_id")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        counted = retrieval.block_counts(listed, terms, True)
+        found = counted.collect()
+        postings = retrieval.block_postings(counted, terms, [1.0, 2.0, 3.0, 4.0, 5.0], 2)
+        weights = postings.select("block", "term", "top", F.explode("entries").alias("e")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(x.chunk_ids[c], terms[p]): n for x in found for c, p, n in zip(x.chunks, x.places, x.tfs)}
+    assert got == dict(want) and len(found) == len({x.block for x in found})
+    raw = {k: (math.log(n) + 1) * (terms.index(k[1]) + 1) for k, n in want.items()}
+    length = {c: math.sqrt(sum(v * v for (d, _), v in raw.items() if d == c)) for c, _ in raw}
+    assert {(x.e.chunk_id, x.term): x.e.weight for x in weights} == pytest.approx({k: v / length[k[0]] for k, v in raw.items()})
+    top = {}
+    for x in weights:
+        top[x.block, x.term] = max(x.e.weight, top.get((x.block, x.term), 0))
+    assert all(x.top == top[x.block, x.term] for x in weights)
+    assert postings._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # of the words
+
+
 def test_blocks_hold_neighbouring_chunks(spark):
     ids = ["7_chunk_3", "7_chunk_42", "7_chunk_142", "17_chunk_3", "plain", "5", ""]
     got = spark.createDataFrame([(i,) for i in ids], "id string").select(retrieval.block_of(F.col("id"))).collect()
