@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.alerts import alert_discount, alert_revenue_drop  # noqa: F401  alert_discount needs no state
 from shelfwise.streaming.levels import add_batch, read_runs, read_version, replace_version, valid_runs
-from shelfwise.streaming.runs import read_or_empty, replace_batch, run_each_batch
+from shelfwise.streaming.runs import read_or_empty, replace_batch, run_each_batch, spread_by_rows
 
 DAILY_SCHEMA = "date date, revenue decimal(38,2), records long"
 PRODUCT_DAY_SCHEMA = "product_id string, date date, units long, sales_month string, batch_id long"
@@ -62,8 +62,8 @@ def month_runs(daily: DataFrame) -> DataFrame:
     ``from_start`` and ``to_end`` tell whether a run begins with the month's first sales day and ends with its last. A month
     without such a day gives one row of no days, which keeps the runs of the months beside it apart.
     """
-    month = Window.partitionBy("product_id", "sales_month")
-    in_order = month.orderBy("date")
+    in_order = Window.partitionBy("product_id", "sales_month").orderBy("date")
+    month = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # ordered too: one sort serves both
     is_zero = F.coalesce(F.col("units") == 0, F.lit(False))
     days = daily.withColumn("is_zero", is_zero).withColumns(
         {
@@ -120,8 +120,9 @@ def stream_zero_streak(stream: DataFrame, folder: str, checkpoint: str, days: in
         partials = read_or_empty(spark, day_path, PRODUCT_DAY_SCHEMA)
         touched = partials.where(F.col("batch_id") == batch_id).select("sales_month").distinct()
         months = [row[0] for row in touched.collect()]  # at most one a month of history
-        sums = partials.where(F.col("sales_month").isin(months)).groupBy("product_id", "sales_month", "date")
+        mine = spread_by_rows(partials.where(F.col("sales_month").isin(months)), "product_id", "sales_month")
+        sums = mine.groupBy("product_id", "sales_month", "date")
         replace_batch(month_runs(sums.agg(F.sum("units").alias("units"))), run_path, "sales_month")
 
     run_each_batch(stream, handle, checkpoint)
-    return joined_runs(read_or_empty(spark, run_path, RUN_SCHEMA), days)
+    return joined_runs(spread_by_rows(read_or_empty(spark, run_path, RUN_SCHEMA), "product_id"), days)

@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 
 from shelfwise.session import shared_folder
 
+ROWS_A_TASK = 250_000
+
 
 def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
@@ -52,6 +54,15 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> D
         return spark.createDataFrame([], schema)
 
 
+def spread_by_rows(rows: DataFrame, *keys: str, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """Written rows placed by ``keys`` in a number of partitions that grows with them, so that what a task sorts does not.
+
+    They are counted first, which reads the footers of their files only.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // rows_a_task)), *keys)
+
+
 def replace_batch(rows: DataFrame, path: str, *partitions: str) -> None:
     """Writes a batch so that running it again replaces its own files and nothing else.
 

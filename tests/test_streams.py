@@ -10,7 +10,7 @@ from shelfwise.operators.cleaning import normalise, stage_sales
 from shelfwise.schema import RAW_SCHEMA
 from shelfwise.sources import readers
 from shelfwise.streaming import alerts, ingest, levels
-from shelfwise.streaming.runs import run_to_table
+from shelfwise.streaming.runs import run_to_table, spread_by_rows
 from tests.data import SAMPLE, row
 from tests.test_sinks import csv_text
 
@@ -197,3 +197,14 @@ def test_streams_equal_the_batch_for_any_files_and_order(spark, tmp_path, files,
     assert same(alerts.stream_revenue_drop(stream(), *work("drop")), batch.alert_revenue_drop(batch.daily_revenue(still)))
     streaks = batch.alert_zero_streak(batch.daily_units(still), 2)
     assert streaks.count() and same(alerts.stream_zero_streak(stream(), *work("streak"), days=2), streaks)
+
+
+def test_months_are_sorted_once_and_spread_by_their_rows(spark, tmp_path):
+    days = spark.range(1000).selectExpr("concat('P', id % 50) as product_id", "'m1995-01' as sales_month", "date_add(date'1995-01-01', cast(id / 50 as int)) as date", "id % 3 as units")
+    days.write.parquet(str(tmp_path / "days"))
+    rows = spread_by_rows(spark.read.parquet(str(tmp_path / "days")), "product_id", "sales_month", rows_a_task=90)
+    assert rows.rdd.getNumPartitions() == 12 and rows.count() == 1000
+    plan = alerts.month_runs(rows)._jdf.queryExecution().sparkPlan().toString()
+    executed = alerts.month_runs(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and executed.count("Sort [product_id") == 1
+    assert "REPARTITION_BY_NUM" in executed and executed.count("Exchange") == 1
