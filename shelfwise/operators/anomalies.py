@@ -83,23 +83,39 @@ def fit_forest(df: DataFrame, trees: int = 100, sample_rows: int = 256, seed: in
     return dealt.groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
 
 
-def path_score(arrays: list[dict], values: np.ndarray, sample_rows: int) -> np.ndarray:
-    """Anomaly score of each row, 2 to the power of minus its mean path length over the expected one."""
+def as_heap(feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(feature, cut, depth)`` of a tree laid out level by level, the children of node ``i`` at ``2i + 1`` and ``2i + 2``.
+
+    ``depth`` is that of the lowest level alone; below a leaf both sides lead to its depth. A tree of ``n`` sampled rows
+    is cut at most ``log2(n)`` levels deep, so this is no larger than a few times the tree.
+    """
+    level, features, cuts = np.zeros(1, dtype=np.int64), [], []
+    while (feature[level] >= 0).any():
+        leaf = feature[level] < 0
+        features.append(np.where(leaf, 0, feature[level]))
+        cuts.append(np.where(leaf, np.inf, cut[level]))
+        level = np.column_stack([np.where(leaf, level, left[level]), np.where(leaf, level, right[level])]).ravel()
+    empty = [np.empty(0)]
+    return np.concatenate(empty + features).astype(np.int64), np.concatenate(empty + cuts), depth[level]
+
+
+def path_score(heaps: list[tuple[np.ndarray, ...]], values: np.ndarray, sample_rows: int) -> np.ndarray:
+    """Anomaly score of each row, 2 to the power of minus its mean path length over the expected one.
+
+    All rows go down a tree together, one level at a time.
+    """
     total = np.zeros(len(values))
-    every = np.arange(len(values))
-    for tree in arrays:
+    flat, width = np.ascontiguousarray(values, dtype=float).ravel(), values.shape[1]
+    base = np.arange(len(values)) * width
+    for feature, cut, depth in heaps:
         at = np.zeros(len(values), dtype=np.int64)
-        active = every
-        while True:
-            feature = tree["feature"][at[active]]
-            active = active[feature >= 0]
-            if not len(active):
-                break
-            node = at[active]
-            left = values[active, tree["feature"][node]] <= tree["cut"][node]
-            at[active] = np.where(left, tree["left"][node], tree["right"][node])
-        total += tree["depth"][at]
-    return np.power(2.0, -total / len(arrays) / unsuccessful_search(sample_rows))
+        for _ in range(len(depth).bit_length() - 1):
+            right = ~(flat.take(base + feature.take(at)) <= cut.take(at))  # a missing value goes right
+            at += at
+            at += 1
+            at += right
+        total += depth.take(at - len(feature))
+    return np.power(2.0, -total / len(heaps) / unsuccessful_search(sample_rows))
 
 
 def with_scores(df: DataFrame, forest: DataFrame, sample_rows: int = 256) -> DataFrame:
@@ -108,15 +124,14 @@ def with_scores(df: DataFrame, forest: DataFrame, sample_rows: int = 256) -> Dat
     The forest is at most ``trees * 2 * sample_rows`` nodes and goes with the tasks.
     """
     nodes = forest.orderBy("tree", "node").toPandas()
-    arrays = [
-        {n: part[n].to_numpy() for n in ("feature", "cut", "left", "right", "depth")} for _, part in nodes.groupby("tree")
-    ]
+    names = ("feature", "cut", "left", "right", "depth")
+    heaps = [as_heap(*[part[n].to_numpy() for n in names]) for _, part in nodes.groupby("tree")]
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             values = np.column_stack([col.to_numpy(dtype=float) for col in columns])
-            yield pd.Series(path_score(arrays, values, sample_rows))
+            yield pd.Series(path_score(heaps, values, sample_rows))
 
     return df.withColumn("score", score(*[F.col(n).cast("double") for n in FIGURES]))
 

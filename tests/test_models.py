@@ -242,3 +242,23 @@ def test_trees_come_in_turns(spark, monkeypatch):
     tops = [trees.Tree.leaf()] * 5
     assert [list(some) for some in trees._in_turn(tops, 10, 25)] == [[0, 1], [2, 3], [4]]
     assert [len(some) for some in trees._in_turn(tops, 10, 5)] == [1] * 5
+
+
+def test_rows_go_down_a_heap_as_down_its_tree():
+    rng = np.random.default_rng(3)
+    trees = []
+    for n in (1, 2, 40, 256):
+        nodes = sorted(anomalies.grow_tree(rng.integers(0, 30, (n, 4)).astype(float), rng, 8))
+        trees.append([np.array(c) for c in zip(*nodes)][1:])
+    rows = rng.integers(0, 30, (300, 4)).astype(float)
+    rows[::7, 1] = np.nan
+    heaps = [anomalies.as_heap(*t) for t in trees]
+    want = np.zeros(len(rows))
+    for feature, cut, left, right, depth in trees:
+        for i, row in enumerate(rows):
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] if row[feature[node]] <= cut[node] else right[node]
+            want[i] += depth[node]
+    assert (anomalies.path_score(heaps, rows, 256) == np.power(2.0, -want / 4 / anomalies.unsuccessful_search(256))).all()
+    assert len(anomalies.path_score(heaps, rows[:0], 256)) == 0
