@@ -285,3 +285,39 @@ def test_no_python_workers_in_text_jobs(spark, corpus, index):
 def test_top_k_is_cut_before_the_shuffle(spark, index):
     plan = retrieval.search_topk(ask(spark, "discount"), index)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+@pytest.mark.parametrize("k,passes", [(3, (1000, 200_000)), (10, (1000, 15))])
+def test_search_by_counts_meets_the_index_without_a_shuffle(spark, topics, monkeypatch, tmp_path, k, passes):
+    monkeypatch.setattr(retrieval, "ASKED", passes)
+    monkeypatch.setattr(retrieval, "CELLS", 500)
+    rows = [(i, f"customer store topic{i} item{i}x3") for i in range(6)] + [(6, "store"), (7, "nothing known"), (None, "store topic1"), (1, "part3")]
+    asked = spark.createDataFrame(rows, "query_id int, text string")
+    found = best_of(retrieval.search_topk(asked, topics, k).collect(), k)
+    by_postings = dataclasses.replace(topics)
+    assert topics.counted is not None and by_postings.counted is None
+    assert found == best_of(retrieval.search_topk(asked, by_postings, k).collect(), k) and sorted(found) == list(range(7))
+    topics.save(str(tmp_path))
+    assert not (tmp_path / "postings").exists()
+    assert best_of(retrieval.search_topk(asked, retrieval.Index.load(spark, str(tmp_path)), k).collect(), k) == found
+    terms = retrieval.query_terms(asked, topics).join(retrieval._passes(retrieval.query_terms(asked, topics)), "query_id")
+    best = retrieval._task_best(terms.where("pass = 0"), 0, topics.counted, *retrieval.vocabulary_lists(topics.vocabulary), k)
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("held", [3, 1 << 19])
+def test_terms_of_words_kept_as_text(spark, monkeypatch, held):
+    monkeypatch.setattr(retrieval, "HELD", held)
+    monkeypatch.setattr(retrieval, "BUCKETS_A_TERM", 2)
+    rng = random.Random(held)
+    texts = [" ".join(f"wé{min(rng.randrange(1, 40), rng.randrange(1, 40))}" for _ in range(rng.randrange(30))) for _ in range(80)] + ["", None]
+    uses = Counter()
+    for text in texts:
+        words = (text or "").split()
+        uses.update(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+    listed = spark.createDataFrame([(t,) for t in texts], "words string")
+    for n in (5, 30, 10_000):
+        got = retrieval.top_terms(listed, True, n).orderBy("place").collect()
+        assert [(x.term, x["count"], x.place) for x in got] == [
+            (t, uses[t], i) for i, t in enumerate(sorted(uses, key=lambda t: (-uses[t], t))[:n])
+        ]
