@@ -165,13 +165,15 @@ def head_links(nodes: DataFrame, turn: int, radius: int, layout: tuple[tuple[int
 def components(edges: DataFrame, limit: int = 50) -> DataFrame:
     """``(node, root)`` for all nodes of the edges ``(a, b)``; the root is the component's smallest node.
 
-    Alternates large-star and small-star steps, each a grouping and a join, until the links no longer
-    change; every step's links are written to the shared folder, so nothing is recomputed, and those
-    before them are deleted.
+    Alternates large-star and small-star steps, each a grouping and a join, until every node is linked to its root
+    alone; every step's links are written to the shared folder, so nothing is recomputed, and those before them are
+    deleted. Links that are such stars from the start take no step: each shuffle that a plan has costs the driver a thread.
     """
-    current = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
+    current = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v"))
+    current = stored(current.distinct(), "links")
     for _ in range(limit):
+        if _are_stars(current):
+            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(lowest, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -182,16 +184,22 @@ def components(edges: DataFrame, limit: int = 50) -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         current = stored(small.where(F.col("u") != F.col("v")).distinct(), "links")
         superseded(large)
-        mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = mark
     raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every ``u`` of the different links ``(u, v)``, ``u`` > ``v``, has one ``v`` only, which is no ``u`` itself."""
+    ends = links.select(F.inline(F.array(*[F.struct(F.col(c).alias("node"), F.lit(up).alias("up")) for c, up in (("u", 1), ("v", 0))])))
+    of_node = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return of_node.where((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("least") == 0))).isEmpty()
+
+
 def _merged(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """The nodes with the roots that links between roots give them."""
     settled = components(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    if settled.isEmpty():
+        superseded(settled)
+        return nodes
     moved = settled.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
     joined = nodes.join(moved, "root", "left")
     kept = [c for c in nodes.columns if c != "root"]

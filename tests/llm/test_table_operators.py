@@ -377,3 +377,20 @@ def test_run_hands_each_stage_what_the_last_one_kept(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
     assert got == {r.doc_id for r in docs.collect()}
+
+
+@pytest.mark.parametrize("edges,steps", [([], 0), ([(1, 5), (7, 1), (9, 8), (5, 1), (3, 3)], 0), ([(1, 2), (3, 2)], 1), ([(1, 2), (2, 3), (3, 4)], 2)])
+def test_links_that_are_stars_take_no_step(spark, monkeypatch, edges, steps):
+    written, kept = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, kind: written.append(kind) or kept(df, kind))
+    got = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    nodes = sorted({n for e in edges for n in e})
+    root = dict(zip(nodes, plain_components(nodes, [(nodes.index(a), nodes.index(b)) for a, b in edges])))
+    assert got == {n: r for n, r in root.items() if n != r}
+    assert len(written) == 1 + 2 * steps
+
+
+def test_no_links_leave_the_nodes_as_they_are(spark):
+    nodes = simhash.stored(spark.createDataFrame([(1, 1, 1)], "node long, fp long, root long"), "nodes")
+    assert simhash._merged(nodes, spark.createDataFrame([], "a_root long, b_root long")) is nodes
+    assert nodes.collect() == [(1, 1, 1)]
