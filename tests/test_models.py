@@ -262,3 +262,21 @@ def test_rows_go_down_a_heap_as_down_its_tree():
             want[i] += depth[node]
     assert (anomalies.path_score(heaps, rows, 256) == np.power(2.0, -want / 4 / anomalies.unsuccessful_search(256))).all()
     assert len(anomalies.path_score(heaps, rows[:0], 256)) == 0
+
+
+def test_turns_give_all_cores_as_many_trees():
+    """A turn of ten trees on eight cores would leave six of them idle for half of it."""
+    tops = [trees.Tree.leaf()] * 20
+    assert [len(some) for some in trees._in_turn(tops, 30, 310, 8)] == [8, 8, 4]
+    assert [len(some) for some in trees._in_turn(tops, 30, 100, 8)] == [3] * 6 + [2]
+    assert [i for some in trees._in_turn(tops, 1, 17, 8) for i in some] == list(range(20))
+
+
+def test_a_level_of_a_tree_is_dealt_without_sorting(monkeypatch):
+    """Each feature is sorted once, however deep the tree grows."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(3, 500)).astype(np.float32), rng.normal(size=500)
+    sorts, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *rest, **more: sorts.append(len(a)) or plain(a, *rest, **more))
+    tree = trees.grown(x, y, np.ones(500, np.uint8), 2, None, rng)
+    assert len(sorts) == 3 and (tree.value[tree.reached(x)] == y.astype(np.float32)).all()
