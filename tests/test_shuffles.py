@@ -1,11 +1,14 @@
 """What the sales jobs shuffle, seen in their plans."""
 
+import os
 import re
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import curation
+from shelfwise.operators import curation, features
+from shelfwise.operators.ordering import row_windows
 from shelfwise.plans import analytics as a
+from shelfwise.session import shared_folder, written, written_for_now
 from shelfwise.sources import star, writers
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +56,50 @@ def test_top_products_deals_no_row_out_thrice(spark):
     expands = [i for i, line in enumerate(lines_of(top)) if "Expand" in line]
     assert all("Filter" in "".join(lines_of(top)[i:]) for i in expands)
     assert not [r for r in a.top_products(df.limit(0)).collect()]
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {name for name in files.split("\n") if "/shuffle_" in name}
+
+
+def tables(spark):
+    folder = f"{shared_folder(spark).removeprefix('file:')}/tables"
+    return set(os.listdir(folder)) if os.path.exists(folder) else set()
+
+
+def test_a_written_table_leaves_no_shuffle_behind(spark):
+    before = shuffle_files(spark)
+    assert written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    left = {re.search(r"shuffle_(\d+)_", name)[1] for name in shuffle_files(spark) - before}
+    assert len(left) <= 1  # that of the count itself
+
+
+def test_a_table_for_now_goes(spark):
+    before = tables(spark)
+    with written_for_now(spark.range(3)) as rows:
+        assert rows.count() == 3 and len(tables(spark) - before) == 1
+    assert tables(spark) == before
+
+
+def test_features_shuffle_rows_narrow_and_once_for_windows_and_products(spark):
+    """Calendar and price columns are computed behind all shuffles, and the join with the products' figures adds no shuffle of the rows."""
+    rows = star.sales(spark, SF)
+    before = tables(spark)
+    found = features.engineer_features(rows, block_rows=400)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    window = next(i for i, line in enumerate(plan) if "Window" in line)
+    assert not [line for line in plan[window:] if "weekofyear" in line or "sale_month" in line]
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"hashpartitioning\((?:store_id|category|region)#\d+, ", physical)
+    read = "".join(found.inputFiles())
+    assert len([t for t in tables(spark) - before if t in read]) == 2  # the numbered rows and the products' figures
+    assert found.count() == rows.count()
+
+
+def test_columns_beside_the_rows_of_a_key(spark):
+    rows = spark.createDataFrame([(k, i) for k in ("a", "b", None) for i in range(9)] + [("a", 3)], "k string, i int")
+    facts = spark.createDataFrame([("a", 1.5), ("c", 2.5)], "k string, fact double")
+    got = row_windows(rows, "k", ["i"], lambda w: {"last": F.lag("i").over(w)}, 1, 4, beside=facts).collect()
+    assert len(got) == 28 and {(r.k, r.fact) for r in got} == {("a", 1.5), ("b", None), (None, None)}
+    assert sorted((r.k or "", r.last) for r in got if r.i == 5) == [("", 4), ("a", 4), ("b", 4)]
