@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.operators import cleaning, curation
+from shelfwise.operators import cleaning
 from shelfwise.plans import analytics as a
 from shelfwise.schema import CATEGORIES, REGIONS
+from shelfwise.session import written_for_now
 from shelfwise.sources import readers, store, writers
 
 STORED_RESULTS = {
@@ -21,18 +23,21 @@ STORED_RESULTS = {
 
 def run(
     raw: DataFrame, folder: str, categories: Sequence[str] = CATEGORIES, regions: Sequence[str] = REGIONS,
-    csv_copy: bool = True,
+    csv_copy: bool = True, joined: bool = False,
 ) -> dict[str, DataFrame]:
     """Each stage is written and the next one reads what was written, so no stage is computed twice.
 
+    ``joined``: the raw rows come from joins, and are written until they are staged, so that the disk never holds
+    what the joins shuffle beside what staging shuffles.
     Returns the stored tables, the four results among them, and a status table with rows per stage.
     """
     spark = raw.sparkSession
     paths = {name: f"{folder}/{name}" for name in ("staged", "curated", "analytics")}
-    staged = cleaning.stage_sales(raw, categories, regions)
-    writers.write_staged(staged, paths["staged"], f"{folder}/staged_csv" if csv_copy else None)
+    with written_for_now(raw) if joined else nullcontext(raw) as rows:
+        staged = cleaning.stage_sales(rows, categories, regions)
+        writers.write_staged(staged, paths["staged"], f"{folder}/staged_csv" if csv_copy else None)
     staged = spark.read.parquet(paths["staged"])
-    writers.write_curated_partitioned(curation.curate_sales(staged, writers.laid_out), paths["curated"], laid=True)
+    writers.write_curated_in_turn(staged, paths["curated"])
     curated = spark.read.parquet(paths["curated"])
     writers.register_views({"retail_curated": curated})
     writers.write_analytics({name: job(curated) for name, job in STORED_RESULTS.items()}, paths["analytics"])

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from shelfwise.operators.curation import curated_in_turn
+from shelfwise.session import shuffles_deleted
 from shelfwise.sources.store import LOOKUP_ORDER
 
 PARTITIONS = ("sale_year", "sale_month")
@@ -14,7 +16,8 @@ PARTITIONS = ("sale_year", "sale_month")
 
 def write_staged(df: DataFrame, path: str, csv_path: str | None = None, format: str = "parquet") -> None:
     """STAGED table and, on request, a CSV copy made from the written table, not from a second cleaning."""
-    df.write.mode("overwrite").format(format).save(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.mode("overwrite").format(format).save(path)
     if csv_path:
         df.sparkSession.read.format(format).load(path).write.mode("overwrite").option("header", True).csv(csv_path)
 
@@ -28,10 +31,23 @@ def laid_out(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, *LOOKUP_ORDER)
 
 
-def write_curated_partitioned(df: DataFrame, path: str, format: str = "parquet", laid: bool = False) -> None:
-    """CURATED by year and month; only the months in ``df`` are replaced. ``laid``: its rows have been through ``laid_out``."""
-    writer = (df if laid else laid_out(df)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*PARTITIONS).format(format).save(path)
+def write_curated_partitioned(df: DataFrame, path: str, format: str = "parquet", laid: bool = False, goes_on: bool = False) -> None:
+    """CURATED by year and month; only the months in ``df`` are replaced. ``laid``: its rows have been through ``laid_out``.
+
+    ``goes_on``: its rows are added to those of its month.
+    """
+    writer = (df if laid else laid_out(df)).write.mode("append" if goes_on else "overwrite")
+    with shuffles_deleted(df.sparkSession):
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).format(format).save(path)
+
+
+def write_curated_in_turn(staged: DataFrame, path: str, format: str = "parquet", **sizes: int) -> None:
+    """CURATED rows of the written STAGED table, some months after others: the disk never holds all that they shuffle.
+
+    The months are replaced as their turn comes, so after a job that is lost midway the run is to be repeated.
+    """
+    for part, goes_on in curated_in_turn(staged, laid_out, **sizes):
+        write_curated_partitioned(part, path, format, laid=True, goes_on=goes_on)
 
 
 def save_table(
@@ -54,7 +70,8 @@ def register_views(views: Mapping[str, DataFrame]) -> None:
 
 def write_analytics(results: Mapping[str, DataFrame], folder: str, format: str = "parquet") -> None:
     for name, df in results.items():
-        df.write.mode("overwrite").format(format).save(f"{folder}/{name}")
+        with shuffles_deleted(df.sparkSession):
+            df.write.mode("overwrite").format(format).save(f"{folder}/{name}")
 
 
 def write_counted(df: DataFrame, path: str, format: str = "parquet") -> int:

@@ -103,3 +103,37 @@ def test_columns_beside_the_rows_of_a_key(spark):
     got = row_windows(rows, "k", ["i"], lambda w: {"last": F.lag("i").over(w)}, 1, 4, beside=facts).collect()
     assert len(got) == 28 and {(r.k, r.fact) for r in got} == {("a", 1.5), ("b", None), (None, None)}
     assert sorted((r.k or "", r.last) for r in got if r.i == 5) == [("", 4), ("a", 4), ("b", 4)]
+
+
+def months(spark):
+    rows = [(f"P{i % 3}", "C", "R", f"S{i % 2}", f"2024-{m:02d}-05", "2.00", 10, i, "5.40") for m, n in ((1, 2), (2, 9), (3, 3), (4, 1)) for i in range(n)]
+    rows += [("P1", None, "R", "S1", None, "2.00", 0, 1, "2.00"), (None, "C", "R", "S1", "2024-02-07", "2.00", 0, 1, "2.00")]
+    df = spark.createDataFrame(rows, "product_id string, category string, region string, store_id string, date string, price string, discount int, units_sold int, revenue string")
+    return df.withColumns({"date": F.col("date").cast("date"), "price": F.col("price").cast("decimal(18,2)"), "revenue": F.col("revenue").cast("decimal(38,2)")})
+
+
+def test_turns_hold_each_row_once(spark):
+    df = months(spark)
+    turns = curation.month_turns(df, 4, 100)
+    counts = [df.where(turn).count() for turn, _ in turns]
+    assert sum(counts) == df.count() == 17 and len(turns) > 4
+    for i, n in enumerate(df.select([F.count_if(turn).alias(f"t{i}") for i, (turn, _) in enumerate(turns)]).first()):
+        assert n == counts[i] > 0
+    assert len(curation.month_turns(df, 4, 1)) == 1 == len(curation.month_turns(df.limit(0)))
+    alike = df.where("date = '2024-04-05'")
+    assert len(curation.month_turns(alike.unionAll(alike).unionAll(alike), 1, 100)) == 1
+
+
+def test_curated_in_turns_are_the_rows_curated_at_once(spark, tmp_path):
+    df, path = months(spark), f"{tmp_path}/t"
+    plain = curation.curate_sales(df)
+    want, before = sorted(map(repr, map(tuple, plain.collect()))), tables(spark)
+    for _ in range(2):  # again: every month is replaced
+        writers.write_curated_in_turn(df, path, turn_rows=4, most=100)
+        spark.catalog.refreshByPath(path)
+        got = spark.read.parquet(path).select(*plain.columns)
+        assert sorted(map(repr, map(tuple, got.collect()))) == want
+    assert tables(spark) == before
+    writers.write_curated_in_turn(df.where("date < '2024-02-01'"), path)
+    spark.catalog.refreshByPath(path)
+    assert spark.read.parquet(path).count() == len(want)  # other months stay
