@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.operators import cleaning, curation, retrieval
+from shelfwise.operators import cleaning, retrieval
 from shelfwise.plans import medallion
 from shelfwise.plans.registry_sales import STAR_LABELS, Query, as_doubles, staged
 from shelfwise.plans.registry_texts import asked, index
-from shelfwise.session import shared_folder, written
+from shelfwise.session import shared_folder, written, written_for_now
 from shelfwise.sources import readers, star, store, writers
 
 
@@ -59,7 +59,9 @@ def _staged(spark: SparkSession, folder: str) -> DataFrame:
 
 def _curated(spark: SparkSession, folder: str) -> DataFrame:
     path = _place(spark)
-    writers.write_curated_partitioned(curation.curate_sales(written(staged(spark, folder)), writers.laid_out), path, laid=True)
+    with written_for_now(star.messy_sales(spark, folder)) as raw:
+        clean = written(cleaning.stage_sales(raw, **STAR_LABELS))
+    writers.write_curated_in_turn(clean, path)
     return as_doubles(spark.read.parquet(path), 6)
 
 
@@ -75,7 +77,7 @@ def _lookup(condition: str) -> Query:
 
 def _medallion(result: str) -> Query:
     return lambda spark, folder: medallion.run(
-        star.messy_sales(spark, folder), _place(spark), **STAR_LABELS, csv_copy=False
+        star.messy_sales(spark, folder), _place(spark), **STAR_LABELS, csv_copy=False, joined=True
     )[result]
 
 
